@@ -70,3 +70,21 @@ def _at_end(spark: SparkSession, path: str) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_ARROW = {"long": "int64", "int": "int32", "double": "float64", "float": "float32", "boolean": "bool", "string": "string", "binary": "binary"}
+
+
+def arrow_schema(ddl: str):
+    """A pyarrow schema for a flat ``name type, ...`` list, for use inside Arrow maps."""
+    import pyarrow as pa
+
+    return pa.schema([(name, pa.type_for_alias(_ARROW[kind])) for name, kind in (f.split() for f in ddl.split(","))])
+
+
+def record_batch(rows: list[tuple], schema):
+    """Rows as one record batch of the schema; no rows give an empty one."""
+    import pyarrow as pa
+
+    columns = list(zip(*rows, strict=True)) if rows else [[] for _ in schema]
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import sharding
+from . import secrets, sharding, urls
 from .common import table
 
 
@@ -17,6 +17,30 @@ def op9_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op9_feistel_sharding": op9_feistel_sharding}
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fixed patterns and guess-cost spans of every document."""
+    return secrets.scan_secrets(table(spark, sf_dir, "documents"))
+
+
+#: The rules of the url query: host and path, the longest fitting one wins.
+URL_RULES = [
+    ("allow", "com/"),
+    ("block", "example.com/en/"),
+    ("allow", "www.example.com/en/"),
+    ("block", "net/es/"),
+    ("block", "net/fr/"),
+]
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A verdict for every page's url, by rule or by its redirect component."""
+    return urls.url_verdicts(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+QUERIES = {
+    "op2_secret_scan": op2_secret_scan,
+    "op7_url_filter": op7_url_filter,
+    "op9_feistel_sharding": op9_feistel_sharding,
+}
 
 ORACLES: dict[str, str] = {}
