@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import secrets, sharding, urls
+from . import media, secrets, sharding, urls
 from .common import table
 
 
@@ -22,6 +22,11 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op3_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's bytes stored as FLAC, read back and digested."""
+    return media.media_features(media.encode_media(table(spark, sf_dir, "documents")))
+
+
 #: The rules of the url query: host and path, the longest fitting one wins.
 URL_RULES = [
     ("allow", "com/"),
@@ -39,6 +44,7 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_secret_scan": op2_secret_scan,
+    "op3_flac_media": op3_flac_media,
     "op7_url_filter": op7_url_filter,
     "op9_feistel_sharding": op9_feistel_sharding,
 }
