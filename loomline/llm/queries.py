@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, secrets, sharding, urls
-from .common import table
+from . import media, packing, secrets, sharding, tokens, urls
+from .common import Scratch, scratch_path, table
 
 
 def op9_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +17,24 @@ def op9_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op1_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals per source, language and tokenizer version, built by signed batches.
+
+    All documents come in with provisional counts, a second batch revises those to the
+    tokenizer's, a third takes blank documents out again.
+    """
+    counted = tokens.count_tokens(table(spark, sf_dir, "documents"))
+    counted = Scratch(spark).cut(counted.withColumn("provisional", F.ceil(F.col("n_bytes") / 4)), "counted")
+    store = tokens.RollupStore(spark, scratch_path(spark, "rollup"))
+    words = tokens.as_changes("insert", counted, "words-1", "n_words")
+    store.commit("load-1", tokens.as_changes("insert", counted, "byte_bpe_50k", "provisional").union(words))
+    store.commit("recount-1", tokens.as_changes("revise", counted, "byte_bpe_50k", "n_tokens", "provisional"))
+    blank = counted.where("n_words = 0")
+    gone = tokens.as_changes("delete", blank, "byte_bpe_50k", "n_tokens").union(tokens.as_changes("delete", blank, "words-1", "n_words"))
+    store.commit("withdraw-1", gone)
+    return store.totals()
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fixed patterns and guess-cost spans of every document."""
     return secrets.scan_secrets(table(spark, sf_dir, "documents"))
@@ -42,11 +60,18 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.url_verdicts(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document into bins of five permitted lengths."""
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op1_token_rollup": op1_token_rollup,
     "op2_secret_scan": op2_secret_scan,
     "op3_flac_media": op3_flac_media,
     "op7_url_filter": op7_url_filter,
     "op9_feistel_sharding": op9_feistel_sharding,
+    "op10_best_fit_packing": op10_best_fit_packing,
 }
 
 ORACLES: dict[str, str] = {}
