@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, packing, secrets, sharding, tokens, urls
+from . import jaccard_join, media, packing, secrets, sharding, tokens, urls
 from .common import Scratch, scratch_path, table
 
 
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of 3-word shingles reach a Jaccard similarity of 0.9."""
+    return jaccard_join.similarity_components(table(spark, sf_dir, "documents"), 3, (90, 100))
+
+
 def op9_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents into 16 shards under the law ``rows``."""
     out = sharding.feistel_shards(table(spark, sf_dir, "documents"), 16)
@@ -70,6 +75,7 @@ QUERIES = {
     "op2_secret_scan": op2_secret_scan,
     "op3_flac_media": op3_flac_media,
     "op7_url_filter": op7_url_filter,
+    "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_feistel_sharding": op9_feistel_sharding,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
