@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, media, packing, secrets, sharding, tokens, urls
+from . import jaccard_join, latent, media, packing, secrets, sharding, tokens, urls
 from .common import Scratch, scratch_path, table
 
 
@@ -50,6 +50,11 @@ def op3_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(media.encode_media(table(spark, sf_dir, "documents")))
 
 
+def op5_benchmark_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every (document, benchmark item) pair where the document holds the item or a paraphrase of it."""
+    return latent.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 #: The rules of the url query: host and path, the longest fitting one wins.
 URL_RULES = [
     ("allow", "com/"),
@@ -74,6 +79,7 @@ QUERIES = {
     "op1_token_rollup": op1_token_rollup,
     "op2_secret_scan": op2_secret_scan,
     "op3_flac_media": op3_flac_media,
+    "op5_benchmark_contamination": op5_benchmark_contamination,
     "op7_url_filter": op7_url_filter,
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_feistel_sharding": op9_feistel_sharding,

@@ -102,7 +102,7 @@ def shingles_of(hashes: np.ndarray, doc: np.ndarray, n_docs: int, k: int) -> lis
     return out
 
 
-def shingle_sets(column: pa.Array, k: int, most_bytes: int = 2 << 20) -> Iterator[tuple[slice, list[np.ndarray]]]:
+def shingle_sets(column: pa.Array, k: int, most_bytes: int = 1 << 18) -> Iterator[tuple[slice, list[np.ndarray]]]:
     """Row runs of a text column with their distinct shingle hashes."""
     for rows, raw, offsets in text_groups(column, most_bytes):
         hashes, doc, _ = words_of(raw, offsets)
