@@ -18,6 +18,7 @@ whose totals are all zero is left out; other columns are not read.
 from __future__ import annotations
 
 import base64
+import hashlib
 import json
 import uuid
 from collections.abc import Iterator
@@ -55,9 +56,9 @@ def load_vocabulary(path: str) -> bytes:
 _encoders: dict[int, object] = {}
 
 
-def encoder_of(vocabulary: bytes):
-    """The tokenizer, built once per Python process."""
-    key = hash(vocabulary)
+def encoder_of(vocabulary: bytes, key: int | None = None):
+    """The tokenizer, built once per Python process and key."""
+    key = hash(vocabulary) if key is None else key
     if key not in _encoders:
         import tiktoken
 
@@ -86,11 +87,13 @@ def pieces_of(text: str) -> Iterator[str]:
 
 def count_tokens(df: DataFrame, tokenizer_path: str = TOKENIZER_PATH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, source, lang, n_bytes, n_words, n_tokens) of whole texts; n_words by white space."""
-    vocabulary = load_vocabulary(tokenizer_path)
+    # A broadcast is one copy per executor; in the task itself it would be one per task.
+    vocabulary = df.sparkSession.sparkContext.broadcast(load_vocabulary(tokenizer_path))
+    key = int.from_bytes(hashlib.md5(vocabulary.value).digest()[:8], "big")
     ddl = "doc_id long, source string, lang string, n_bytes long, n_words long, n_tokens long"
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema, encode = arrow_schema(ddl), encoder_of(vocabulary).encode_ordinary
+        schema, encode = arrow_schema(ddl), encoder_of(vocabulary.value, key).encode_ordinary
         for batch in batches:
             head = [c.to_pylist() for c in batch.columns[:3]]
             rows = []
