@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, latent, media, packing, secrets, sharding, tokens, urls
+from . import jaccard_join, latent, lines, media, packing, secrets, sharding, tokens, urls
 from .common import Scratch, scratch_path, table
 
 
@@ -55,6 +55,11 @@ def op5_benchmark_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latent.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every document that repeat an earlier line at a Jaccard similarity of 0.8 over 5-word shingles."""
+    return lines.line_report(table(spark, sf_dir, "documents"))
+
+
 #: The rules of the url query: host and path, the longest fitting one wins.
 URL_RULES = [
     ("allow", "com/"),
@@ -80,6 +85,7 @@ QUERIES = {
     "op2_secret_scan": op2_secret_scan,
     "op3_flac_media": op3_flac_media,
     "op5_benchmark_contamination": op5_benchmark_contamination,
+    "op6_line_dedup": op6_line_dedup,
     "op7_url_filter": op7_url_filter,
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_feistel_sharding": op9_feistel_sharding,
