@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, latent, lines, media, packing, secrets, sharding, tokens, urls
+from . import cotraining, jaccard_join, latent, lines, media, packing, secrets, sharding, tokens, urls
 from .common import Scratch, scratch_path, table
 
 
@@ -50,6 +50,12 @@ def op3_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(media.encode_media(table(spark, sf_dir, "documents")))
 
 
+def op4_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's probability of good quality by text, by metadata and by both."""
+    docs = table(spark, sf_dir, "documents")
+    return cotraining.score_documents(docs, cotraining.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op5_benchmark_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every (document, benchmark item) pair where the document holds the item or a paraphrase of it."""
     return latent.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -84,6 +90,7 @@ QUERIES = {
     "op1_token_rollup": op1_token_rollup,
     "op2_secret_scan": op2_secret_scan,
     "op3_flac_media": op3_flac_media,
+    "op4_quality_cotraining": op4_quality_cotraining,
     "op5_benchmark_contamination": op5_benchmark_contamination,
     "op6_line_dedup": op6_line_dedup,
     "op7_url_filter": op7_url_filter,
