@@ -16,7 +16,8 @@ class; classes link when the Jaccard similarity of their sets reaches the thresh
    member. A query class bounds its overlap with a group from these; only groups whose
    bound reaches the threshold are opened, and within them only members that reach
    it themselves. Classes that are in one component already need no comparison.
-4. *Verify.* Opened pairs are verified on their whole texts' sets.
+4. *Verify.* A pair's overlap is bounded again by bits that stand for the whole sets (two
+   a shingle); what may still link is verified on the whole texts' sets.
 
 Steps 2 to 4 lose no link between classes of different components, so the components
 are exact. Texts of compared classes are picked out of the corpus by a bitmap of fixed
@@ -52,7 +53,7 @@ BITMAP_BITS = 26
 #: Spark's bitmap aggregates hold this many bits a row.
 BITMAP_ROW = 32768
 
-SIGNATURE = "doc_id long, text_key binary, set_key binary, n long, prefix binary, leads long, keys binary"
+SIGNATURE = "doc_id long, text_key binary, set_key binary, n long, prefix binary, leads long, keys binary, bits binary"
 
 
 def bucket_counts(docs: DataFrame, k: int) -> np.ndarray:
@@ -110,7 +111,7 @@ def signatures(docs: DataFrame, k: int, num: int, den: int, counts: np.ndarray)
                 for doc_id, text_key, s in zip(ids, keys, sets, strict=True):
                     n = len(s)
                     if not n:
-                        out.append((doc_id, text_key, None, 0, None, None, None))
+                        out.append((doc_id, text_key, None, 0, None, None, None, None))
                         continue
                     probe, _ = prefix_lengths(n, num, den)
                     rank = ranks[(s >> np.uint64(64 - COUNT_BITS)).astype(np.int64)]
@@ -123,12 +124,45 @@ def signatures(docs: DataFrame, k: int, num: int, den: int, counts: np.ndarray)
                     mins = np.where(np.bincount(bins, minlength=MINHASHES) > 0, low, mins)
                     pairs = np.array([mixed(mins[a : a + 1] * np.uint64(3) + mixed(mins[b : b + 1] + np.uint64(i)))[0] for i, (a, b) in enumerate(BUCKET_KEYS)], np.uint64)
                     digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
-                    out.append((doc_id, text_key, digest, n, s[lead].tobytes(), int(rank[lead[0]]), pairs.tobytes()))
+                    out.append((doc_id, text_key, digest, n, s[lead].tobytes(), int(rank[lead[0]]), pairs.tobytes(), union_bits(spread)))
                 yield record_batch(out, schema)
 
     return docs.select("doc_id", "text", "text_key").mapInArrow(sign, SIGNATURE)
 
 
+def union_bits(spread: np.ndarray) -> bytes:
+    """A set as bits: a power of two of them, twice the set's size at least; a hash sets the bit it is modulo that."""
+    m = max(64, 1 << int(2 * len(spread) - 1).bit_length())
+    bits = np.zeros(m, bool)
+    bits[(spread & np.uint64(m - 1)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def most_overlap(x: bytes, nx: int, y: bytes, ny: int) -> int:
+    """No less than the overlap of two sets: whatever sets a bit that the other lacks is in one of them alone."""
+    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    while len(a) > len(b):
+        a = a[: len(a) // 2] | a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] | b[len(b) // 2 :]
+    return min(nx - int(np.bitwise_count(a & ~b).sum()), ny - int(np.bitwise_count(b & ~a).sum()))
+
+
+def within_bounds(pairs: DataFrame, heavy: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) whose overlap can still reach the threshold, by their sets' bits."""
+    ddl = "a long, b long"
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = arrow_schema(ddl)
+        for batch in batches:
+            rows = zip(*[c.to_pylist() for c in batch.columns], strict=True)
+            yield record_batch([(a, b) for a, b, na, nb, x, y in rows if (num + den) * most_overlap(x, na, y, nb) >= num * (na + nb)], schema)
+
+    left = heavy.select(F.col("c").alias("a"), F.col("n").alias("na"), F.col("bits").alias("xa"))
+    right = heavy.select(F.col("c").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("xb"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "xa", "xb").mapInArrow(bound, ddl)
+
+
 def _exploded(ddl: str, column: str, positions: bool):
     """A map from rows with a binary of 64-bit values to one row per value."""
 
@@ -198,10 +232,12 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) ->
 
 
 def similarity_components(
-    df: DataFrame, k: int = 5, threshold: tuple[int, int] = (8, 10), id_col: str = "doc_id", text_col: str = "text"
+    df: DataFrame, k: int = 5, threshold: tuple[int, int] = (8, 10), id_col: str = "doc_id", text_col: str = "text", with_text_key: bool = False
 ) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id, class_size (documents with its very set), class_key.
 
+    with_text_key adds the text's digest and ``component_key``, which no two components share.
+
     threshold: the least Jaccard similarity as a fraction, so that it is met exactly.
     """
     num, den = threshold
@@ -221,9 +257,9 @@ def similarity_components(
     # Written, so that every reader sees the same class numbers.
     classes = scratch.cut(classes, "classes")
 
-    heavy = signed.where("n > 0").select("doc_id", "text_key", "set_key", "prefix", "leads", "keys")
+    heavy = signed.where("n > 0").select("doc_id", "text_key", "set_key", "prefix", "leads", "keys", "bits")
     same = [heavy["set_key"] == classes["set_key"], heavy["doc_id"].eqNullSafe(classes["rep_id"]), heavy["text_key"] == classes["text_key"]]
-    heavy = scratch.cut(heavy.join(classes, same).select("c", "n", "prefix", "leads", "keys"), "heavy")
+    heavy = scratch.cut(heavy.join(classes, same).select("c", "n", "prefix", "leads", "keys", "bits"), "heavy")
 
     # Groups: one leader per bucket, one pair per class and bucket.
     at_keys = heavy.select("c", "n", "leads", "keys").mapInArrow(_exploded("c long, n long, leads long, keys long", "keys", False), "c long, n long, leads long, keys long")
@@ -231,15 +267,17 @@ def similarity_components(
     leaders = at_keys.groupBy("keys").agg(F.max(F.struct("leads", "c", "n")).alias("top"), F.count("*").alias("met")).where("met > 1")
     stars = at_keys.join(leaders, "keys").where("c != top.c").select("c", "n", F.col("top.c").alias("leader"), F.col("top.n").alias("leader_n"))
     stars = stars.where(f"{den} * least(n, leader_n) >= {num} * greatest(n, leader_n)")
-    stars = scratch.cut(stars.select(F.col("leader").alias("a"), F.col("c").alias("b")).distinct(), "stars")
+    stars = stars.select(F.col("leader").alias("a"), F.col("c").alias("b")).distinct()
+    stars = scratch.cut(within_bounds(stars, heavy, num, den), "stars")
     links = scratch.cut(verified(stars, scratch.cut(class_texts(stars, classes, docs), "star-texts"), k, num, den), "star-links")
     scratch.drop("star-texts", "buckets")
     grouped = connected_components(links, "a", "b", scratch)
 
     # The matrix, and the queries against it. Singles are groups of one.
-    tokens = heavy.select("c", "n", "prefix").mapInArrow(_exploded("prefix long, c long, n long, pos long", "prefix", True), "prefix long, c long, n long, pos long")
     group = grouped.select(F.col("node").alias("c"), F.col("component").alias("g"))
-    postings = tokens.join(group, "c", "left").select(F.col("prefix").alias("token"), "c", "n", "pos", F.coalesce("g", "c").alias("g"))
+    leading = heavy.select("c", "n", "prefix").join(group, "c", "left").select("prefix", "c", "n", F.coalesce("g", "c").alias("g"))
+    ddl = "prefix long, c long, n long, g long, pos long"
+    postings = scratch.cut(leading.mapInArrow(_exploded(ddl, "prefix", True), ddl).withColumnRenamed("prefix", "token"), "postings")
     index_length = F.expr(f"n - ((2 * {num} * n + {num + den - 1}) div {num + den}) + 1")
     postings = scratch.cut(postings, "postings")
     index = postings.where(F.col("pos") < index_length)
@@ -253,7 +291,8 @@ def similarity_components(
     opened = qualify.join(index.select("token", "g", "c", "n", "pos"), ["token", "g"]).where("n <= q_n").where(f"{den} * n >= {num} * q_n")
     exact = F.expr(f"({num} * (q_n + n) + {num + den - 1}) div {num + den}")
     opened = opened.where(F.least(F.expr("q_n - q_pos"), F.expr("n - pos")) >= exact)
-    opened = scratch.cut(opened.select(F.col("q").alias("a"), F.col("c").alias("b")).distinct(), "opened")
+    opened = opened.select(F.col("q").alias("a"), F.col("c").alias("b")).distinct()
+    opened = scratch.cut(within_bounds(opened, heavy, num, den), "opened")
     scratch.drop("postings", "qualify", "heavy")
     more = scratch.cut(verified(opened, scratch.cut(class_texts(opened, classes, docs), "open-texts"), k, num, den), "open-links")
     scratch.drop("open-texts")
@@ -261,12 +300,30 @@ def similarity_components(
     whole = connected_components(links.union(more), "a", "b", scratch)
     named = classes.join(whole.select(F.col("node").alias("c"), "component"), "c", "left").withColumn("component", F.coalesce("component", "c"))
     least_ids = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    named = scratch.cut(named.join(least_ids, "component").select("set_key", "component_id", "class_size"), "named")
-    rows = signed.select("doc_id", "n", "set_key").join(named, "set_key", "left")
+    named = scratch.cut(named.join(least_ids, "component").select("set_key", "component", "component_id", "class_size"), "named")
+    rows = signed.select("doc_id", "text_key", "n", "set_key").join(named, "set_key", "left")
+    alone = F.concat_ws(":", F.lit("row"), "doc_id", F.hex("text_key"))
+    more = ["text_key", F.coalesce(F.col("component").cast("string"), alone).alias("component_key")] if with_text_key else []
     return rows.select(
         "doc_id",
         F.col("n").alias("n_shingles"),
         F.coalesce("component_id", "doc_id").alias("component_id"),
         F.coalesce("class_size", F.lit(1)).alias("class_size"),
         F.hex("set_key").alias("class_key"),
+        *more,
     )
+
+
+def one_of_each(df: DataFrame, k: int = 5, threshold: tuple[int, int] = (8, 10), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """df with one row of each component: least id first (nulls last), then least text digest.
+
+    Rows without a shingle link with nothing and all stay, except repeats of a whole (id, text).
+    """
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    found = similarity_components(df, k, threshold, id_col, text_col, with_text_key=True)
+    # The component's key is its least class, so that rows with null ids have one as well.
+    best = found.groupBy("component_key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("best"))
+    best = best.select(F.col("best.doc_id").alias("oj_id_"), F.col("best.text_key").alias("oj_key_")).distinct()
+    keyed = df.withColumn("oj_doc_", F.col(id_col).cast("long")).withColumn("oj_text_", F.unhex(F.md5(text)))
+    met = keyed.join(best, [F.col("oj_doc_").eqNullSafe(F.col("oj_id_")), F.col("oj_text_") == F.col("oj_key_")], "left_semi")
+    return met.drop("oj_doc_", "oj_text_").dropDuplicates([id_col, text_col])
