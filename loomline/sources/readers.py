@@ -23,7 +23,10 @@ def raw_channels(spark: SparkSession, path: str) -> DataFrame:
 
 def broken_files(spark: SparkSession, path: str, ddl: str = schemas.RAW_CHANNEL) -> DataFrame:
     """Names of files that do not parse, to report."""
-    return _multiline(spark, path, ddl).where(F.col(CORRUPT).isNotNull()).select("file_name")
+    # A scan may not read the corrupt column alone, so the text is parsed here.
+    whole = spark.read.text(path, wholetext=True).withColumn("file_name", F.col("_metadata.file_name"))
+    parsed = F.from_json("value", f"struct<{_as_struct(ddl)}, {CORRUPT}:string>", {"columnNameOfCorruptRecord": CORRUPT})
+    return whole.withColumn("r", parsed).where(F.col(f"r.{CORRUPT}").isNotNull()).select("file_name")
 
 
 def clean_channels(spark: SparkSession, path: str) -> DataFrame:
