@@ -11,7 +11,8 @@ from .common import Scratch, scratch_path, table
 
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose sets of 3-word shingles reach a Jaccard similarity of 0.9."""
-    return jaccard_join.similarity_components(table(spark, sf_dir, "documents"), 3, (90, 100))
+    found = jaccard_join.similarity_components(table(spark, sf_dir, "documents"), 3, (90, 100))
+    return found.select("doc_id", "n_shingles", "component_id")
 
 
 def op9_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,4 +100,47 @@ QUERIES = {
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
-ORACLES: dict[str, str] = {}
+def _round(i: int, inner: str, mask: str) -> str:
+    """One round of the network over (row_no, n, lm, rm, rw, s, l, r) rows."""
+    t = f"((r + {sharding.ROUND_KEYS[i]}) % {sharding.PRIME})"
+    return f"SELECT row_no, n, lm, rm, rw, s, r AS l, xor(l, ({t} * {t} % {sharding.PRIME} * {sharding.MULTIPLIER} % {sharding.PRIME}) & {mask}) AS r FROM ({inner})"
+
+
+def _feistel_sql(shards: int = 16) -> str:
+    step = "SELECT row_no, n, lm, rm, rw, s, x >> rw AS l, x & rm AS r FROM k WHERE s = 0 OR x >= n"
+    for i in range(len(sharding.ROUND_KEYS)):
+        step = _round(i, step, ("lm", "rm")[i % 2])
+    return f"""WITH RECURSIVE tab AS (SELECT list_transform(range(256), lambda b: list_reduce(list_concat([b::BIGINT], range(8)::BIGINT[]), lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab),
+  d AS (SELECT doc_id, coalesce(strlen(text), 0) + 1 AS size, hex(encode(coalesce(text, ''))) AS h FROM documents),
+  c AS (SELECT doc_id, size, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(range(0, length(h) // 2), lambda j: ('0x' || substr(h, 2 * j + 1, 2))::BIGINT)), lambda a, b: xor(a >> 8, tab[(xor(a, b) & 255) + 1])), 4294967295) AS text_crc32 FROM d, tab),
+  b AS (SELECT n, bits // 2 AS lw, bits - bits // 2 AS rw FROM (SELECT count(*) AS n, greatest(2, length(bin(count(*) - 1))) AS bits FROM documents)),
+  o AS (SELECT *, row_number() OVER (ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS row_no FROM c),
+  k AS (SELECT row_no, n, (1::BIGINT << lw) - 1 AS lm, (1::BIGINT << rw) - 1 AS rm, rw, 0 AS s, row_no AS x FROM o, b
+    UNION ALL SELECT row_no, n, lm, rm, rw, s + 1, (l << rw) | r FROM ({step}))
+  SELECT doc_id, size, text_crc32, 'rows' AS law, (x % {shards})::INT AS shard, x // {shards} AS slot, NULL::INT AS grown_shard FROM k JOIN o USING (row_no) WHERE s > 0 AND x < n"""
+
+
+_FEISTEL_SQL = _feistel_sql()
+
+_SHINGLED = """WITH w AS (SELECT {keys}, list_filter(regexp_split_to_array({lowered}, '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS w FROM {source}),
+  g AS (SELECT {keys}, unnest(list_distinct(CASE WHEN len(w) >= {k} THEN list_transform(range(1, len(w) - {k} + 2), lambda i: array_to_string(w[i:i + {k} - 1], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS g FROM w WHERE len(w) >= {least}),
+  n AS (SELECT {keys}, count(*) AS n FROM g GROUP BY ALL)"""
+
+ORACLES: dict[str, str] = {
+    "op6_line_dedup": _SHINGLED.format(keys="doc_id, i", lowered="lower(line)", k=5, least=5, source="(SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS i, unnest(string_split(text, chr(10))) AS line FROM documents)")
+    + """, h AS (SELECT b.doc_id, b.i FROM g a JOIN g b ON a.g = b.g AND (a.doc_id, a.i) < (b.doc_id, b.i) JOIN n na ON (na.doc_id, na.i) = (a.doc_id, a.i) JOIN n nb ON (nb.doc_id, nb.i) = (b.doc_id, b.i)
+      GROUP BY a.doc_id, a.i, b.doc_id, b.i, na.n, nb.n HAVING 10 * count(*) >= 8 * (na.n + nb.n - count(*))),
+  r AS (SELECT doc_id, count(DISTINCT i) AS n_removed, array_to_string(list_sort(list(DISTINCT i)), ',') AS removed_lines FROM h GROUP BY doc_id)
+  SELECT doc_id, len(string_split(text, chr(10))) AS n_lines, coalesce(n_removed, 0) AS n_removed, coalesce(removed_lines, '') AS removed_lines FROM documents LEFT JOIN r USING (doc_id)""",
+    # No page of these tables holds a canonical link or a refresh, so rules decide all; tests cover links.
+    "op7_url_filter": """WITH u AS (SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+  r AS (SELECT * FROM (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')) AS t(act, h, p)),
+  m AS (SELECT page_id, arg_max(h || p, length(h || p)) AS rule, arg_max(act, length(h || p)) AS act FROM u JOIN r ON (host = h OR host LIKE '%.' || h) AND starts_with(path, p) GROUP BY page_id)
+  SELECT page_id, host, path, rule, coalesce(act, 'allow') AS verdict, NULL::VARCHAR AS component FROM u LEFT JOIN m USING (page_id)""",
+    "op8_ngram_jaccard": "WITH RECURSIVE" + _SHINGLED.format(keys="doc_id", lowered="translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')", k=3, least=0, source="documents").removeprefix("WITH")
+    + """, l AS (SELECT a.doc_id AS x, b.doc_id AS y FROM g a JOIN g b ON a.g = b.g AND a.doc_id <> b.doc_id JOIN n na ON na.doc_id = a.doc_id JOIN n nb ON nb.doc_id = b.doc_id
+      GROUP BY a.doc_id, b.doc_id, na.n, nb.n HAVING 100 * count(*) >= 90 * (na.n + nb.n - count(*))),
+  reach AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT reach.doc_id, l.y FROM reach JOIN l ON l.x = reach.other)
+  SELECT doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(other) AS component_id FROM reach LEFT JOIN n USING (doc_id) GROUP BY doc_id""",
+    "op9_feistel_sharding": _FEISTEL_SQL,
+}
