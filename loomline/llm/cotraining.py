@@ -38,7 +38,7 @@ GRAM_BITS, HASHED = 11, 32
 TEXT_DIMS = (1 << GRAM_BITS) + 3
 SIZE_BINS = 24
 META_DIMS = 2 * HASHED + SIZE_BINS + 9
-LABELLED, POOL, HELD_OUT = 4000, 3000, 0.25
+LABELLED, POOL, HELD_OUT = 3000, 2000, 0.25
 ROUNDS, PER_ROUND, SURE = 5, 100, 0.9
 #: A row goes only where the odds against it are nearly two to one; clean rows near the border stay.
 THRESHOLD = 0.35
@@ -101,8 +101,12 @@ class Logistic:
         self.penalty, self.w = penalty, None
 
     def fit(self, x: np.ndarray, y: np.ndarray, steps: int = 150) -> Logistic:
-        self.mean, self.scale = x.mean(0), x.std(0) + 1e-3
-        z = np.hstack([(x - self.mean) / self.scale, np.ones((len(x), 1), np.float32)]).astype(np.float32)
+        self.mean = x.mean(0)
+        z = np.ones((len(x), x.shape[1] + 1), np.float32)
+        # In place: the driver holds one standardised copy and no temporaries of its size.
+        np.subtract(x, self.mean, out=z[:, :-1])
+        self.scale = np.sqrt(np.einsum("ij,ij->j", z[:, :-1], z[:, :-1]) / max(1, len(x))) + 1e-3
+        z[:, :-1] /= self.scale
         weight = np.where(y, 0.5 / max(1, y.sum()), 0.5 / max(1, (~y).sum())).astype(np.float32)
         w = np.zeros(z.shape[1], np.float32)
         ahead, rate = w.copy(), 4.0 / (_top_eigen(z, weight) + 4 * self.penalty)
@@ -116,7 +120,8 @@ class Logistic:
         return self
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        return ((x - self.mean) / self.scale) @ self.w[:-1] + self.w[-1]
+        w = self.w[:-1] / self.scale
+        return x @ w + (self.w[-1] - self.mean @ w)
 
 
 def _top_eigen(z: np.ndarray, weight: np.ndarray) -> float:
@@ -240,9 +245,15 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
     met = met.orderBy(F.col("label").isNull(), "order_", "doc_id", "tie_").limit(LABELLED + POOL)
     rows = _featured(met).collect()
     known, pool = [r for r in rows if r["label"] is not None], [r for r in rows if r["label"] is None]
+    del rows
     if not known:
         return None
-    return cotrain(*_unpacked(known), np.array([r["label"] == 1 for r in known]), *_unpacked(pool))
+    good = np.array([r["label"] == 1 for r in known])
+    labelled = _unpacked(known)
+    del known  # packed rows go as soon as they are unpacked
+    unlabelled = _unpacked(pool)
+    del pool
+    return cotrain(*labelled, good, *unlabelled)
 
 
 SCORES = "doc_id long, p_text double, p_meta double, p_quality double, keep boolean"

@@ -81,7 +81,7 @@ def test_op5_finds_what_brute_force_finds(spark, data, docs, duck):
         for item in items:
             n = len(item.words)
             for a in range(0, max(1, len(words) - latent.HALF), latent.HALF):
-                part = words[max(0, a - latent.SLACK) : a + n + latent.HALF]
+                part = words[max(0, a - latent.MARGIN) : a + n + latent.HALF]
                 if latent.confirmed(latent.lcs_length(item.masks, n, part) / n, latent.lcs_length(item.answer, item.answer_words, part) / item.answer_words):
                     expected.add((t.doc_id, item.item_id))
     got = {(r["doc_id"], r["item_id"]) for r in queries.op5_benchmark_contamination(spark, data).collect()}
