@@ -7,10 +7,12 @@ the threshold with it, whether or not that line is itself removed. Lines of fewe
 
 1. Tokens are ordered by rarity: the count of their hash bucket (2^16 counts over the
    corpus, a fixed size that fits the plan), then the hash.
-2. Lines with equal token sets are one set, placed at its first line. Sets are numbered
-   in the order of their places.
-3. *Leaders.* Sets that share a min-hash compare with two sets of their bucket, the first
-   and the one whose rarest token is commonest (the least edited): one pair each.
+2. Lines with equal token sets are one set, placed at its first line. Only lines with a
+   leading token that some other prefix has are looked at further: a bitmap of 2^25 such
+   tokens tells, and being full it would merely let more lines through. Sets are numbered in the order
+   of their places.
+3. *Leaders.* Sets that share their least or their greatest token hash compare with two
+   sets of their bucket, the first and the least edited: one pair each.
    What matches is removed, and needs no further comparison as the later of a pair.
 4. *Join.* Sets meet on tokens of their prefixes, under the length filter and the
    positional filter. One side is always a set not removed yet, so that a hot
@@ -29,6 +31,9 @@ other columns pass through ``deduplicated`` untouched.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,23 +42,65 @@ from .common import Scratch
 RANK_BITS = 16
 HASH_MASK = (1 << 48) - 1
 MOST_RANK = 32767
-BITMAP_BITS, BITMAP_ROW = 26, 32768
+BITMAP_BITS = 25
+OTHER_SPACE = "\t\x0b\x0c\r"
 
 
 def _bucket(token: Column) -> Column:
     return token.bitwiseAND(F.lit((1 << RANK_BITS) - 1).cast("long"))
 
 
+def _with_hashes(df: DataFrame, line: str) -> DataFrame:
+    """df with ``hashes_``: the hash of each word of the line in lower case."""
+    df = df.withColumn("low_", F.lower(F.col(line)))
+    # Splitting at a single character needs no regular expression; other white space is rare.
+    odd = reduce(or_, [F.contains("low_", F.lit(c)) for c in OTHER_SPACE])
+    plain = F.when(odd, F.translate("low_", OTHER_SPACE, " " * len(OTHER_SPACE))).otherwise(F.col("low_"))
+    words = F.array_remove(F.split(plain, " "), "")
+    return df.withColumn("hashes_", F.transform(words, lambda w: F.xxhash64(w))).drop("low_")
+
+
+def _doublings(k: int) -> list[tuple[int, bool]]:
+    """Steps from one word to k: (words so far, whether the step adds one word or as many again)."""
+    steps, have = [], 1
+    for bit in bin(k)[3:]:
+        steps.append((have, False))
+        have *= 2
+        if bit == "1":
+            steps.append((have, True))
+            have += 1
+    return steps
+
+
 def _with_tokens(df: DataFrame, line: str, k: int) -> DataFrame:
-    """df with ``tokens``: hashes of the line's distinct k-word shingles."""
-    words = F.filter(F.split(F.lower(F.col(line)), r"[ \t\x0B\f\r]+"), lambda w: w != "")
-    df = df.withColumn("hashes_", F.transform(words, lambda w: F.xxhash64(w)))
-    at = lambda i, j: F.element_at("hashes_", (i + F.lit(j)).cast("int"))
+    """df with ``tokens``: hashes of the line's distinct k-word shingles.
+
+    Hashes of neighbours are combined pairwise, which costs a few short folds per line;
+    each array is a column of its own, so that none is built twice.
+    """
+    df = _with_hashes(df, line).withColumn("rolled_", F.col("hashes_"))
+    first = lambda c, less: F.slice(c, F.lit(1), F.greatest(F.size(c) - F.lit(less), F.lit(0)))
+    after = lambda c, skip: F.slice(c, F.lit(skip + 1), F.greatest(F.size(c) - F.lit(skip), F.lit(0)))
+    for have, one in _doublings(k):
+        left, right = (first("rolled_", 1), after("hashes_", have)) if one else (first("rolled_", have), after("rolled_", have))
+        df = df.withColumn("rolled_", F.zip_with(left, right, lambda a, b: F.xxhash64(a, b)))
     n = F.size("hashes_")
-    rolled = F.transform(F.sequence(F.lit(1), n - F.lit(k - 1)), lambda i: F.xxhash64(*[at(i, j) for j in range(k)]))
     short = F.array(F.xxhash64("hashes_"))
-    tokens = F.when(n >= k, F.array_distinct(rolled)).when(n > 0, short).otherwise(F.array().cast("array<bigint>"))
-    return df.withColumn("tokens", tokens).drop("hashes_")
+    tokens = F.when(n >= k, F.array_distinct("rolled_")).when(n > 0, short).otherwise(F.array().cast("array<bigint>"))
+    return df.withColumn("tokens", tokens).drop("hashes_", "rolled_")
+
+
+def _token_rows(df: DataFrame, line: str, k: int) -> DataFrame:
+    """(t): every k-word shingle of every line, in generated code; the same hashes as in ``tokens``."""
+    rows = _with_hashes(df, line).select("hashes_", F.posexplode_outer("hashes_").alias("at_", "word_"))
+
+    def combined(at: int) -> Column:
+        make = lambda i: F.get("hashes_", F.col("at_") + F.lit(i))
+        for have, one in _doublings(k):
+            make = (lambda i, f=make, n=have: F.xxhash64(f(i), F.get("hashes_", F.col("at_") + F.lit(i + n)))) if one else (lambda i, f=make, n=have: F.xxhash64(f(i), f(i + n)))
+        return make(at)
+
+    return rows.where(F.col("at_") <= F.size("hashes_") - F.lit(k)).select(combined(0).alias("t"))
 
 
 def _documents(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -72,10 +119,8 @@ def _of_words(line: Column, least: int) -> Column:
 
 
 def token_ranks(tokens: DataFrame) -> Column:
-    """An array of 2^16 ranks, rarer buckets lower, as a constant of the plan."""
-    # explode_outer: for explode, the optimizer would add a filter that hashes each line anew for every shingle.
-    each = tokens.select(F.explode_outer("tokens").alias("t")).where("t is not null")
-    counts = each.groupBy(_bucket(F.col("t")).cast("int").alias("b")).agg(F.count("*").alias("n"))
+    """Of token rows (t): an array of 2^16 ranks, rarer buckets lower, as a constant of the plan."""
+    counts = tokens.groupBy(_bucket(F.col("t")).cast("int").alias("b")).agg(F.count("*").alias("n"))
     found = {r["b"]: r["n"] for r in counts.collect()}  # 65536 rows at most
     mean = max(1.0, sum(found.values()) / (1 << RANK_BITS))
     ranks = ",".join(str(min(MOST_RANK, int(64 * found.get(b, 0) / mean))) for b in range(1 << RANK_BITS))
@@ -87,36 +132,43 @@ def _signed(df: DataFrame, ranks: Column, num: int, den: int) -> DataFrame:
     low = F.lit(HASH_MASK).cast("long")
 
     def ordered(t: Column) -> Column:
-        rank = F.element_at(ranks, (_bucket(t) + F.lit(1)).cast("int"))
+        rank = F.get(ranks, _bucket(t).cast("int"))
         return F.shiftleft(rank, 48).bitwiseOR(F.shiftrightunsigned(t, 16).bitwiseAND(low))
 
     df = df.withColumn("n", F.size("tokens")).withColumn("sorted_", F.sort_array(F.transform("tokens", ordered)))
-    plain = F.sort_array(F.col("tokens"))
     probe = F.expr(f"n - (({num} * n + {den - 1}) div {den}) + 1").cast("int")
     return df.select(
         *[c for c in df.columns if c not in ("tokens", "sorted_", "line", "text")],
-        F.xxhash64(plain).alias("k1"),
-        F.xxhash64(F.lit(1), plain).alias("k2"),
-        F.array(F.array_min(F.transform("tokens", lambda t: F.xxhash64(t))), F.array_min(F.transform("tokens", lambda t: F.xxhash64(t, F.lit(1))))).alias("keys"),
+        F.xxhash64("sorted_").alias("k1"),
+        F.xxhash64(F.lit(1), F.col("sorted_")).alias("k2"),
+        F.array_min("tokens").alias("low"),
+        F.array_max("tokens").alias("high"),
         F.slice("sorted_", F.lit(1), probe).alias("prefix"),
     )
 
 
+def _bitmap(spots: DataFrame) -> DataFrame:
+    """(word_, bits_): the numbers s of 0..2^25-1 as a bitmap of at most 2^19 words of 64 bits."""
+    return spots.groupBy(F.shiftright("s", 6).alias("word_")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 63 as int))")).alias("bits_"))
+
+
+def _in_bitmap(df: DataFrame, bitmap: DataFrame) -> DataFrame:
+    """Rows of df whose s is in the bitmap; the bitmap is broadcast, its size is bounded."""
+    met = df.withColumn("word_", F.shiftright("s", 6)).join(F.broadcast(bitmap), "word_")
+    return met.where("(shiftright(bits_, cast(s & 63 as int)) & 1L) = 1").drop("s", "word_", "bits_")
+
+
 def _token_sets(pairs: DataFrame, sets: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """(sid, tokens) of every set in a pair, from the line where it stands."""
     wanted = pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))).distinct()
     wanted = wanted.join(sets.select("sid", F.col("doc_id").alias("w_id"), F.col("text_hash").alias("w_hash"), F.col("line_no").alias("w_no")), "sid")
-    spot = lambda i, h: F.pmod(F.xxhash64(i, h), F.lit(1 << BITMAP_BITS))
+    spot = lambda i, h: F.pmod(F.xxhash64(i, h), F.lit(1 << BITMAP_BITS)).cast("int")
     spots = wanted.select(spot(F.col("w_id"), F.col("w_hash")).alias("s"))
-    bits = spots.groupBy(F.expr(f"s div {BITMAP_ROW}").alias("row_")).agg(F.bitmap_construct_agg(F.pmod("s", F.lit(BITMAP_ROW))).alias("bits"))
-    # At most 2048 rows of 4 KB, whatever the number of pairs.
-    met = docs.withColumn("s", spot(F.col("doc_id"), F.col("text_hash"))).withColumn("row_", F.expr(f"s div {BITMAP_ROW}")).join(F.broadcast(bits), "row_")
-    byte = f"conv(hex(substring(bits, cast(s % {BITMAP_ROW} div 8 as int) + 1, 1)), 16, 10)"
-    met = met.where(f"(shiftright(cast({byte} as int), cast(s % 8 as int)) & 1) = 1").select("doc_id", "text_hash", "text")
+    met = _in_bitmap(docs.withColumn("s", spot(F.col("doc_id"), F.col("text_hash"))), _bitmap(spots)).select("doc_id", "text_hash", "text")
     lines = _lines(met)
     same = [lines["doc_id"].eqNullSafe(wanted["w_id"]), lines["text_hash"] == wanted["w_hash"], lines["line_no"] == wanted["w_no"]]
     lines = lines.join(wanted, same).select("sid", "line")
-    return _with_tokens(lines, "line", k).select("sid", "tokens").dropDuplicates(["sid"])
+    return _with_tokens(lines, "line", k).select("sid", "tokens")
 
 
 def _verified(pairs: DataFrame, tokens: DataFrame, num: int, den: int) -> DataFrame:
@@ -134,48 +186,55 @@ def removed_lines(
     num, den = threshold
     scratch = Scratch(df.sparkSession)
     docs = _documents(df, id_col, text_col)
-    tokens = _with_tokens(_lines(docs).where(_of_words(F.col("line"), least_words)), "line", k)
-    ranks = token_ranks(tokens)
-    lines = scratch.cut(_signed(tokens, ranks, num, den), "lines")
+    long_enough = _lines(docs).where(_of_words(F.col("line"), least_words))
+    ranks = token_ranks(_token_rows(long_enough, "line", k))
+    lines = scratch.cut(_signed(_with_tokens(long_enough, "line", k), ranks, num, den), "lines")
+
+    # A token that stands in one prefix alone meets nothing. Those that stand in several, as
+    # a bitmap, pick the lines and tokens that any later step has to read.
+    spot = F.col("token").bitwiseAND(F.lit((1 << BITMAP_BITS) - 1).cast("long")).cast("int")
+    seen = lines.select(F.explode_outer("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    twice = scratch.cut(_bitmap(seen.where("n > 1 and token is not null").select(spot.alias("s"))), "twice")
+    every = lines.select("k1", "k2", "doc_id", "line_no", "text_hash", "n", "low", "high", F.posexplode("prefix").alias("pos", "token"))
+    hits = _in_bitmap(every.withColumn("s", spot), twice)
 
     # Sets in the order of their places: a range shuffle, then numbers that rise with it.
-    place = F.struct("doc_id", "line_no", "text_hash")
-    sets = lines.groupBy("k1", "k2").agg(F.min(place).alias("p"), F.count("*").alias("lines"))
-    sets = sets.select("k1", "k2", "p.doc_id", "p.line_no", "p.text_hash")
+    sets = hits.select("k1", "k2", "doc_id", "line_no", "text_hash", "n", "low", "high").distinct()
+    sets = sets.groupBy("k1", "k2", "n", "low", "high").agg(F.min(F.struct("doc_id", "line_no", "text_hash")).alias("p"))
+    sets = sets.select("k1", "k2", "n", "low", "high", "p.*")
     order = [F.col("doc_id").asc_nulls_first(), "line_no", "k1", "k2"]
     sets = sets.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("sid", F.monotonically_increasing_id())
     sets = scratch.cut(sets, "sets")
-
-    # The place is in the join, so that a hot set meets one row of its lines.
-    heavy = lines.alias("l").join(sets.alias("s"), F.expr("l.k1 = s.k1 and l.k2 = s.k2 and l.doc_id <=> s.doc_id and l.line_no = s.line_no and l.text_hash = s.text_hash"))
-    heavy = scratch.cut(heavy.selectExpr("sid", "n", "keys", "prefix").dropDuplicates(["sid"]), "heavy")
-
-    # Leaders.
-    at_keys = heavy.select("sid", "n", F.col("prefix")[0].alias("lead"), F.explode("keys").alias("key"))
-    chosen = at_keys.groupBy("key").agg(F.min("sid").alias("first"), F.max(F.struct("lead", -F.col("sid"))).alias("least"), F.count("*").alias("met")).where("met > 1")
-    stars = at_keys.join(chosen, "key").select("sid", F.explode(F.array("first", -F.col("least.col2"))).alias("a")).where("a < sid")
+    tokens = hits.select("k1", "k2", "pos", "token").distinct().join(sets.select("k1", "k2", "sid", "n"), ["k1", "k2"])
+    postings = scratch.cut(tokens.select("sid", "n", "pos", "token"), "postings")
+
+    # Leaders: the first of a bucket, and the one that shares its rarest token soonest.
+    soonest = postings.groupBy("sid").agg(F.min("pos").alias("soon"))
+    at_keys = sets.select("sid", F.explode(F.array("low", "high")).alias("key")).join(soonest, "sid")
+    chosen = at_keys.groupBy("key").agg(F.min("sid").alias("first"), F.min(F.struct("soon", "sid")).alias("least"), F.count("*").alias("met")).where("met > 1")
+    stars = at_keys.join(chosen, "key").select("sid", F.explode(F.array("first", "least.sid")).alias("a")).where("a < sid")
     stars = scratch.cut(stars.select("a", F.col("sid").alias("b")).distinct(), "stars")
     gone = scratch.cut(_verified(stars, scratch.cut(_token_sets(stars, sets, docs, k), "star-tokens"), num, den), "gone")
-    scratch.drop("star-tokens", "stars")
+    scratch.drop("star-tokens", "stars", "twice")
 
     # The join. The smaller set is found by its index prefix, the larger looks up its probe prefix.
-    marked = heavy.select("sid", "n", "prefix").join(gone.select(F.col("b").alias("sid"), F.lit(True).alias("gone")), "sid", "left")
-    marked = marked.select("sid", "n", "prefix", F.coalesce("gone", F.lit(False)).alias("gone"))
-    index_length = F.expr(f"n - ((2 * {num} * n + {num + den - 1}) div {num + den}) + 1").cast("int")
-    larger = lambda d: d.select(F.col("sid").alias("x"), F.col("n").alias("nx"), F.posexplode("prefix").alias("px", "token"))
-    smaller = lambda d: d.select(F.col("sid").alias("y"), F.col("n").alias("ny"), F.posexplode(F.slice("prefix", F.lit(1), index_length)).alias("py", "token"))
+    marked = postings.join(gone.select(F.col("b").alias("sid"), F.lit(True).alias("gone")), "sid", "left")
+    marked = marked.select("sid", "n", "pos", "token", F.coalesce("gone", F.lit(False)).alias("gone"))
+    index_length = F.expr(f"n - ((2 * {num} * n + {num + den - 1}) div {num + den}) + 1")
+    larger = lambda d: d.select(F.col("sid").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("px"), "token")
+    smaller = lambda d: d.where(F.col("pos") < index_length).select(F.col("sid").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("py"), "token")
     fits = f"ny <= nx and {den} * ny >= {num} * nx and least(nx - px, ny - py) >= ({num} * (nx + ny) + {num + den - 1}) div {num + den}"
     kept = marked.where("not gone")
     later_larger = larger(kept).join(smaller(marked), "token").where(f"y < x and {fits}").selectExpr("y as a", "x as b")
     later_smaller = smaller(kept).join(larger(marked), "token").where(f"x < y and {fits}").selectExpr("x as a", "y as b")
     opened = scratch.cut(later_larger.union(later_smaller).distinct(), "opened")
     more = scratch.cut(_verified(opened, scratch.cut(_token_sets(opened, sets, docs, k), "open-tokens"), num, den), "more")
-    scratch.drop("open-tokens", "heavy", "opened")
+    scratch.drop("open-tokens", "postings", "opened")
 
     out = gone.union(more).select(F.col("b").alias("sid"), F.lit(True).alias("gone"))
     judged = sets.join(out, "sid", "left").selectExpr("k1", "k2", "doc_id as f_id", "line_no as f_no", "coalesce(gone, false) as gone")
-    every = lines.select("doc_id", "text_hash", "line_no", "k1", "k2").join(judged, ["k1", "k2"])
-    return every.where("gone or not (doc_id <=> f_id and line_no = f_no)").select("doc_id", "text_hash", "line_no")
+    whole = lines.select("doc_id", "text_hash", "line_no", "k1", "k2").join(judged, ["k1", "k2"])
+    return whole.where("gone or not (doc_id <=> f_id and line_no = f_no)").select("doc_id", "text_hash", "line_no")
 
 
 def _by_document(gone: DataFrame) -> DataFrame:
