@@ -109,7 +109,7 @@ class Logistic:
         z[:, :-1] /= self.scale
         weight = np.where(y, 0.5 / max(1, y.sum()), 0.5 / max(1, (~y).sum())).astype(np.float32)
         w = np.zeros(z.shape[1], np.float32)
-        ahead, rate = w.copy(), 4.0 / (_top_eigen(z, weight) + 4 * self.penalty)
+        ahead, rate = w.copy(), 2.0 / (_top_eigen(z, weight) + 4 * self.penalty)
         for i in range(steps):
             p = _sigmoid(z @ ahead)
             grad = z.T @ ((p - y) * weight) + self.penalty * np.append(ahead[:-1], 0).astype(np.float32)
@@ -125,8 +125,8 @@ class Logistic:
 
 
 def _top_eigen(z: np.ndarray, weight: np.ndarray) -> float:
-    v = np.ones(z.shape[1], np.float32)
-    for _ in range(15):
+    v = np.random.default_rng(0).standard_normal(z.shape[1], dtype=np.float32)
+    for _ in range(30):
         v = z.T @ (weight * (z @ v))
         v /= max(float(np.linalg.norm(v)), 1e-20)
     return float(v @ (z.T @ (weight * (z @ v)))) * 1.1 + 1e-6
@@ -175,7 +175,9 @@ class Model:
 
 def cotrain(text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool_text: np.ndarray, pool_meta: np.ndarray) -> Model | None:
     """A model from labelled rows (y: good) in a set order and pool rows; None without both classes."""
-    held = np.arange(len(y)) % round(1 / HELD_OUT) == 0
+    held = np.zeros(len(y), bool)
+    for label in (True, False):  # by class, so that a rare one is on both sides
+        held[np.flatnonzero(y == label)[:: round(1 / HELD_OUT)]] = True
     if any(len(np.unique(part)) < 2 for part in (y[held], y[~held])):
         return None
     known = [(text[~held], y[~held]), (meta[~held], y[~held])]
