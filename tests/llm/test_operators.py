@@ -228,3 +228,19 @@ def test_latent_cases(spark, odd, none):
     assert clean.columns == docs.columns and {r["doc_id"] for r in clean.collect()} == {*range(60), 103}
     assert latent.find_contamination(none, bench).count() == 0 and latent.find_contamination(odd, bench.limit(0)).count() == 0
     assert latent.decontaminate(odd, bench).count() == len(ROWS)
+
+
+def test_latent_copies_need_no_cosine():
+    rng = random.Random(9)
+    text = lambda n: " ".join(rng.choices([f"v{i}" for i in range(3000)], k=n))
+    items = [latent.Item(i, text(n)) for i, n in enumerate((5, 15, 24, 60, 64, 65, 200))]
+    copies = {i: item.words for i, item in enumerate(items)}
+    # Near copies and a paraphrase at the least ratio: every fourth word is another, or more than two in five.
+    copies |= {10 + i: [w if j % 4 else rng.getrandbits(63) for j, w in enumerate(items[i].words)] for i in (2, 3, 5)}
+    copies[20] = [rng.getrandbits(63) if 3 < j < 30 else w for j, w in enumerate(items[3].words)]
+    blind = latent.Index(np.zeros((latent.DIMS, 4), np.float32), np.ones(latent.DIMS, np.float32), items)
+    for key, words in copies.items():
+        around = [latent._hash_list(text(70)), words, latent._hash_list(text(30))]
+        hashes = np.array(sum(around, []), np.uint64)
+        found = {hit[1] for hit in blind._search_group(0, hashes, np.zeros(len(hashes), np.int64), 1, latent.MIN_COSINE)}
+        assert found == {3 if key == 20 else key % 10}
