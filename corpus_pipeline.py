@@ -33,8 +33,8 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every piece of every document with its bin and offset."""
-    return packing.pack_documents(docs)
+    """Every piece of every document, in tokens, with its bin and offset."""
+    return packing.pack_tokens(docs)
 
 
 STAGES = [

@@ -11,7 +11,7 @@ rests are packed. Rows are ranked globally and dealt by rank into groups of at m
 * at the end each bin shrinks to the smallest permitted capacity that holds its contents.
 
 A length is a quarter of the text's UTF-8 bytes, rounded up, plus one end mark, unless
-a length column is given. A bin's cost is its capacity plus a fixed cost per sequence.
+a length column is given; ``pack_tokens`` gives the tokenizer's count plus one end mark. A bin's cost is its capacity plus a fixed cost per sequence.
 
 Defined cases: a null or empty text has the length 1 (its end mark); a null length
 counts as 1, lengths under 1 too; ids may be null or repeat; every row is placed
@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 from .sharding import global_row_numbers
+from .tokens import count_tokens
 
 CAPACITIES = (512, 1024, 2048, 4096, 8192)
 SEQUENCE_COST = 32
@@ -140,3 +141,10 @@ def pack_documents(
     rests = numbered.where("rest_ > 0").select("doc_id", "row_number_", "full_", "rest_", F.pmod(F.col("row_number_"), F.lit(groups)).alias("group_"))
     return whole.union(rests.groupBy("group_").applyInPandas(pack_group, PLACED))
 
+
+
+def pack_tokens(df: DataFrame, **options) -> DataFrame:
+    """``pack_documents`` by the tokens that a trainer sees; df has the columns of ``count_tokens``."""
+    counted = count_tokens(df).select("doc_id", (F.col("n_tokens") + 1).alias("length"))
+    # Packing reads its rows more than once; texts are tokenized once.
+    return pack_documents(Scratch(df.sparkSession).cut(counted, "lengths"), length_col="length", **options)

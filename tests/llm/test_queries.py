@@ -159,3 +159,12 @@ def test_pipeline_equals_brute_force(spark, data):
     assert ids == {r["doc_id"] for r in at.collect()} - bad
     placed = p.STAGES[4][1](spark, clean, data)
     assert {r["doc_id"] for r in placed.collect()} == ids
+
+
+def test_pipeline_packs_tokens(spark, data, docs):
+    import corpus_pipeline as p
+
+    encode = tokens.encoder_of(tokens.load_vocabulary(tokens.TOKENIZER_PATH)).encode_ordinary
+    got = p.best_fit_packing(spark, spark.read.parquet(f"{data}/documents.parquet"), data).toPandas()
+    assert got.groupby("doc_id").piece_length.sum().to_dict() == {t.doc_id: len(encode(t.text)) + 1 for t in docs.itertuples()}
+    assert (got.bin_used <= got.bin_capacity).all()
