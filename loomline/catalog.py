@@ -601,4 +601,4 @@ def embed_stub(spark, d):
 def agent_loop(spark, d):
     """rounds of proposed searches until rank 1, at most ten."""
     asked = _asked(spark, d)
-    return dataset.agent_loop(spark, _docs(spark, d), asked, _for_queries(_judged(spark, d), asked), providers.LocalProvider(), 3)
+    return dataset.agent_loop(spark, _docs(spark, d), asked, _for_queries(_judged(spark, d), asked), providers.LocalProvider())

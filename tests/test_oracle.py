@@ -39,3 +39,10 @@ def test_entry_module(spark):
     assert set(catalog.QUERIES) <= set(entry.queries())
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).count() > 0
+
+
+def test_agent_loop_goes_on_for_ten_rounds(spark, data):
+    got = catalog.QUERIES["agent_loop"](spark, data).toPandas().sort_values("step")
+    for _, rounds in got.groupby("query_id"):
+        assert rounds.step.tolist() == list(range(len(rounds)))
+        assert len(rounds) == 10 or rounds.first_rank.iloc[-1] == 1
