@@ -580,14 +580,14 @@ def search_all_pages(spark, d):
 @query()
 def llm_generate(spark, d):
     """Queries per chunk in seeded personas, by the local provider."""
-    return dataset.synthetic_queries(_pairs(spark, d).select(F.concat("chunk_id", F.lit("_"), "pos").alias("chunk_id"), "content"), providers.LocalProvider(), 2).drop("content")
+    return dataset.synthetic_queries(_pairs(spark, d).select(F.concat("chunk_id", F.lit("_"), "pos").alias("chunk_id"), "content"), providers.LocalProvider()).drop("content")
 
 
 @query()
 def llm_validate(spark, d):
     """Generated queries that their chunk answers."""
     chunks = _pairs(spark, d).select(F.concat("chunk_id", F.lit("_"), "pos").alias("chunk_id"), "content")
-    return dataset.build(chunks, spark.createDataFrame([], "chunk_id string"), providers.LocalProvider(), 2).drop("content")
+    return dataset.build(chunks, spark.createDataFrame([], "chunk_id string"), providers.LocalProvider()).drop("content")
 
 
 @query()

@@ -46,3 +46,10 @@ def test_agent_loop_goes_on_for_ten_rounds(spark, data):
     for _, rounds in got.groupby("query_id"):
         assert rounds.step.tolist() == list(range(len(rounds)))
         assert len(rounds) == 10 or rounds.first_rank.iloc[-1] == 1
+
+
+@pytest.mark.parametrize("name", ["llm_generate", "llm_validate"])
+def test_three_queries_are_asked_per_chunk(spark, data, name):
+    got = catalog.QUERIES[name](spark, data).toPandas()
+    assert {int(i.rsplit("_", 1)[1]) for i in got.query_id} == {0, 1, 2}
+    assert name == "llm_validate" or (got.groupby("chunk_id").size() == 3).all()
