@@ -244,3 +244,11 @@ def test_latent_copies_need_no_cosine():
         hashes = np.array(sum(around, []), np.uint64)
         found = {hit[1] for hit in blind._search_group(0, hashes, np.zeros(len(hashes), np.int64), 1, latent.MIN_COSINE)}
         assert found == {3 if key == 20 else key % 10}
+
+
+def test_cotraining_fits_on_its_whole_samples(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(cotraining, "cotrain", lambda text, meta, y, pool_text, pool_meta: seen.append((len(text), len(pool_text))))
+    docs = spark.range(7500).select(F.col("id").alias("doc_id"), F.concat(F.lit("some words "), "id").alias("text"))
+    cotraining.fit(docs, docs.where("doc_id < 4200").select("doc_id", (F.col("doc_id") % 2).alias("quality")))
+    assert seen == [(4000, 3000)]
