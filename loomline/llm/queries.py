@@ -27,7 +27,8 @@ def op1_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals per source, language and tokenizer version, built by signed batches.
 
     All documents come in with provisional counts, a second batch revises those to the
-    tokenizer's, a third takes blank documents out again.
+    tokenizer's, a third takes blank documents out and a fourth puts them back, so that the
+    totals cover all documents.
     """
     counted = tokens.count_tokens(table(spark, sf_dir, "documents"))
     counted = Scratch(spark).cut(counted.withColumn("provisional", F.ceil(F.col("n_bytes") / 4)), "counted")
@@ -38,6 +39,8 @@ def op1_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     blank = counted.where("n_words = 0")
     gone = tokens.as_changes("delete", blank, "byte_bpe_50k", "n_tokens").union(tokens.as_changes("delete", blank, "words-1", "n_words"))
     store.commit("withdraw-1", gone)
+    back = tokens.as_changes("insert", blank, "byte_bpe_50k", "n_tokens").union(tokens.as_changes("insert", blank, "words-1", "n_words"))
+    store.commit("restore-1", back)
     return store.totals()
 
 

@@ -168,3 +168,12 @@ def test_pipeline_packs_tokens(spark, data, docs):
     got = p.best_fit_packing(spark, spark.read.parquet(f"{data}/documents.parquet"), data).toPandas()
     assert got.groupby("doc_id").piece_length.sum().to_dict() == {t.doc_id: len(encode(t.text)) + 1 for t in docs.itertuples()}
     assert (got.bin_used <= got.bin_capacity).all()
+
+
+def test_op1_counts_blank_documents(spark, tmp_path):
+    texts = ["some words", "", " \n", None]
+    df = spark.createDataFrame([(i, t, "en", "a") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    n = sum(len(tokens.encoder_of(tokens.load_vocabulary(tokens.TOKENIZER_PATH)).encode_ordinary(t or "")) for t in texts)
+    got = {tuple(r) for r in queries.op1_token_rollup(spark, str(tmp_path)).collect()}
+    assert got == {("a", "en", "byte_bpe_50k", 4, n, 12), ("a", "en", "words-1", 4, 2, 12)}
