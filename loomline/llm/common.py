@@ -3,19 +3,30 @@
 from __future__ import annotations
 
 import atexit
+import functools
+import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or one of our own where unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``; on a local master, one of our own where unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="loomline-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    if not found and not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    # The setting cannot be changed in a running session, so the folder is remembered here.
+    return (found or _own_dir(spark.sparkContext.applicationId)).rstrip("/")
+
+
+@functools.cache
+def _own_dir(application: str) -> str:
+    return tempfile.mkdtemp(prefix="loomline-")
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
@@ -37,24 +48,45 @@ def drop_path(spark: SparkSession, path: str) -> None:
 class Scratch:
     """Tables that cut lineage. A lost executor costs a re-read, never a re-run.
 
-    ``cut`` writes and rereads; ``drop`` removes tables no later step reads. What is
-    left (a result may still read it) goes when the session ends.
+    ``cut`` writes and rereads, and lets go of the shuffle files behind the table; ``drop``
+    removes tables no later step reads. An operator ends with ``last``: its decisions are
+    written, every other table of it goes. Those few go when the session ends.
     """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
-        self.paths: dict[str, str] = {}
+        self.paths: dict[str, list[str]] = {}
 
     def cut(self, df: DataFrame, label: str) -> DataFrame:
         path = scratch_path(self.spark, label)
-        df.write.parquet(path)
-        self.paths[label] = path
+        with _shuffles_let_go(self.spark):
+            df.write.parquet(path)
+        self.paths.setdefault(label, []).append(path)
         _at_end(self.spark, path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *labels: str) -> None:
         for label in labels:
-            drop_path(self.spark, self.paths.pop(label))
+            for path in self.paths.pop(label):
+                drop_path(self.spark, path)
+
+    def last(self, df: DataFrame, label: str) -> DataFrame:
+        """df as a table, the only one left."""
+        others = list(self.paths)
+        out = self.cut(df, f"last-{label}")
+        self.drop(*others)
+        return out
+
+
+@contextmanager
+def _shuffles_let_go(spark: SparkSession):
+    """Within it, an action's shuffle files go when it ends: what it wrote is read instead."""
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
 
 
 def _at_end(spark: SparkSession, path: str) -> None:

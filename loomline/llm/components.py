@@ -9,6 +9,8 @@ where a hub is hot. Rounds grow with the logarithm of the longest chain.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,9 +40,11 @@ def connected_components(edges: DataFrame, a: str, b: str, scratch: Scratch, mos
     Null ends and self-loops link nothing. The node type may be any that has an order.
     """
     now = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u != v").distinct()
-    now, mark, label = scratch.cut(now, "edges-0"), None, "edges-0"
+    run = uuid.uuid4().hex[:8]
+    mark, label = None, f"edges-{run}-0"
+    now = scratch.cut(now, label)
     for step in range(1, most_rounds + 1):
-        new_label = f"edges-{step}"
+        new_label = f"edges-{run}-{step}"
         now = scratch.cut(_small_star(_large_star(now)), new_label)
         scratch.drop(label)
         label = new_label

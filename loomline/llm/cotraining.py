@@ -11,13 +11,15 @@ training set. Then each view is calibrated on held-out labelled rows (Platt scal
 calibrated log-odds are weighted and calibrated together, and every document is scored
 in one map without a shuffle.
 
-Fitting uses bounded samples: ``LABELLED`` labelled and ``POOL`` unlabelled rows with the
-least hashes of their ids, whatever the corpus; scoring covers all rows, whole texts.
+Fitting uses bounded samples: ``LABELLED`` labelled and ``POOL`` unlabelled documents with the
+least hashes of their ids, whatever the corpus; scoring covers all rows, whole texts. Rows are
+turned into views where they lie; only views, of bounded size, meet on the driver.
 
 Defined cases: null or empty texts have a zero text view and are scored like any other;
 null source, language or id are values of their own; labels that are null are left out,
-of repeated labels of an id the majority counts (ties are good); without rows of both classes there is
-no model: scores are null and every row is kept; an empty table gives an empty result;
+of repeated labels of an id the majority counts (ties are good); of rows that share an id one,
+that with the least text digest, is fitted on; unless each class has a labelled document to fit on
+and another to hold out there is no model: scores are null and every row is kept; an empty table gives an empty result;
 other columns pass through ``accepted`` untouched.
 """
 
@@ -174,7 +176,7 @@ class Model:
 
 
 def cotrain(text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool_text: np.ndarray, pool_meta: np.ndarray) -> Model | None:
-    """A model from labelled rows (y: good) in a set order and pool rows; None without both classes."""
+    """A model from labelled documents (y: good) in a set order and pool ones; None unless both classes are fitted and held out."""
     held = np.zeros(len(y), bool)
     for label in (True, False):  # by class, so that a rare one is on both sides
         held[np.flatnonzero(y == label)[:: round(1 / HELD_OUT)]] = True
@@ -198,23 +200,24 @@ def cotrain(text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool_text: np.nda
     return Model(*fitted, (text[held], meta[held]), y[held])
 
 
-SAMPLE = "label long, text_view binary, meta_view binary"
+SAMPLE = "doc_id long, label long, order_ long, tie_ string, text_view binary, meta_view binary"
 
 
 def _featured(rows: DataFrame) -> DataFrame:
-    """label, and both views: the text view as packed (column, value) pairs."""
+    """The rows' keys and both views: the text view as packed (column, value) pairs."""
 
     def feature(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for at, raw, offsets in text_groups(batch.column(0), GROUP_BYTES):
                 text, meta = views(raw, offsets, batch.column(1)[at].to_pylist(), batch.column(2)[at].to_pylist())
-                for label, t, m in zip(batch.column(3)[at].to_pylist(), text, meta, strict=True):
+                keys = zip(*[c[at].to_pylist() for c in batch.columns[3:]], strict=True)
+                for key, t, m in zip(keys, text, meta, strict=True):
                     cols = np.flatnonzero(t)
-                    out.append((label, cols.astype(np.int16).tobytes() + t[cols].tobytes(), m.tobytes()))
+                    out.append((*key, cols.astype(np.int16).tobytes() + t[cols].tobytes(), m.tobytes()))
             yield record_batch(out, arrow_schema(SAMPLE))
 
-    return rows.select("text", "source", "lang", "label").mapInArrow(feature, SAMPLE)
+    return rows.select("text", "source", "lang", "doc_id", "label", "order_", "tie_").mapInArrow(feature, SAMPLE)
 
 
 def _unpacked(rows: list) -> tuple[np.ndarray, np.ndarray]:
@@ -244,8 +247,9 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
     # Both are bounded by their limits; a row's text is met by a broadcast of ids.
     wanted = picked.select("doc_id", "label", "order_").unionByName(free.select("doc_id", F.lit(None).cast("long").alias("label"), "order_"))
     met = docs.join(F.broadcast(wanted), "doc_id").withColumn("tie_", F.md5(F.coalesce("text", F.lit(""))))
-    met = met.orderBy(F.col("label").isNull(), "order_", "doc_id", "tie_").limit(LABELLED + POOL)
-    rows = _featured(met).collect()
+    # One row an id, chosen per task before the shuffle: what comes to the driver has the samples' bound.
+    one = _featured(met).groupBy("doc_id").agg(F.min(F.struct("tie_", "label", "order_", "text_view", "meta_view")).alias("row")).select("doc_id", "row.*")
+    rows = sorted(one.collect(), key=lambda r: (r["label"] is None, r["order_"], r["doc_id"]))
     known, pool = [r for r in rows if r["label"] is not None], [r for r in rows if r["label"] is None]
     del rows
     if not known:

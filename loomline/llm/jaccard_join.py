@@ -13,9 +13,11 @@ class; classes link when the Jaccard similarity of their sets reaches the thresh
    pair per class and bucket, however large a bucket is.
 3. *Matrix.* For each group the union of its members' leading shingles is stored, one
    row per (shingle, group), with the sizes and the most that can follow the shingle in a
-   member. A query class bounds its overlap with a group from these; only groups whose
-   bound reaches the threshold are opened, and within them only members that reach
-   it themselves. Classes that are in one component already need no comparison.
+   member: a query class meets the groups that it may link into. Of each group of two
+   or more the union of all its members' shingles is stored too, as bits; the query's overlap
+   with that whole union is bounded, and only groups whose bound reaches the threshold are
+   opened, and within them only members that reach it themselves. Classes that are
+   in one component already need no comparison.
 4. *Verify.* A pair's overlap is bounded again by bits that stand for the whole sets (two
    a shingle); what may still link is verified on the whole texts' sets.
 
@@ -130,6 +132,60 @@ def signatures(docs: DataFrame, k: int, num: int, den: int, counts: np.ndarray)
     return docs.select("doc_id", "text", "text_key").mapInArrow(sign, SIGNATURE)
 
 
+def _folded(x: bytes, y: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Two sets' bits at the size of the smaller one."""
+    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    while len(a) > len(b):
+        a = a[: len(a) // 2] | a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] | b[len(b) // 2 :]
+    return a, b
+
+
+def group_unions(members: DataFrame) -> DataFrame:
+    """(g, least_n, union): of each group's members (g, n, bits), the least size and all their shingles as bits.
+
+    Members of a batch are joined before the shuffle, so a hot group costs one row a batch.
+    """
+    ddl = "g long, least_n long, union binary"
+
+    def joined(g: list, n: list, bits: list) -> list[tuple]:
+        found: dict[int, tuple[int, bytes]] = {}
+        for key, size, x in zip(g, n, bits, strict=True):
+            if key in found:
+                a, b = _folded(found[key][1], x)
+                size, x = min(size, found[key][0]), (a | b).tobytes()
+            found[key] = (size, x)
+        return [(key, *rest) for key, rest in found.items()]
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield record_batch(joined(*[c.to_pylist() for c in batch.columns]), arrow_schema(ddl))
+
+    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(joined(pdf["g"].tolist(), pdf["least_n"].tolist(), pdf["union"].tolist()), columns=["g", "least_n", "union"])
+
+    return members.select("g", "n", "bits").mapInArrow(partial, ddl).groupBy("g").applyInPandas(whole, ddl)
+
+
+def open_groups(asked: DataFrame, heavy: DataFrame, unions: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (q, g) whose query can share enough shingles with the group's union to link with a member."""
+    ddl = "q long, g long"
+
+    def able(n: int, least: int, x: bytes, y: bytes) -> bool:
+        a, b = _folded(x, y)
+        overlap = n - int(np.bitwise_count(a & ~b).sum())
+        return (num + den) * overlap >= num * (n + max(least, needed(n, num, den)))
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*[c.to_pylist() for c in batch.columns], strict=True)
+            yield record_batch([(q, g) for q, g, n, least, x, y in rows if able(n, least, x, y)], arrow_schema(ddl))
+
+    query = heavy.select(F.col("c").alias("q"), "n", "bits")
+    return asked.join(query, "q").join(unions, "g").select("q", "g", "n", "least_n", "bits", "union").mapInArrow(bound, ddl)
+
+
 def union_bits(spread: np.ndarray) -> bytes:
     """A set as bits: a power of two of them, twice the set's size at least; a hash sets the bit it is modulo that."""
     m = max(64, 1 << int(2 * len(spread) - 1).bit_length())
@@ -140,11 +196,7 @@ def union_bits(spread: np.ndarray) -> bytes:
 
 def most_overlap(x: bytes, nx: int, y: bytes, ny: int) -> int:
     """No less than the overlap of two sets: whatever sets a bit that the other lacks is in one of them alone."""
-    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-    while len(a) > len(b):
-        a = a[: len(a) // 2] | a[len(a) // 2 :]
-    while len(b) > len(a):
-        b = b[: len(b) // 2] | b[len(b) // 2 :]
+    a, b = _folded(x, y)
     return min(nx - int(np.bitwise_count(a & ~b).sum()), ny - int(np.bitwise_count(b & ~a).sum()))
 
 
@@ -275,19 +327,22 @@ def similarity_components(
 
     # The matrix, and the queries against it. Singles are groups of one.
     group = grouped.select(F.col("node").alias("c"), F.col("component").alias("g"))
-    leading = heavy.select("c", "n", "prefix").join(group, "c", "left").select("prefix", "c", "n", F.coalesce("g", "c").alias("g"))
-    ddl = "prefix long, c long, n long, g long, pos long"
+    unions = scratch.cut(group_unions(heavy.select("c", "n", "bits").join(group, "c")), "unions")
+    leading = heavy.select("c", "n", "prefix").join(group, "c", "left")
+    leading = leading.select("prefix", "c", "n", F.coalesce("g", "c").alias("g"), F.col("g").isNotNull().cast("long").alias("many"))
+    ddl = "prefix long, c long, n long, g long, many long, pos long"
     postings = scratch.cut(leading.mapInArrow(_exploded(ddl, "prefix", True), ddl).withColumnRenamed("prefix", "token"), "postings")
     index_length = F.expr(f"n - ((2 * {num} * n + {num + den - 1}) div {num + den}) + 1")
-    postings = scratch.cut(postings, "postings")
     index = postings.where(F.col("pos") < index_length)
     follow = F.max(F.col("n") - F.col("pos"))
-    matrix = index.groupBy("token", "g").agg(F.min("n").alias("n_lo"), F.max("n").alias("n_hi"), follow.alias("follow"))
+    matrix = index.groupBy("token", "g").agg(F.min("n").alias("n_lo"), F.max("n").alias("n_hi"), F.max("many").alias("many"), follow.alias("follow"))
     query = postings.select("token", F.col("c").alias("q"), F.col("n").alias("q_n"), F.col("pos").alias("q_pos"), F.col("g").alias("q_g"))
     least = F.expr(f"({num} * (q_n + greatest(n_lo, ({num} * q_n + {den - 1}) div {den})) + {num + den - 1}) div {num + den}")
     bound = F.least(F.col("q_n") - F.col("q_pos"), F.col("follow"))
     qualify = query.join(matrix, "token").where("g != q_g and n_lo <= q_n").where(f"{den} * n_hi >= {num} * q_n").where(bound >= least)
-    qualify = scratch.cut(qualify.select("token", "q", "q_n", "q_pos", "g"), "qualify")
+    qualify = scratch.cut(qualify.select("token", "q", "q_n", "q_pos", "g", "many"), "qualify")
+    able = open_groups(qualify.where("many = 1").select("q", "g").distinct(), heavy, unions, num, den)
+    qualify = qualify.where("many = 0").unionByName(qualify.where("many = 1").join(able, ["q", "g"], "left_semi"))
     opened = qualify.join(index.select("token", "g", "c", "n", "pos"), ["token", "g"]).where("n <= q_n").where(f"{den} * n >= {num} * q_n")
     exact = F.expr(f"({num} * (q_n + n) + {num + den - 1}) div {num + den}")
     opened = opened.where(F.least(F.expr("q_n - q_pos"), F.expr("n - pos")) >= exact)
@@ -300,11 +355,11 @@ def similarity_components(
     whole = connected_components(links.union(more), "a", "b", scratch)
     named = classes.join(whole.select(F.col("node").alias("c"), "component"), "c", "left").withColumn("component", F.coalesce("component", "c"))
     least_ids = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    named = scratch.cut(named.join(least_ids, "component").select("set_key", "component", "component_id", "class_size"), "named")
+    named = named.join(least_ids, "component").select("set_key", "component", "component_id", "class_size")
     rows = signed.select("doc_id", "text_key", "n", "set_key").join(named, "set_key", "left")
     alone = F.concat_ws(":", F.lit("row"), "doc_id", F.hex("text_key"))
     more = ["text_key", F.coalesce(F.col("component").cast("string"), alone).alias("component_key")] if with_text_key else []
-    return rows.select(
+    rows = rows.select(
         "doc_id",
         F.col("n").alias("n_shingles"),
         F.coalesce("component_id", "doc_id").alias("component_id"),
@@ -312,6 +367,7 @@ def similarity_components(
         F.hex("set_key").alias("class_key"),
         *more,
     )
+    return scratch.last(rows, "components")
 
 
 def one_of_each(df: DataFrame, k: int = 5, threshold: tuple[int, int] = (8, 10), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -323,7 +379,8 @@ def one_of_each(df: DataFrame, k: int = 5, threshold: tuple[int, int] = (8, 10),
     found = similarity_components(df, k, threshold, id_col, text_col, with_text_key=True)
     # The component's key is its least class, so that rows with null ids have one as well.
     best = found.groupBy("component_key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("best"))
-    best = best.select(F.col("best.doc_id").alias("oj_id_"), F.col("best.text_key").alias("oj_key_")).distinct()
-    keyed = df.withColumn("oj_doc_", F.col(id_col).cast("long")).withColumn("oj_text_", F.unhex(F.md5(text)))
-    met = keyed.join(best, [F.col("oj_doc_").eqNullSafe(F.col("oj_id_")), F.col("oj_text_") == F.col("oj_key_")], "left_semi")
-    return met.drop("oj_doc_", "oj_text_").dropDuplicates([id_col, text_col])
+    best = best.select(F.col("best.doc_id").alias("b_id"), F.col("best.text_key").alias("b_key")).distinct()
+    # The row goes along as one column, so that no name of it can clash.
+    keyed = df.select(F.struct(*df.columns).alias("row"), F.col(id_col).cast("long").alias("id"), F.unhex(F.md5(text)).alias("key"), F.col(text_col).isNull().alias("no_text"))
+    met = keyed.join(best, [F.col("id").eqNullSafe(F.col("b_id")), F.col("key") == F.col("b_key")], "left_semi")
+    return met.dropDuplicates(["id", "key", "no_text"]).select("row.*")

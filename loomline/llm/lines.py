@@ -1,146 +1,121 @@
 """Line deduplication by an exact set-similarity join, in DataFrame functions alone.
 
-A line's tokens are its distinct k-word shingles, lower-cased. A line is removed if a
-line that comes earlier, by (doc_id, line number), has a Jaccard similarity of at least
-the threshold with it, whether or not that line is itself removed. Lines of fewer than
-``least_words`` words are never removed: they repeat by chance.
-
-1. Tokens are ordered by rarity: the count of their hash bucket (2^16 counts over the
-   corpus, a fixed size that fits the plan), then the hash.
-2. Lines with equal token sets are one set, placed at its first line. Only lines with a
-   leading token that some other prefix has are looked at further: a bitmap of 2^25 such
-   tokens tells, and being full it would merely let more lines through. Sets are numbered in the order
-   of their places.
-3. *Leaders.* Sets that share their least or their greatest token hash compare with two
+A line's tokens are its distinct k-word shingles, lower-cased; a line of fewer words is one
+token, its whole sequence. A line is removed if a line that comes earlier, by (doc_id, line
+number), has a Jaccard similarity of at least the threshold with it, whether or not that line
+is itself removed. Lines of fewer than ``least_words`` words (1: none but blank ones) stay.
+
+1. *Keys.* One map over the text gives each line two independent 64-bit hashes of its words
+   (its key), the size of its token set and its leading tokens in order of rarity. Rarity
+   is the count, over the corpus, of the bucket of a token's first word (2^15 counts, a fixed
+   size), then the hash: words keep a long tail of rare ones however large a corpus gets.
+2. *Repeats.* Lines with equal keys are one set, placed at its first line; the others go.
+3. *Frequencies.* Only leading tokens that two different sets have are looked at further. While
+   these are few (``MOST_BITMAP``) a bitmap, two bits each, picks the lines; beyond it, a join.
+4. *Leaders.* Sets that share their least or their greatest token hash compare with two
    sets of their bucket, the first and the least edited: one pair each.
    What matches is removed, and needs no further comparison as the later of a pair.
-4. *Join.* Sets meet on tokens of their prefixes, under the length filter and the
-   positional filter. One side is always a set not removed yet, so that a hot
-   group of near-equal lines, which its leaders have removed, does not meet itself.
-5. Pairs are verified on the whole lines' token sets, read from the documents again.
+5. *Join.* Sets meet on their leading tokens, under the length filter and the positional
+   filter. One side is always a set not removed yet, so that a hot group of near-equal
+   lines, which its leaders have removed, does not meet itself.
+6. *Verify.* A pair goes on if its common leading tokens and all that can follow them reach
+   the threshold; then its whole lines are read again and compared token by token.
 
-Token hashes have 64 bits (48 and the rank while candidates are sought, which can only
-add candidates). Text of compared lines is picked by a bitmap of fixed size.
+Tokens have 64 bits (48 and the rank while candidates are sought, which can only
+add candidates: keys do not depend on them). Texts of compared lines are picked by a bitmap of fixed size.
 
-Defined cases: a null text has no lines; an empty text has one empty line; line breaks
-are LF alone; a null id comes before all others; rows equal in id and text are one
+Defined cases: a null text has no lines; an empty text has one empty line, which stays; line
+breaks are LF alone; a null id comes before all others; rows equal in id and text are one
 document and get one result, rows that share an id alone stand at one place and do not remove
 each other's lines of the same number; an empty table gives an empty result;
-other columns pass through ``deduplicated`` untouched.
+other columns, whatever their names, pass through ``deduplicated`` untouched.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch
 
-RANK_BITS = 16
-HASH_MASK = (1 << 48) - 1
+RANK_BITS = 15
 MOST_RANK = 32767
 BITMAP_BITS = 25
+#: Tokens in a bitmap at most (2^26 bits, 16 MB to broadcast); more are met by a shuffled join.
+MOST_BITMAP = 1 << 21
 OTHER_SPACE = "\t\x0b\x0c\r"
+PLACE = ["doc_id", "line_no", "text_hash"]
 
 
-def _bucket(token: Column) -> Column:
-    return token.bitwiseAND(F.lit((1 << RANK_BITS) - 1).cast("long"))
-
-
-def _with_hashes(df: DataFrame, line: str) -> DataFrame:
-    """df with ``hashes_``: the hash of each word of the line in lower case."""
-    df = df.withColumn("low_", F.lower(F.col(line)))
-    # Splitting at a single character needs no regular expression; other white space is rare.
-    odd = reduce(or_, [F.contains("low_", F.lit(c)) for c in OTHER_SPACE])
-    plain = F.when(odd, F.translate("low_", OTHER_SPACE, " " * len(OTHER_SPACE))).otherwise(F.col("low_"))
-    words = F.array_remove(F.split(plain, " "), "")
-    return df.withColumn("hashes_", F.transform(words, lambda w: F.xxhash64(w))).drop("low_")
-
-
-def _doublings(k: int) -> list[tuple[int, bool]]:
-    """Steps from one word to k: (words so far, whether the step adds one word or as many again)."""
-    steps, have = [], 1
-    for bit in bin(k)[3:]:
-        steps.append((have, False))
-        have *= 2
-        if bit == "1":
-            steps.append((have, True))
-            have += 1
-    return steps
-
-
-def _with_tokens(df: DataFrame, line: str, k: int) -> DataFrame:
-    """df with ``tokens``: hashes of the line's distinct k-word shingles.
+def _documents(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.col(text_col).cast("string")
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_hash"))
 
-    Hashes of neighbours are combined pairwise, which costs a few short folds per line;
-    each array is a column of its own, so that none is built twice.
-    """
-    df = _with_hashes(df, line).withColumn("rolled_", F.col("hashes_"))
-    first = lambda c, less: F.slice(c, F.lit(1), F.greatest(F.size(c) - F.lit(less), F.lit(0)))
-    after = lambda c, skip: F.slice(c, F.lit(skip + 1), F.greatest(F.size(c) - F.lit(skip), F.lit(0)))
-    for have, one in _doublings(k):
-        left, right = (first("rolled_", 1), after("hashes_", have)) if one else (first("rolled_", have), after("rolled_", have))
-        df = df.withColumn("rolled_", F.zip_with(left, right, lambda a, b: F.xxhash64(a, b)))
-    n = F.size("hashes_")
-    short = F.array(F.xxhash64("hashes_"))
-    tokens = F.when(n >= k, F.array_distinct("rolled_")).when(n > 0, short).otherwise(F.array().cast("array<bigint>"))
-    return df.withColumn("tokens", tokens).drop("hashes_", "rolled_")
 
+def _with_words(df: DataFrame) -> DataFrame:
+    """df with ``words`` of ``line``, in lower case; splitting at one character needs no regular expression."""
+    odd = F.col("line").rlike(r"[\t\x0B\f\r]")
+    plain = F.when(odd, F.translate("line", OTHER_SPACE, " " * len(OTHER_SPACE))).otherwise(F.col("line"))
+    return df.withColumn("words", F.array_remove(F.split(F.lower(plain), " "), "")).drop("line")
 
-def _token_rows(df: DataFrame, line: str, k: int) -> DataFrame:
-    """(t): every k-word shingle of every line, in generated code; the same hashes as in ``tokens``."""
-    rows = _with_hashes(df, line).select("hashes_", F.posexplode_outer("hashes_").alias("at_", "word_"))
 
-    def combined(at: int) -> Column:
-        make = lambda i: F.get("hashes_", F.col("at_") + F.lit(i))
-        for have, one in _doublings(k):
-            make = (lambda i, f=make, n=have: F.xxhash64(f(i), F.get("hashes_", F.col("at_") + F.lit(i + n)))) if one else (lambda i, f=make, n=have: F.xxhash64(f(i), f(i + n)))
-        return make(at)
+def _of_words(line: Column, least: int) -> Column:
+    """Whether a line has at least so many words; cheap, and on the line itself, so that its words are made once."""
+    space = r" \t\x0B\f\r"
+    return line.rlike(rf"^[{space}]*+(?:[^{space}]++[{space}]++){{{least - 1}}}[^{space}]")
 
-    return rows.where(F.col("at_") <= F.size("hashes_") - F.lit(k)).select(combined(0).alias("t"))
 
+def _lines(docs: DataFrame, least_words: int) -> DataFrame:
+    """doc_id, text_hash, line_no and words of every line of at least so many words."""
+    lines = docs.where("text is not null").select("doc_id", "text_hash", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    return _with_words(lines.where(_of_words(F.col("line"), max(1, least_words))))
 
-def _documents(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    text = F.col(text_col).cast("string")
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_hash"))
 
+def _with_tokens(df: DataFrame, k: int) -> DataFrame:
+    """df with ``firsts`` (a word hash per shingle) and ``tokens`` (the shingles' hashes, repeats included), from ``words``."""
+    df = df.withColumn("hashes_", F.transform("words", lambda w: F.xxhash64(w)))
+    n = F.size("hashes_")
+    firsts = F.when(n >= k, F.slice("hashes_", F.lit(1), F.greatest(n - F.lit(k - 1), F.lit(0)))).otherwise(F.slice("hashes_", 1, 1))
+    df = df.withColumn("firsts", firsts)
+    rolled = F.transform("firsts", lambda w, i: F.xxhash64(w, *[F.get("hashes_", i + F.lit(j)) for j in range(1, k)]))
+    return df.withColumn("tokens", F.when(n >= k, rolled).when(n > 0, F.array(F.xxhash64("hashes_"))).otherwise(F.array().cast("array<bigint>"))).drop("hashes_")
 
-def _lines(docs: DataFrame) -> DataFrame:
-    return docs.where("text is not null").select("doc_id", "text_hash", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
+def _bucket(word: Column) -> Column:
+    return word.bitwiseAND(F.lit((1 << RANK_BITS) - 1).cast("long")).cast("int")
 
-def _of_words(line: Column, least: int) -> Column:
-    """Whether a line has at least so many words; cheap, and before any hashing."""
-    space = r" \t\x0B\f\r"
-    return line.rlike(rf"^[{space}]*+(?:[^{space}]++[{space}]++){{{max(0, least - 1)}}}[^{space}]")
 
+def word_ranks(docs: DataFrame) -> Column:
+    """An array of 2^15 ranks, those of rarer words' buckets lower, shifted to the top bits; a constant of the plan.
 
-def token_ranks(tokens: DataFrame) -> Column:
-    """Of token rows (t): an array of 2^16 ranks, rarer buckets lower, as a constant of the plan."""
-    counts = tokens.groupBy(_bucket(F.col("t")).cast("int").alias("b")).agg(F.count("*").alias("n"))
-    found = {r["b"]: r["n"] for r in counts.collect()}  # 65536 rows at most
+    Words are runs between spaces and line breaks here; a tab in one only blurs its rank.
+    """
+    lines = docs.where("text is not null").select(F.explode(F.split("text", "\n")).alias("line"))
+    words = lines.select(F.explode(F.split(F.lower("line"), " ")).alias("w")).where("w != ''")
+    counts = words.groupBy(_bucket(F.xxhash64("w")).alias("b")).agg(F.count("*").alias("n"))
+    found = {r["b"]: r["n"] for r in counts.collect()}  # 2^15 rows at most
     mean = max(1.0, sum(found.values()) / (1 << RANK_BITS))
-    ranks = ",".join(str(min(MOST_RANK, int(64 * found.get(b, 0) / mean))) for b in range(1 << RANK_BITS))
+    ranks = ",".join(str(min(MOST_RANK, int(64 * found.get(b, 0) / mean)) << 48) for b in range(1 << RANK_BITS))
     return F.split(F.lit(ranks), ",").cast("array<bigint>")
 
 
-def _signed(df: DataFrame, ranks: Column, num: int, den: int) -> DataFrame:
-    """df with set keys, size, bucket keys and the leading tokens in order of rarity."""
-    low = F.lit(HASH_MASK).cast("long")
+def _least_overlap(a: str, b: str, num: int, den: int) -> str:
+    """The overlap that sets of sizes a and b need."""
+    return f"(({num} * ({a} + {b}) + {num + den - 1}) div {num + den})"
 
-    def ordered(t: Column) -> Column:
-        rank = F.get(ranks, _bucket(t).cast("int"))
-        return F.shiftleft(rank, 48).bitwiseOR(F.shiftrightunsigned(t, 16).bitwiseAND(low))
 
-    df = df.withColumn("n", F.size("tokens")).withColumn("sorted_", F.sort_array(F.transform("tokens", ordered)))
-    probe = F.expr(f"n - (({num} * n + {den - 1}) div {den}) + 1").cast("int")
+def _signed(lines: DataFrame, ranks: Column, k: int, num: int, den: int) -> DataFrame:
+    """Each line's place and key, its set's size and bucket keys, and its leading tokens in order of rarity."""
+    df = _with_tokens(lines, k)
+    order = F.zip_with("tokens", "firsts", lambda t, w: F.get(ranks, _bucket(w)).bitwiseOR(F.shiftrightunsigned(t, 16)))
+    df = df.withColumn("n", F.size(F.array_distinct("tokens"))).withColumn("sorted_", F.sort_array(F.array_distinct(order)))
+    # One token is a whole short line: equal words have equal keys, so it need not be looked up.
+    probe = F.expr(f"if(size(words) < {k}, 0, n - (({num} * n + {den - 1}) div {den}) + 1)").cast("int")
     return df.select(
-        *[c for c in df.columns if c not in ("tokens", "sorted_", "line", "text")],
-        F.xxhash64("sorted_").alias("k1"),
-        F.xxhash64(F.lit(1), F.col("sorted_")).alias("k2"),
+        *PLACE,
+        F.xxhash64("words").alias("k1"),
+        F.xxhash64(F.lit(0x5EED), "words").alias("k2"),
+        "n",
         F.array_min("tokens").alias("low"),
         F.array_max("tokens").alias("high"),
         F.slice("sorted_", F.lit(1), probe).alias("prefix"),
@@ -148,27 +123,52 @@ def _signed(df: DataFrame, ranks: Column, num: int, den: int) -> DataFrame:
 
 
 def _bitmap(spots: DataFrame) -> DataFrame:
-    """(word_, bits_): the numbers s of 0..2^25-1 as a bitmap of at most 2^19 words of 64 bits."""
+    """(word_, bits_): the numbers s as a bitmap, 64 a row."""
     return spots.groupBy(F.shiftright("s", 6).alias("word_")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 63 as int))")).alias("bits_"))
 
 
 def _in_bitmap(df: DataFrame, bitmap: DataFrame) -> DataFrame:
-    """Rows of df whose s is in the bitmap; the bitmap is broadcast, its size is bounded."""
+    """Rows of df whose s is in the bitmap; the bitmap is broadcast, its size is bounded by that of s."""
     met = df.withColumn("word_", F.shiftright("s", 6)).join(F.broadcast(bitmap), "word_")
     return met.where("(shiftright(bits_, cast(s & 63 as int)) & 1L) = 1").drop("s", "word_", "bits_")
 
 
+def _shared(every: DataFrame, repeated: DataFrame) -> DataFrame:
+    """Rows of every whose token may be (few tokens) or is (many) one of the repeated ones."""
+    n = repeated.count()
+    if n > MOST_BITMAP:
+        return every.join(repeated, "token")
+    mask = F.lit((1 << min(26, max(10, (64 * n - 1).bit_length()))) - 1).cast("long")
+    spots = [t.bitwiseAND(mask).cast("int") for t in (F.col("token"), F.xxhash64("token"))]
+    bitmap = _bitmap(repeated.select(F.explode(F.array(*spots)).alias("s")))
+    return _in_bitmap(_in_bitmap(every.withColumn("s", spots[0]), bitmap).withColumn("s", spots[1]), bitmap)
+
+
 def _token_sets(pairs: DataFrame, sets: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """(sid, tokens) of every set in a pair, from the line where it stands."""
     wanted = pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))).distinct()
-    wanted = wanted.join(sets.select("sid", F.col("doc_id").alias("w_id"), F.col("text_hash").alias("w_hash"), F.col("line_no").alias("w_no")), "sid")
+    wanted = wanted.join(sets.select("sid", *PLACE), "sid")
+    wanted = wanted.groupBy(F.col("doc_id").alias("w_id"), F.col("text_hash").alias("w_hash")).agg(F.collect_list(F.struct("line_no", "sid")).alias("at_"))
     spot = lambda i, h: F.pmod(F.xxhash64(i, h), F.lit(1 << BITMAP_BITS)).cast("int")
     spots = wanted.select(spot(F.col("w_id"), F.col("w_hash")).alias("s"))
     met = _in_bitmap(docs.withColumn("s", spot(F.col("doc_id"), F.col("text_hash"))), _bitmap(spots)).select("doc_id", "text_hash", "text")
-    lines = _lines(met)
-    same = [lines["doc_id"].eqNullSafe(wanted["w_id"]), lines["text_hash"] == wanted["w_hash"], lines["line_no"] == wanted["w_no"]]
-    lines = lines.join(wanted, same).select("sid", "line")
-    return _with_tokens(lines, "line", k).select("sid", "tokens")
+    met = met.join(wanted, [met["doc_id"].eqNullSafe(wanted["w_id"]), met["text_hash"] == wanted["w_hash"]])
+    # Split below the explode, once for each text.
+    split = met.withColumn("lines_", F.split("text", "\n")).select("lines_", F.explode("at_").alias("at_"))
+    lines = split.select("at_.sid", F.element_at("lines_", F.col("at_.line_no") + 1).alias("line"))
+    return _with_tokens(_with_words(lines), k).select("sid", F.array_distinct("tokens").alias("tokens"))
+
+
+def _able(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) whose common leading tokens, and all that may follow them, can reach the threshold.
+
+    Common tokens up to the lesser of both last leading tokens stand among both sets' leading
+    ones; of the set that ends there, only the tokens after its leading ones are left.
+    """
+    of = lambda x: sets.select(F.col("sid").alias(x), F.col("n").alias(f"n{x}"), F.col("last").alias(f"l{x}"), F.col("hits.token").alias(f"t{x}"))
+    both = pairs.join(of("b"), "b").join(of("a"), "a").withColumn("c", F.size(F.array_intersect("ta", "tb")))
+    after = lambda x: f"(({num} * n{x} + {den - 1}) div {den}) - 1"
+    return both.where(F.expr(f"c + if(la <= lb, {after('a')}, {after('b')}) >= {_least_overlap('na', 'nb', num, den)}")).select("a", "b")
 
 
 def _verified(pairs: DataFrame, tokens: DataFrame, num: int, den: int) -> DataFrame:
@@ -180,66 +180,66 @@ def _verified(pairs: DataFrame, tokens: DataFrame, num: int, den: int) -> DataFr
 
 
 def removed_lines(
-    df: DataFrame, k: int = 5, threshold: tuple[int, int] = (8, 10), least_words: int = 5, id_col: str = "doc_id", text_col: str = "text"
+    df: DataFrame, k: int = 5, threshold: tuple[int, int] = (8, 10), least_words: int = 1, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """(doc_id, text_hash, line_no) of every line to remove."""
     num, den = threshold
     scratch = Scratch(df.sparkSession)
     docs = _documents(df, id_col, text_col)
-    long_enough = _lines(docs).where(_of_words(F.col("line"), least_words))
-    ranks = token_ranks(_token_rows(long_enough, "line", k))
-    lines = scratch.cut(_signed(_with_tokens(long_enough, "line", k), ranks, num, den), "lines")
-
-    # A token that stands in one prefix alone meets nothing. Those that stand in several, as
-    # a bitmap, pick the lines and tokens that any later step has to read.
-    spot = F.col("token").bitwiseAND(F.lit((1 << BITMAP_BITS) - 1).cast("long")).cast("int")
-    seen = lines.select(F.explode_outer("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
-    twice = scratch.cut(_bitmap(seen.where("n > 1 and token is not null").select(spot.alias("s"))), "twice")
-    every = lines.select("k1", "k2", "doc_id", "line_no", "text_hash", "n", "low", "high", F.posexplode("prefix").alias("pos", "token"))
-    hits = _in_bitmap(every.withColumn("s", spot), twice)
-
-    # Sets in the order of their places: a range shuffle, then numbers that rise with it.
-    sets = hits.select("k1", "k2", "doc_id", "line_no", "text_hash", "n", "low", "high").distinct()
-    sets = sets.groupBy("k1", "k2", "n", "low", "high").agg(F.min(F.struct("doc_id", "line_no", "text_hash")).alias("p"))
-    sets = sets.select("k1", "k2", "n", "low", "high", "p.*")
+    counted = _lines(docs, least_words)
+    lines = scratch.cut(_signed(counted, word_ranks(docs), k, num, den), "lines")
+
+    # A leading token of one set alone meets nothing. Sets are told apart by their keys, so that repeats of a line do not count.
+    leading = lines.select("k1", F.explode("prefix").alias("token")).groupBy("token").agg(F.min("k1").alias("one"), F.max("k1").alias("other"))
+    repeated = scratch.cut(leading.where("one != other").select("token"), "repeated")
+    every = lines.select("k1", "k2", *PLACE, "n", "low", "high", F.element_at("prefix", -1).alias("last"), F.posexplode("prefix").alias("pos", "token"))
+    hits = _shared(every, repeated)
+
+    # Sets in the order of their places: a range shuffle, then numbers that rise with it. Equal keys have equal hits.
+    sets = hits.groupBy("k1", "k2").agg(
+        F.min(F.struct(*PLACE)).alias("p"), *[F.min(c).alias(c) for c in ("n", "low", "high", "last")], F.collect_set(F.struct("pos", "token")).alias("hits")
+    )
+    sets = scratch.cut(sets.select("k1", "k2", "p.*", "n", "low", "high", "last", "hits"), "unordered")
     order = [F.col("doc_id").asc_nulls_first(), "line_no", "k1", "k2"]
     sets = sets.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("sid", F.monotonically_increasing_id())
     sets = scratch.cut(sets, "sets")
-    tokens = hits.select("k1", "k2", "pos", "token").distinct().join(sets.select("k1", "k2", "sid", "n"), ["k1", "k2"])
-    postings = scratch.cut(tokens.select("sid", "n", "pos", "token"), "postings")
+    scratch.drop("unordered", "repeated")
+    postings = sets.select("sid", "n", F.inline("hits"))
 
     # Leaders: the first of a bucket, and the one that shares its rarest token soonest.
-    soonest = postings.groupBy("sid").agg(F.min("pos").alias("soon"))
-    at_keys = sets.select("sid", F.explode(F.array("low", "high")).alias("key")).join(soonest, "sid")
+    at_keys = sets.select("sid", F.array_min("hits.pos").alias("soon"), F.explode(F.array("low", "high")).alias("key"))
     chosen = at_keys.groupBy("key").agg(F.min("sid").alias("first"), F.min(F.struct("soon", "sid")).alias("least"), F.count("*").alias("met")).where("met > 1")
     stars = at_keys.join(chosen, "key").select("sid", F.explode(F.array("first", "least.sid")).alias("a")).where("a < sid")
-    stars = scratch.cut(stars.select("a", F.col("sid").alias("b")).distinct(), "stars")
+    stars = scratch.cut(_able(stars.select("a", F.col("sid").alias("b")).distinct(), sets, num, den), "stars")
     gone = scratch.cut(_verified(stars, scratch.cut(_token_sets(stars, sets, docs, k), "star-tokens"), num, den), "gone")
-    scratch.drop("star-tokens", "stars", "twice")
+    scratch.drop("star-tokens", "stars")
 
     # The join. The smaller set is found by its index prefix, the larger looks up its probe prefix.
     marked = postings.join(gone.select(F.col("b").alias("sid"), F.lit(True).alias("gone")), "sid", "left")
-    marked = marked.select("sid", "n", "pos", "token", F.coalesce("gone", F.lit(False)).alias("gone"))
+    marked = scratch.cut(marked.select("sid", "n", "pos", "token", F.coalesce("gone", F.lit(False)).alias("gone")), "marked")
     index_length = F.expr(f"n - ((2 * {num} * n + {num + den - 1}) div {num + den}) + 1")
     larger = lambda d: d.select(F.col("sid").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("px"), "token")
     smaller = lambda d: d.where(F.col("pos") < index_length).select(F.col("sid").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("py"), "token")
-    fits = f"ny <= nx and {den} * ny >= {num} * nx and least(nx - px, ny - py) >= ({num} * (nx + ny) + {num + den - 1}) div {num + den}"
+    fits = f"ny <= nx and {den} * ny >= {num} * nx and least(nx - px, ny - py) >= {_least_overlap('nx', 'ny', num, den)}"
     kept = marked.where("not gone")
     later_larger = larger(kept).join(smaller(marked), "token").where(f"y < x and {fits}").selectExpr("y as a", "x as b")
     later_smaller = smaller(kept).join(larger(marked), "token").where(f"x < y and {fits}").selectExpr("x as a", "y as b")
-    opened = scratch.cut(later_larger.union(later_smaller).distinct(), "opened")
+    opened = scratch.cut(_able(later_larger.union(later_smaller).distinct(), sets, num, den), "opened")
     more = scratch.cut(_verified(opened, scratch.cut(_token_sets(opened, sets, docs, k), "open-tokens"), num, den), "more")
-    scratch.drop("open-tokens", "postings", "opened")
+    scratch.drop("open-tokens", "opened", "marked")
 
-    out = gone.union(more).select(F.col("b").alias("sid"), F.lit(True).alias("gone"))
-    judged = sets.join(out, "sid", "left").selectExpr("k1", "k2", "doc_id as f_id", "line_no as f_no", "coalesce(gone, false) as gone")
+    # Of every key its first line stays, unless an earlier line is near it.
+    out = gone.union(more).join(sets.select(F.col("sid").alias("b"), "k1", "k2"), "b").select("k1", "k2", F.lit(True).alias("gone"))
+    firsts = lines.groupBy("k1", "k2").agg(F.min(F.struct(*PLACE)).alias("p"), F.count("*").alias("met"))
+    judged = firsts.join(out, ["k1", "k2"], "left").where("met > 1 or gone").selectExpr("k1", "k2", "p.doc_id as f_id", "p.line_no as f_no", "coalesce(gone, false) as gone")
     whole = lines.select("doc_id", "text_hash", "line_no", "k1", "k2").join(judged, ["k1", "k2"])
-    return whole.where("gone or not (doc_id <=> f_id and line_no = f_no)").select("doc_id", "text_hash", "line_no")
+    whole = whole.where("gone or not (doc_id <=> f_id and line_no = f_no)").select("doc_id", "text_hash", "line_no")
+    return scratch.last(whole, "removed")
 
 
 def _by_document(gone: DataFrame) -> DataFrame:
-    lists = gone.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("line_no")).alias("gone_"))
-    return lists.select(F.col("doc_id").alias("g_id"), F.col("text_hash").alias("g_hash"), "gone_")
+    lists = gone.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("line_no")).alias("gone"))
+    return lists.select(F.col("doc_id").alias("g_id"), F.col("text_hash").alias("g_hash"), "gone")
 
 
 def line_report(df: DataFrame, **options) -> DataFrame:
@@ -248,8 +248,8 @@ def line_report(df: DataFrame, **options) -> DataFrame:
     docs = _documents(df, options.get("id_col", "doc_id"), options.get("text_col", "text"))
     docs = docs.select("doc_id", "text_hash", F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).alias("n_lines"))
     met = docs.join(gone, [docs["doc_id"].eqNullSafe(gone["g_id"]), docs["text_hash"] == gone["g_hash"]], "left")
-    listed = F.coalesce(F.array_join(F.col("gone_").cast("array<string>"), ","), F.lit(""))
-    n_removed = F.coalesce(F.size("gone_"), F.lit(0))
+    listed = F.coalesce(F.array_join(F.col("gone").cast("array<string>"), ","), F.lit(""))
+    n_removed = F.coalesce(F.size("gone"), F.lit(0))
     return met.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.greatest(n_removed, F.lit(0)).cast("long").alias("n_removed"), listed.alias("removed_lines"))
 
 
@@ -258,14 +258,15 @@ def deduplicated(df: DataFrame, drop_emptied: bool = True, **options) -> DataFra
     id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
     gone = _by_document(removed_lines(df, **options))
     text = F.col(text_col).cast("string")
-    keyed = df.withColumn("lm_hash_", F.xxhash64(F.coalesce(text, F.lit("")))).withColumn("lm_id_", F.col(id_col).cast("long"))
-    met = keyed.join(gone, [F.col("lm_id_").eqNullSafe(F.col("g_id")), F.col("lm_hash_") == F.col("g_hash")], "left")
-    met = met.withColumn("lm_lines_", F.split(text, "\n"))
-    numbers = F.array_except(F.sequence(F.lit(0), F.size("lm_lines_") - 1), F.col("gone_"))
+    # The row goes along as one column, so that no name of it can clash.
+    keyed = df.select(F.struct(*df.columns).alias("row"), F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("hash"))
+    met = keyed.join(gone, [F.col("id").eqNullSafe(F.col("g_id")), F.col("hash") == F.col("g_hash")], "left")
+    met = met.withColumn("lines", F.split("text", "\n"))
+    numbers = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
     # The array is named twice, so that it is split once and not for each line.
-    left = F.when(F.size("lm_lines_") > 0, F.transform(numbers, lambda i: F.element_at("lm_lines_", i + 1)))
-    met = met.withColumn("lm_left_", F.when(F.col("gone_").isNull(), F.col("lm_lines_")).otherwise(left))
+    left = F.when(F.size("lines") > 0, F.transform(numbers, lambda i: F.element_at("lines", i + 1)))
+    met = met.withColumn("left", F.when(F.col("gone").isNull(), F.col("lines")).otherwise(left))
     if drop_emptied:
-        met = met.where("gone_ is null or size(lm_left_) > 0")
-    new = F.when(F.col("gone_").isNull(), F.col(text_col)).otherwise(F.array_join("lm_left_", "\n"))
-    return met.select(*[new.alias(c) if c == text_col else F.col(c) for c in df.columns])
+        met = met.where("gone is null or size(left) > 0")
+    new = F.when(F.col("gone").isNull(), F.col("row")[text_col]).otherwise(F.array_join("left", "\n"))
+    return met.select(*[(new if c == text_col else F.col("row")[c]).alias(c) for c in df.columns])

@@ -5,7 +5,7 @@ rests are packed. Rows are ranked globally and dealt by rank into groups of at m
 ``group_size`` rests, whatever their keys are, and each group is packed by itself:
 
 * pieces in order of falling length; each goes to the open bin with the least room left
-  that still holds it (best fit);
+  that still holds it (best fit), of equal ones the bin that came to that room last;
 * where none does, a bin is opened at the capacity with the least cost per filled unit,
   judged by filling each permitted capacity from the pieces still to come;
 * at the end each bin shrinks to the smallest permitted capacity that holds its contents.
@@ -146,5 +146,8 @@ def pack_documents(
 def pack_tokens(df: DataFrame, **options) -> DataFrame:
     """``pack_documents`` by the tokens that a trainer sees; df has the columns of ``count_tokens``."""
     counted = count_tokens(df).select("doc_id", (F.col("n_tokens") + 1).alias("length"))
-    # Packing reads its rows more than once; texts are tokenized once.
-    return pack_documents(Scratch(df.sparkSession).cut(counted, "lengths"), length_col="length", **options)
+    # Packing reads its rows more than once, until they are ranked; texts are tokenized once.
+    scratch = Scratch(df.sparkSession)
+    packed = pack_documents(scratch.cut(counted, "lengths"), length_col="length", **options)
+    scratch.drop("lengths")
+    return packed

@@ -31,7 +31,8 @@ def op1_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     totals cover all documents.
     """
     counted = tokens.count_tokens(table(spark, sf_dir, "documents"))
-    counted = Scratch(spark).cut(counted.withColumn("provisional", F.ceil(F.col("n_bytes") / 4)), "counted")
+    scratch = Scratch(spark)
+    counted = scratch.cut(counted.withColumn("provisional", F.ceil(F.col("n_bytes") / 4)), "counted")
     store = tokens.RollupStore(spark, scratch_path(spark, "rollup"))
     words = tokens.as_changes("insert", counted, "words-1", "n_words")
     store.commit("load-1", tokens.as_changes("insert", counted, "byte_bpe_50k", "provisional").union(words))
@@ -41,6 +42,7 @@ def op1_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     store.commit("withdraw-1", gone)
     back = tokens.as_changes("insert", blank, "byte_bpe_50k", "n_tokens").union(tokens.as_changes("insert", blank, "words-1", "n_words"))
     store.commit("restore-1", back)
+    scratch.drop("counted")
     return store.totals()
 
 
@@ -86,8 +88,8 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document into bins of five permitted lengths."""
-    return packing.pack_documents(table(spark, sf_dir, "documents"))
+    """Every document, in tokens, into bins of five permitted lengths."""
+    return packing.pack_tokens(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
@@ -130,7 +132,7 @@ _SHINGLED = """WITH w AS (SELECT {keys}, list_filter(regexp_split_to_array({lowe
   n AS (SELECT {keys}, count(*) AS n FROM g GROUP BY ALL)"""
 
 ORACLES: dict[str, str] = {
-    "op6_line_dedup": _SHINGLED.format(keys="doc_id, i", lowered="lower(line)", k=5, least=5, source="(SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS i, unnest(string_split(text, chr(10))) AS line FROM documents)")
+    "op6_line_dedup": _SHINGLED.format(keys="doc_id, i", lowered="lower(line)", k=5, least=1, source="(SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS i, unnest(string_split(text, chr(10))) AS line FROM documents)")
     + """, h AS (SELECT b.doc_id, b.i FROM g a JOIN g b ON a.g = b.g AND (a.doc_id, a.i) < (b.doc_id, b.i) JOIN n na ON (na.doc_id, na.i) = (a.doc_id, a.i) JOIN n nb ON (nb.doc_id, nb.i) = (b.doc_id, b.i)
       GROUP BY a.doc_id, a.i, b.doc_id, b.i, na.n, nb.n HAVING 10 * count(*) >= 8 * (na.n + nb.n - count(*))),
   r AS (SELECT doc_id, count(DISTINCT i) AS n_removed, array_to_string(list_sort(list(DISTINCT i)), ',') AS removed_lines FROM h GROUP BY doc_id)

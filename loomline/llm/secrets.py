@@ -6,8 +6,9 @@ brute force, each with a guess count; the cheapest segmentation is what a good g
 would need. Values that cost at least ``min_log10`` guesses become spans of kind
 ``guess``. Values cheaper than that (``changeme``, ``qwerty123``) are placeholders, not secrets.
 
-The program is linear in the value's length: words, dates and walks end within fixed
-lengths of their start, and runs are found once. Positions are code points, ends exclusive.
+The cost found is the least over all segmentations. Words and dates end within fixed lengths
+of their start, and runs keep the starts that can still win, so the work grows with the value's
+length. Positions are code points, ends exclusive.
 
 Defined cases: a null text counts as empty; an empty text has no spans and the digest
 of the empty string; ids may be null or repeat, each row is judged alone; an empty table
@@ -16,6 +17,7 @@ gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import math
 import re
@@ -26,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_schema, record_batch
+from .tokens import TOKENIZER_PATH, load_vocabulary
 
 # The three base patterns and their least lengths.
 ASSIGN = re.compile(r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.ASCII)
@@ -42,7 +45,7 @@ CONTEXT = re.compile(
     re.ASCII,
 )
 
-# Common passwords and placeholder words, commonest first.
+# Our own short list of common passwords and placeholders, commonest first; a vocabulary adds the words of a language.
 WORDS = (
     "password", "secret", "admin", "qwerty", "welcome", "letmein", "monkey", "dragon", "master", "login",
     "princess", "sunshine", "football", "baseball", "shadow", "superman", "batman", "trustno", "iloveyou", "hello",
@@ -59,13 +62,17 @@ KEY_ROWS = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
 LOOKALIKES = str.maketrans("0134578@$!", "oleastbasi")
 
 RANKS = {w: i + 1 for i, w in enumerate(WORDS)}
-LONGEST_WORD = max(map(len, WORDS))
-DATE = re.compile(r"(?:(?:19|20)\d\d([-/._]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])([-/._]?)(?:0[1-9]|1[0-2])\2(?:19|20)\d\d)")
+#: Longer words are no segments of their own; brute force and shorter words cover them.
+LONGEST_WORD = 20
+DATES = (
+    re.compile(r"(?:19|20)\d\d([-/._]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01])"),
+    re.compile(r"(?:0[1-9]|[12]\d|3[01])([-/._]?)(?:0[1-9]|1[0-2])\1(?:19|20)\d\d"),
+)
 YEAR = re.compile(r"(?:19|20)\d\d")
 PROSE = re.compile(r"[a-z]{4,20}")
 PLACES = {c: (r, i) for r, row in enumerate(KEY_ROWS) for i, c in enumerate(row)}
 #: A lower-case run that could be a word of some language, but is in no list.
-UNLISTED_WORD, SEGMENT = 5.0, math.log10(2)
+UNLISTED_WORD, SEGMENT, WALK_STEP = 5.0, math.log10(2), 0.35
 
 
 def _adjacent(a: str, b: str) -> bool:
@@ -77,11 +84,11 @@ def _char_cost(c: str) -> float:
     return 1.0 if c.isdigit() else math.log10(26) if c.isascii() and c.isalpha() else math.log10(33) if c.isascii() else 2.0
 
 
-def _word_cost(part: str) -> float | None:
+def _word_cost(part: str, ranks: dict[str, int]) -> float | None:
     low = part.lower()
-    rank, extra = RANKS.get(low), 0.0
+    rank, extra = ranks.get(low), 0.0
     if rank is None:
-        rank, extra = RANKS.get(low.translate(LOOKALIKES)), math.log10(4)
+        rank, extra = ranks.get(low.translate(LOOKALIKES)), math.log10(4)
         if rank is None:
             return None
     if part != low:
@@ -89,62 +96,97 @@ def _word_cost(part: str) -> float | None:
     return math.log10(rank + 1) + extra
 
 
-def guess_log10(value: str) -> float:
+def word_ranks(vocabulary: bytes) -> dict[str, int]:
+    """Words to guess by, with their ranks: our list, then the vocabulary's whole words in its order.
+
+    A vocabulary of byte pairs lists frequent words first; those that start with a space are words.
+    """
+    ranks = dict(RANKS)
+    for line in vocabulary.splitlines():
+        raw = base64.b64decode(line.split()[0]) if line else b""
+        word = raw[1:].decode(errors="replace").lower()
+        if raw[:1] == b" " and 3 <= len(word) <= LONGEST_WORD and word.isalpha() and word not in ranks:
+            ranks[word] = len(ranks) + 1
+    return ranks
+
+
+def guess_log10(value: str, ranks: dict[str, int] = RANKS) -> float:
     """log10 of the guesses that the cheapest segmentation of the value needs."""
-    return segmented(value)[0]
+    return segmented(value, ranks)[0]
 
 
-def segmented(value: str) -> tuple[float, list[tuple[str, str]]]:
-    """That cost, and the segments as (kind, text)."""
-    n = len(value)
-    best = [0.0] + [math.inf] * n
-    back: list[tuple[int, str]] = [(0, "")] * (n + 1)
-    in_brute = [False] * (n + 1)
-    same = [1] * n
-    walk = [1] * n
-    for i in range(1, n):
-        if value[i] == value[i - 1]:
-            same[i] = same[i - 1] + 1
-        if value[i] != value[i - 1] and _adjacent(value[i], value[i - 1]):
-            walk[i] = walk[i - 1] + 1
-    ends: dict[int, list[tuple[int, str, float]]] = {}
+def walk_cost(length: int) -> float:
+    return math.log10(47) + WALK_STEP * (length - 1)
 
-    def offer(start: int, end: int, kind: str, cost: float) -> None:
-        ends.setdefault(end, []).append((start, kind, cost))
 
+def fixed_segments(value: str, ranks: dict[str, int]) -> Iterator[tuple[int, int, str, float]]:
+    """(start, end, kind, cost) of every word and date in the value."""
+    n = len(value)
     for i in range(n):
         for j in range(i + 3, min(n, i + LONGEST_WORD) + 1):
-            if (cost := _word_cost(value[i:j])) is not None:
-                offer(i, j, "word", cost)
-        if m := DATE.match(value, i):
-            offer(i, m.end(), "date", math.log10(365 * 150) + (math.log10(4) if m.end() - i > 8 else 0))
+            if (cost := _word_cost(value[i:j], ranks)) is not None:
+                yield i, j, "word", cost
+        for date in DATES:
+            if m := date.match(value, i):
+                yield i, m.end(), "date", math.log10(365 * 150) + (math.log10(4) if m.end() - i > 8 else 0)
         if m := YEAR.match(value, i):
-            offer(i, m.end(), "date", math.log10(150))
+            yield i, m.end(), "date", math.log10(150)
     for m in PROSE.finditer(value):
         word = m.group()
         if 0.2 <= sum(c in "aeiouy" for c in word) / len(word) <= 0.7:
-            offer(m.start(), m.end(), "word", UNLISTED_WORD)
+            yield m.start(), m.end(), "word", UNLISTED_WORD
+
+
+def segmented(value: str, ranks: dict[str, int] = RANKS) -> tuple[float, list[tuple[str, str]]]:
+    """The least cost of all segmentations, and one of its segmentations as (kind, text).
+
+    Each segment costs its guesses and SEGMENT; neighbouring brute-force characters are one
+    segment. So a position has two least costs: with brute force going on, and with a segment
+    just ended. Repeats and walks may be any part, of three characters or more, of a run:
+    * a walk's cost is linear in its length, so the best start of a run is kept as one number;
+    * a repeat's grows with the logarithm, so a later start that is not better at its
+      first end never is; only starts that are stay in the list.
+    """
+    n = len(value)
+    ends: dict[int, list[tuple[int, str, float]]] = {}
+    for i, j, kind, cost in fixed_segments(value, ranks):
+        ends.setdefault(j, []).append((i, kind, cost))
+    # Per position: (least cost, start of the last segment, its kind) with brute force last, and with another kind.
+    brute: list[tuple[float, int]] = [(math.inf, 0)] * (n + 1)
+    other: list[tuple[float, int, str]] = [(0.0, 0, "")] + [(math.inf, 0, "")] * n
+    best = [0.0] + [math.inf] * n
+    same = walk = 0  # where the runs began
+    repeats: list[int] = []
+    walk_start = None
     for j in range(1, n + 1):
-        r, w = same[j - 1], walk[j - 1]
-        # A run's whole length from its start; shorter tails are covered by its own ends.
-        if r >= 3:
-            offer(j - r, j, "repeat", _char_cost(value[j - 1]) + math.log10(r))
-        if w >= 3:
-            offer(j - w, j, "walk", math.log10(47) + 0.35 * (w - 1))
-        c = best[j - 1] + _char_cost(value[j - 1]) + (0 if in_brute[j - 1] else SEGMENT)
-        best[j], back[j], in_brute[j] = c, (j - 1, "brute"), True
+        c = value[j - 1]
+        if j > 1 and c != value[j - 2]:
+            same, repeats = j - 1, []
+        if j > 1 and (c == value[j - 2] or not _adjacent(c, value[j - 2])):
+            walk, walk_start = j - 1, None
+        found = other[j]
         for start, kind, cost in ends.pop(j, ()):
-            if (c := best[start] + cost + SEGMENT) < best[j]:
-                best[j], back[j], in_brute[j] = c, (start, kind), False
+            found = min(found, (best[start] + cost + SEGMENT, start, kind))
+        if (i := j - 3) >= same:
+            at = lambda start, j=j, one=_char_cost(c): best[start] + one + math.log10(j - start) + SEGMENT
+            if not repeats or at(i) < min(map(at, repeats)):
+                repeats.append(i)
+            found = min([found, *((at(start), start, "repeat") for start in repeats)])
+        if i >= walk:
+            if walk_start is None or best[i] - WALK_STEP * i < best[walk_start] - WALK_STEP * walk_start:
+                walk_start = i
+            found = min(found, (best[walk_start] + walk_cost(j - walk_start) + SEGMENT, walk_start, "walk"))
+        other[j] = found
+        one = _char_cost(c)
+        on, new = brute[j - 1][0] + one, other[j - 1][0] + one + SEGMENT
+        brute[j] = (on, brute[j - 1][1]) if on <= new else (new, j - 1)
+        best[j] = min(brute[j][0], other[j][0])
     parts: list[tuple[str, str]] = []
     j = n
     while j:
-        i, kind = back[j]
-        if kind == "brute" and parts and parts[-1][0] == "brute":
-            parts[-1] = ("brute", value[i:j] + parts[-1][1])
-        else:
-            parts.append((kind, value[i:j]))
-        j = i
+        start, kind = (brute[j][1], "brute") if brute[j][0] < other[j][0] else other[j][1:]
+        parts.append((kind, value[start:j]))
+        j = start
     return best[n], parts[::-1]
 
 
@@ -159,10 +201,10 @@ def base_spans(text: str) -> list[tuple[int, str, int]]:
     return found
 
 
-def guess_spans(text: str, min_log10: float) -> list[tuple[int, str, int]]:
+def guess_spans(text: str, min_log10: float, ranks: dict[str, int] = RANKS) -> list[tuple[int, str, int]]:
     if ":" not in text and "=" not in text:
         return []
-    return [(m.start(1), "guess", m.end(1)) for m in CONTEXT.finditer(text) if guess_log10(m.group(1)) >= min_log10]
+    return [(m.start(1), "guess", m.end(1)) for m in CONTEXT.finditer(text) if guess_log10(m.group(1), ranks) >= min_log10]
 
 
 def joined(spans: list[tuple[int, str, int]]) -> str:
@@ -173,8 +215,15 @@ def joined(spans: list[tuple[int, str, int]]) -> str:
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, n_guess long, base_sha256 string, spans string"
 
 
-def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_log10: float = 8.0) -> DataFrame:
-    """One row per input row: counts by kind, the base digest, and all spans as kind:start:end."""
+def scan_secrets(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_log10: float = 8.0, vocabulary_path: str | None = TOKENIZER_PATH
+) -> DataFrame:
+    """One row per input row: counts by kind, the base digest, and all spans as kind:start:end.
+
+    vocabulary_path: a tokenizer's file whose words are guessed besides our list; its size is checked.
+    """
+    words = word_ranks(load_vocabulary(vocabulary_path)) if vocabulary_path else RANKS
+    shared = df.sparkSession.sparkContext.broadcast(words)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = arrow_schema(SCHEMA)
@@ -183,7 +232,7 @@ def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 text = text.as_py() or ""
                 base = base_spans(text)
-                more = guess_spans(text, min_log10)
+                more = guess_spans(text, min_log10, shared.value)
                 counts = [sum(s[1] == k for s in base) for k in KINDS[:3]]
                 rows.append((doc_id, *counts, len(more), hashlib.sha256(joined(base).encode()).hexdigest(), joined(base + more)))
             yield record_batch(rows, schema)

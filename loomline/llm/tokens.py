@@ -71,7 +71,8 @@ def pieces_of(text: str) -> Iterator[str]:
     """The text in pieces whose token counts add up to the whole text's.
 
     A cut lies before a space that stands between a letter and a letter: a token never
-    reaches over it, since such a space starts a token of its own.
+    reaches over it, since such a space starts a token of its own. A text without one
+    stays whole, and is counted all the same.
     """
     at = 0
     while len(text) - at > PIECE_CHARS:
@@ -125,7 +126,7 @@ class RollupStore:
 
     def commit(self, batch_id: str, changes: DataFrame) -> bool:
         """Apply a batch once. False if it had been applied before."""
-        if batch_id in self._folded() or self._attempt(batch_id):
+        if batch_id in self._snapshot()["batches"] or self._attempt(batch_id):
             return False
         attempt = uuid.uuid4().hex
         signed_deltas(changes).write.parquet(f"{self.path}/data/{attempt}")
@@ -139,22 +140,33 @@ class RollupStore:
 
     def totals(self) -> DataFrame:
         """Current totals per group; groups that are all zero are left out."""
-        folded = self._folded()
-        paths = [f"{self.path}/data/{self._attempt(b)}" for b in self._committed() if b not in folded]
-        if snapshot := self._snapshot():
-            paths.append(f"{self.path}/data/{snapshot['data']}")
+        snapshot = self._snapshot()
+        return self._summed(snapshot, [b for b in self._committed() if b not in snapshot["batches"]])
+
+    def _summed(self, snapshot: dict, batches: list[str]) -> DataFrame:
+        """The sum of a snapshot and of exactly these batches besides."""
+        names = [snapshot["data"], *map(self._attempt, batches)]
+        paths = [f"{self.path}/data/{name}" for name in names if name]
         empty = self.spark.createDataFrame([], DELTA)
         rows = self.spark.read.schema(DELTA).parquet(*paths) if paths else empty
         summed = rows.groupBy(*KEYS).agg(*[F.sum(c).alias(c) for c in SUMS])
         return summed.where(" or ".join(f"{c} != 0" for c in SUMS))
 
-    def compact(self) -> None:
-        """Fold all committed batches into a snapshot; their ids stay known."""
-        batches = sorted({*self._folded(), *self._committed()})
+    def compact(self) -> bool:
+        """Fold the batches committed so far into a snapshot; their ids stay known.
+
+        The snapshot sums the very ids it lists: what is committed meanwhile stays outside. It
+        follows the one it read, so of two compactions at once one gives up, and False comes back.
+        """
+        before = self._snapshot()
+        fresh = sorted(b for b in self._committed() if b not in before["batches"])
         attempt = uuid.uuid4().hex
-        self.totals().write.parquet(f"{self.path}/data/{attempt}")
-        number = max([-1, *map(int, self._names("snapshots"))]) + 1
-        self._create(f"{self.path}/snapshots/{number}", json.dumps({"data": attempt, "batches": batches}))
+        self._summed(before, fresh).write.parquet(f"{self.path}/data/{attempt}")
+        text = json.dumps({"data": attempt, "batches": sorted([*before["batches"], *fresh])})
+        if not self._create(f"{self.path}/snapshots/{before['number'] + 1}", text):
+            drop_path(self.spark, f"{self.path}/data/{attempt}")
+            return False
+        return True
 
     def _committed(self) -> list[str]:
         from urllib.parse import unquote
@@ -164,13 +176,12 @@ class RollupStore:
     def _attempt(self, batch_id: str) -> str | None:
         return self._read(f"{self.path}/commits/{quote(batch_id, safe='')}") or None
 
-    def _snapshot(self) -> dict | None:
+    def _snapshot(self) -> dict:
+        """The last whole snapshot: its number, data and batches; number is that of the last file, whole or not."""
         numbers = sorted(map(int, self._names("snapshots")), reverse=True)
         found = (self._read(f"{self.path}/snapshots/{n}") for n in numbers)
-        return next((json.loads(x) for x in found if x), None)
-
-    def _folded(self) -> set[str]:
-        return set((self._snapshot() or {"batches": []})["batches"])
+        last = next((json.loads(x) for x in found if x), {"data": None, "batches": []})
+        return last | {"number": max(numbers, default=-1)}
 
     def _names(self, folder: str) -> list[str]:
         fs, at = path_fs(self.spark, f"{self.path}/{folder}")

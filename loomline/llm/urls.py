@@ -118,6 +118,7 @@ def url_verdicts(
     by_node = labels.join(judged, "component").select(
         "node", "component", F.when(F.col("any_allow"), "allow").when(F.col("any_block"), "block").alias("spread_")
     )
+    by_node = scratch.last(by_node, "by-node")
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     rule, act = rule_columns(F.col("host"), F.col("path"), rules)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"), node_of(F.col("url")).alias("node"))

@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from loomline.llm import components, cotraining, flac, jaccard_join, latent, lines, media, packing, secrets, sharding, tokens, urls
+from loomline.llm import common, components, cotraining, flac, jaccard_join, latent, lines, media, packing, secrets, sharding, tokens, urls
 from loomline.llm.common import Scratch
 
 LONG = " ".join(f"w{i}" for i in range(30000))
@@ -57,6 +57,44 @@ def test_guess_costs_order():
     assert "".join(p for _, p in secrets.segmented("Tr0ub4dor&3")[1]) == "Tr0ub4dor&3"
 
 
+def brute_guess(value, ranks=secrets.RANKS):
+    """The least cost over every segmentation, every part of every run offered."""
+    n, segments = len(value), {}
+    for i, j, _, cost in secrets.fixed_segments(value, ranks):
+        segments.setdefault((i, j), []).append(cost)
+    for i in range(n):
+        for j in range(i + 1, n + 1):
+            part, costs = value[i:j], segments.setdefault((i, j), [])
+            costs.append(sum(map(secrets._char_cost, part)))
+            if j - i >= 3 and len(set(part)) == 1:
+                costs.append(secrets._char_cost(part[0]) + np.log10(j - i))
+            if j - i >= 3 and all(a != b and secrets._adjacent(a, b) for a, b in zip(part, part[1:], strict=False)):
+                costs.append(secrets.walk_cost(j - i))
+    best = [0.0]
+    for j in range(1, n + 1):
+        best.append(min(best[i] + min(segments[i, j]) + secrets.SEGMENT for i in range(j)))
+    return best[n]
+
+
+PARTS = ["password", "admin", "test", "tttt", "nnnnnnnn", "2019", "1999-01-31", "qwer", "zxcvb", "12345", "aaa", "Summer", "P@ss", "01012020"]
+
+
+@given(st.lists(st.one_of(st.sampled_from(PARTS), st.text("abct1209!Qé", min_size=1, max_size=4)), min_size=1, max_size=6).map("".join))
+@settings(max_examples=400, deadline=None)
+def test_guess_cost_is_the_least(value):
+    cost, parts = secrets.segmented(value)
+    assert abs(cost - brute_guess(value)) < 1e-9 and "".join(p for _, p in parts) == value
+
+
+def test_guess_costs_of_joined_words():
+    for value, cost in (("adminnnnnnnn1", 4.77), ("testtttt2019", 6.66), ("passwordddddd", 3.02)):
+        assert round(secrets.guess_log10(value), 2) == cost
+    assert secrets.guess_spans("password: testtttt2019", 8) == []
+    assert len(secrets.segmented("a" * 30000 + "qw" * 10000)[1]) == 2  # long runs take time in proportion
+    words = secrets.word_ranks(tokens.load_vocabulary(tokens.TOKENIZER_PATH))
+    assert len(words) > 10000 and secrets.guess_log10("something", words) < secrets.guess_log10("something")
+
+
 @given(st.lists(st.binary(min_size=1, max_size=1500), min_size=1, max_size=5))
 @settings(max_examples=25, deadline=None)
 def test_flac_round_trip(payloads):
@@ -100,6 +138,15 @@ def test_rollup_is_signed_and_idempotent(spark, tmp_path):
     assert {tuple(r) for r in store.totals().collect()} == want
     store.compact()
     assert {tuple(r) for r in store.totals().collect()} == want and not store.commit("b2", first)
+    late = tokens.RollupStore(spark, store.path)
+    plain, store._summed = store._summed, lambda snapshot, batches: (late.commit("late", change(("insert", "a", "en", "v", 3, 7, None, None))), plain(snapshot, batches))[1]
+    assert store.compact()  # what is committed while it runs counts once
+    del store._summed
+    assert {tuple(r) for r in store.totals().collect()} == {("a", "en", "v", 3, 25, 91)} and store.compact()
+    assert {tuple(r) for r in store.totals().collect()} == {("a", "en", "v", 3, 25, 91)} and not store.commit("late", first)
+    want, other = {("a", "en", "v", 3, 25, 91)}, tokens.RollupStore(spark, store.path)
+    plain, other._summed = other._summed, lambda snapshot, batches: (late.compact(), plain(snapshot, batches))[1]
+    assert not other.compact()  # of two at once one gives up
     assert store.commit("b3", change()) and {tuple(r) for r in store.totals().collect()} == want
     with pytest.raises(Exception, match="unknown operation"):
         store.commit("b4", change(("upsert", "a", "en", "v", 1, 1, None, None)))
@@ -149,6 +196,20 @@ def test_jaccard_cases(spark, odd, none):
     assert jaccard_join.one_of_each(odd, 3, (9, 10)).count() == len(ROWS) - 2
 
 
+def test_group_unions_bound_overlap(spark):
+    rng = np.random.default_rng(3)
+    sets = [np.unique(jaccard_join.mixed(rng.integers(0, 500, rng.integers(20, 300)).astype(np.uint64))) for _ in range(24)]
+    rows = [(i % 5, len(s), jaccard_join.union_bits(s)) for i, s in enumerate(sets)]
+    members = spark.createDataFrame(rows, "g long, n long, bits binary").repartition(4)
+    unions = {r["g"]: (r["least_n"], r["union"]) for r in jaccard_join.group_unions(members).collect()}
+    for i, s in enumerate(sets):
+        for g, (least, union) in unions.items():
+            group = [x for j, x in enumerate(sets) if j % 5 == g]
+            a, b = jaccard_join._folded(rows[i][2], union)
+            assert least == min(map(len, group))
+            assert len(s) - int(np.bitwise_count(a & ~b).sum()) >= max(len(np.intersect1d(s, x)) for x in group)
+
+
 def test_jaccard_family_equals_brute_force(spark):
     rng = random.Random(5)
     base = [f"b{i}" for i in range(120)]
@@ -177,7 +238,59 @@ def test_line_cases(spark, odd, none):
     assert {r["doc_id"] for r in out.collect()} == {1, 2, None, 3, 5}
     rows = [(1, "a b c d e f g h i j k l\nshort line"), (2, "x\na b c d e f g h i j k z\nshort line\nA  b c\td e f g h i j k l")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert {r["doc_id"]: r["text"] for r in lines.deduplicated(df, threshold=(8, 10)).collect()} == {1: rows[0][1], 2: "x\na b c d e f g h i j k z\nshort line"}
+    assert {r["doc_id"]: r["text"] for r in lines.deduplicated(df, threshold=(8, 10)).collect()} == {1: rows[0][1], 2: "x\na b c d e f g h i j k z"}
+    assert {r["doc_id"]: r["text"] for r in lines.deduplicated(df, least_words=5).collect()} == {1: rows[0][1], 2: "x\na b c d e f g h i j k z\nshort line"}
+    # Columns may have any name; blank lines stay; a document that is all repeats goes.
+    names = ["doc_id", "text", "gone", "g_id", "g_hash", "row", "lines", "left", "id", "hash", "gone_", "lm_hash_"]
+    clash = spark.createDataFrame([(1, "a\n\nb", *"xxxxxxxxxx"), (2, "b\n\nc", *"yyyyyyyyyy"), (3, "c\nA", *"zzzzzzzzzz")], names)
+    out = lines.deduplicated(clash)
+    assert out.columns == names and {(r["doc_id"], r["text"], r["row"]) for r in out.collect()} == {(1, "a\n\nb", "x"), (2, "\nc", "y")}
+    assert set(jaccard_join.one_of_each(clash.withColumn("key", F.lit("k"))).columns) == {*names, "key"}
+
+
+def brute_lines(texts, k=5):
+    """(document, line) of every line that a line before it comes near, by trying all pairs."""
+    seen, gone = [], set()
+    for d, text in enumerate(texts):
+        for i, line in enumerate(text.split("\n")):
+            w = line.lower().split()
+            g = {tuple(w[j : j + k]) for j in range(len(w) - k + 1)} or ({tuple(w)} if w else set())
+            if any(10 * len(g & s) >= 8 * len(g | s) for s in seen if g & s):
+                gone.add((d, i))
+            seen.append(g)
+    return gone
+
+
+@pytest.mark.parametrize("most_bitmap", [lines.MOST_BITMAP, 0])
+def test_line_families_equal_brute_force(spark, monkeypatch, most_bitmap):
+    monkeypatch.setattr(lines, "MOST_BITMAP", most_bitmap)
+    rng = random.Random(8)
+    bases = [[f"w{rng.randrange(60)}" for _ in range(70)] for _ in range(4)]
+
+    def line():
+        w = list(rng.choice(bases))[: rng.randrange(1, 71) if rng.random() < 0.3 else 70 - rng.randrange(9)]
+        for _ in range(rng.choice((0, 0, 1, 2))):
+            w[rng.randrange(len(w))] = f"w{rng.randrange(60)}"
+        return " ".join(w)
+
+    texts = ["\n".join(line() for _ in range(rng.randrange(1, 5))) for _ in range(120)] + ["ha ha ha ha ha ha", "ha ha ha ha ha ha ha", "p q\nP\tq\n"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {(r["doc_id"], int(i)) for r in lines.line_report(df).collect() for i in r["removed_lines"].split(",") if i}
+    assert got == brute_lines(texts)
+
+
+def test_operators_leave_one_table(spark, tmp_path, monkeypatch):
+    import os
+
+    monkeypatch.setattr(common, "shared_dir", lambda spark: str(tmp_path))
+    df = spark.createDataFrame([(i, f"one two three four five six {i % 7}\nx\n" * 3) for i in range(30)], "doc_id long, text string")
+    for run in (lines.deduplicated, jaccard_join.one_of_each):
+        run(df).count()
+        (left,) = (tmp_path / "loomline" / spark.sparkContext.applicationId).iterdir()
+        assert left.name.startswith("last-")
+        for f in left.iterdir():
+            os.remove(f)
+        left.rmdir()
 
 
 def test_packing_cases(odd, none):
@@ -187,6 +300,39 @@ def test_packing_cases(odd, none):
     assert (got.bin_offset + got.piece_length <= got.bin_used).all() and (got.bin_used <= got.bin_capacity).all()
 
 
+def brute_pack(lengths, capacities, cost):
+    """Best fit by trying every open bin, and every capacity filled from the list of what is left."""
+    order, bins = sorted(range(len(lengths)), key=lambda i: -lengths[i]), []
+    for k, i in enumerate(order):
+        n = lengths[i]
+        # Of bins with the same room, the one that came to it last.
+        able = [(c - sum(lengths[j] for j in members), -order.index(members[-1]), b) for b, (c, members) in enumerate(bins) if c - sum(lengths[j] for j in members) >= n]
+        if able:
+            bins[min(able)[2]][1].append(i)
+            continue
+        filled = {}
+        for c in (c for c in capacities if c >= n):
+            room = c - n
+            for j in order[k + 1 :]:
+                if lengths[j] <= room:
+                    room -= lengths[j]
+            filled[c] = c - room
+        c = min(filled, key=lambda c: ((c + cost) / filled[c], c))
+        bins.append((c, [i]))
+    return sorted((min(x for x in capacities if x >= sum(lengths[j] for j in m)), sorted(lengths[j] for j in m)) for _, m in bins)
+
+
+@given(st.lists(st.integers(1, 60), max_size=40), st.sampled_from([(10, 25, 60), (60,), (15, 60, 90)]))
+@settings(deadline=None, max_examples=150)
+def test_packing_is_best_fit(lengths, capacities):
+    """Every piece meets the least room that holds it, and every bin is opened at the least cost per unit."""
+    bins = brute_pack(lengths, capacities, 3)
+    got: dict = {}
+    for n, (b, capacity, _, _) in zip(lengths, packing.pack(lengths, capacities, 3), strict=True):
+        got.setdefault(b, (capacity, []))[1].append(n)
+    assert sorted((c, sorted(m)) for c, m in got.values()) == bins
+
+
 @given(st.lists(st.integers(1, 100), max_size=60))
 @settings(deadline=None)
 def test_packing_fits_and_shrinks(lengths):
@@ -228,6 +374,23 @@ def test_latent_cases(spark, odd, none):
     assert clean.columns == docs.columns and {r["doc_id"] for r in clean.collect()} == {*range(60), 103}
     assert latent.find_contamination(none, bench).count() == 0 and latent.find_contamination(odd, bench.limit(0)).count() == 0
     assert latent.decontaminate(odd, bench).count() == len(ROWS)
+    few = spark.createDataFrame([(1, "Alpha beta gamma"), (2, "delta"), (3, ""), (4, "alpha BETA gamma")], "item_id long, text string")
+    texts = [(1, "say alpha Beta gamma."), (2, "say alpha Beta gamma now alpha beta gamma"), (3, "alpha beta"), (4, "gamma delta"), (5, "alpha"), (6, "beta gamma"), (7, "delta")]
+    short = latent.find_contamination(spark.createDataFrame(texts, "doc_id long, text string").coalesce(1), few).collect()
+    assert {(r["doc_id"], r["item_id"], r["word_start"]) for r in short} == {(2, 1, 1), (2, 4, 1), (4, 2, 1), (7, 2, 0)}
+
+
+def test_latent_blocks_give_what_one_gives(spark, monkeypatch):
+    rng = random.Random(6)
+    text = lambda n: " ".join(rng.choices([f"v{i}" for i in range(300)], k=n))
+    items = [text(25) for _ in range(7)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    docs = spark.createDataFrame([(i, f"{text(60)} {items[i] if i < 7 else ''} {text(30)}") for i in range(20)], "doc_id long, text string")
+    found = lambda: {(r["doc_id"], r["item_id"]) for r in latent.find_contamination(docs, bench).collect()}
+    one = found()
+    monkeypatch.setattr(latent, "ITEM_BLOCK", 3)
+    assert one == {(i, i) for i in range(7)} == found()
+    assert {r["doc_id"] for r in latent.decontaminate(docs, bench).collect()} == set(range(7, 20))
 
 
 def test_latent_copies_need_no_cosine():
