@@ -6,23 +6,24 @@ number), has a Jaccard similarity of at least the threshold with it, whether or
 is itself removed. Lines of fewer than ``least_words`` words (1: none but blank ones) stay.
 
 1. *Keys.* One map over the text gives each line two independent 64-bit hashes of its words
-   (its key), the size of its token set and its leading tokens in order of rarity. Rarity
-   is the count, over the corpus, of the bucket of a token's first word (2^15 counts, a fixed
-   size), then the hash: words keep a long tail of rare ones however large a corpus gets.
+   (its key), the size of its token set and its least token hashes, as many as must hold one of
+   any set that is near (a prefix by hash).
 2. *Repeats.* Lines with equal keys are one set, placed at its first line; the others go.
-3. *Frequencies.* Only leading tokens that two different sets have are looked at further. While
-   these are few (``MOST_BITMAP``) a bitmap, two bits each, picks the lines; beyond it, a join.
-4. *Leaders.* Sets that share their least or their greatest token hash compare with two
-   sets of their bucket, the first and the least edited: one pair each.
+3. *Suspects.* Only sets that share one of these tokens with a different set can be near any.
+   While such tokens are few (``MOST_BITMAP``) a bitmap, two bits each, picks the lines; beyond it, a join.
+4. *Rarity.* The suspects' lines are read again. The half of their tokens with negative hashes
+   is ordered by how many suspects have them, counted exactly; tokens of one suspect alone
+   come first and are only counted. The leading tokens in this order are the prefix from here on.
+5. *Leaders.* Sets that share their least or their greatest token hash compare with two
+   sets of their bucket, the first and the one whose shared tokens begin soonest: one pair each.
    What matches is removed, and needs no further comparison as the later of a pair.
-5. *Join.* Sets meet on their leading tokens, under the length filter and the positional
+6. *Join.* Sets meet on their leading tokens, under the length filter and the positional
    filter. One side is always a set not removed yet, so that a hot group of near-equal
    lines, which its leaders have removed, does not meet itself.
-6. *Verify.* A pair goes on if its common leading tokens and all that can follow them reach
-   the threshold; then its whole lines are read again and compared token by token.
+7. *Verify.* A pair goes on if its common leading tokens and all that can follow them reach
+   the threshold; then whole token sets are compared.
 
-Tokens have 64 bits (48 and the rank while candidates are sought, which can only
-add candidates: keys do not depend on them). Texts of compared lines are picked by a bitmap of fixed size.
+Tokens have 64 bits; keys do not depend on them. Texts of suspects are picked by a bitmap of fixed size.
 
 Defined cases: a null text has no lines; an empty text has one empty line, which stays; line
 breaks are LF alone; a null id comes before all others; rows equal in id and text are one
@@ -38,8 +39,6 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
-RANK_BITS = 15
-MOST_RANK = 32767
 BITMAP_BITS = 25
 #: Tokens in a bitmap at most (2^26 bits, 16 MB to broadcast); more are met by a shuffled join.
 MOST_BITMAP = 1 << 21
@@ -72,31 +71,13 @@ def _lines(docs: DataFrame, least_words: int) -> DataFrame:
 
 
 def _with_tokens(df: DataFrame, k: int) -> DataFrame:
-    """df with ``firsts`` (a word hash per shingle) and ``tokens`` (the shingles' hashes, repeats included), from ``words``."""
+    """df with ``tokens``, the distinct hashes of the shingles of ``words``; fewer words are one."""
     df = df.withColumn("hashes_", F.transform("words", lambda w: F.xxhash64(w)))
     n = F.size("hashes_")
-    firsts = F.when(n >= k, F.slice("hashes_", F.lit(1), F.greatest(n - F.lit(k - 1), F.lit(0)))).otherwise(F.slice("hashes_", 1, 1))
-    df = df.withColumn("firsts", firsts)
-    rolled = F.transform("firsts", lambda w, i: F.xxhash64(w, *[F.get("hashes_", i + F.lit(j)) for j in range(1, k)]))
-    return df.withColumn("tokens", F.when(n >= k, rolled).when(n > 0, F.array(F.xxhash64("hashes_"))).otherwise(F.array().cast("array<bigint>"))).drop("hashes_")
-
-
-def _bucket(word: Column) -> Column:
-    return word.bitwiseAND(F.lit((1 << RANK_BITS) - 1).cast("long")).cast("int")
-
-
-def word_ranks(docs: DataFrame) -> Column:
-    """An array of 2^15 ranks, those of rarer words' buckets lower, shifted to the top bits; a constant of the plan.
-
-    Words are runs between spaces and line breaks here; a tab in one only blurs its rank.
-    """
-    lines = docs.where("text is not null").select(F.explode(F.split("text", "\n")).alias("line"))
-    words = lines.select(F.explode(F.split(F.lower("line"), " ")).alias("w")).where("w != ''")
-    counts = words.groupBy(_bucket(F.xxhash64("w")).alias("b")).agg(F.count("*").alias("n"))
-    found = {r["b"]: r["n"] for r in counts.collect()}  # 2^15 rows at most
-    mean = max(1.0, sum(found.values()) / (1 << RANK_BITS))
-    ranks = ",".join(str(min(MOST_RANK, int(64 * found.get(b, 0) / mean)) << 48) for b in range(1 << RANK_BITS))
-    return F.split(F.lit(ranks), ",").cast("array<bigint>")
+    firsts = F.slice("hashes_", F.lit(1), F.greatest(n - F.lit(k - 1), F.lit(0)))
+    rolled = F.transform(firsts, lambda w, i: F.xxhash64(w, *[F.get("hashes_", i + F.lit(j)) for j in range(1, k)]))
+    tokens = F.when(n >= k, F.array_distinct(rolled)).when(n > 0, F.array(F.xxhash64("hashes_"))).otherwise(F.array().cast("array<bigint>"))
+    return df.withColumn("tokens", tokens).drop("hashes_")
 
 
 def _least_overlap(a: str, b: str, num: int, den: int) -> str:
@@ -104,20 +85,23 @@ def _least_overlap(a: str, b: str, num: int, den: int) -> str:
     return f"(({num} * ({a} + {b}) + {num + den - 1}) div {num + den})"
 
 
-def _signed(lines: DataFrame, ranks: Column, k: int, num: int, den: int) -> DataFrame:
-    """Each line's place and key, its set's size and bucket keys, and its leading tokens in order of rarity."""
-    df = _with_tokens(lines, k)
-    order = F.zip_with("tokens", "firsts", lambda t, w: F.get(ranks, _bucket(w)).bitwiseOR(F.shiftrightunsigned(t, 16)))
-    df = df.withColumn("n", F.size(F.array_distinct("tokens"))).withColumn("sorted_", F.sort_array(F.array_distinct(order)))
+def _probe(n: str, num: int, den: int) -> str:
+    """Leading tokens, in any order that all sets share, one of which any set that is near has among its own."""
+    return f"({n} - (({num} * {n} + {den - 1}) div {den}) + 1)"
+
+
+def _signed(lines: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Each line's place and key, its set's size and bucket keys, and its least token hashes."""
+    df = _with_tokens(lines, k).withColumn("sorted_", F.sort_array("tokens")).withColumn("n", F.size("sorted_"))
     # One token is a whole short line: equal words have equal keys, so it need not be looked up.
-    probe = F.expr(f"if(size(words) < {k}, 0, n - (({num} * n + {den - 1}) div {den}) + 1)").cast("int")
+    probe = F.expr(f"if(size(words) < {k}, 0, {_probe('n', num, den)})").cast("int")
     return df.select(
         *PLACE,
         F.xxhash64("words").alias("k1"),
         F.xxhash64(F.lit(0x5EED), "words").alias("k2"),
         "n",
-        F.array_min("tokens").alias("low"),
-        F.array_max("tokens").alias("high"),
+        F.element_at("sorted_", 1).alias("low"),
+        F.element_at("sorted_", -1).alias("high"),
         F.slice("sorted_", F.lit(1), probe).alias("prefix"),
     )
 
@@ -144,31 +128,53 @@ def _shared(every: DataFrame, repeated: DataFrame) -> DataFrame:
     return _in_bitmap(_in_bitmap(every.withColumn("s", spots[0]), bitmap).withColumn("s", spots[1]), bitmap)
 
 
-def _token_sets(pairs: DataFrame, sets: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """(sid, tokens) of every set in a pair, from the line where it stands."""
-    wanted = pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))).distinct()
-    wanted = wanted.join(sets.select("sid", *PLACE), "sid")
-    wanted = wanted.groupBy(F.col("doc_id").alias("w_id"), F.col("text_hash").alias("w_hash")).agg(F.collect_list(F.struct("line_no", "sid")).alias("at_"))
+def _token_sets(sets: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """(sid, tokens) of every set, from the line where it stands."""
+    wanted = sets.groupBy(F.col("doc_id").alias("w_id"), F.col("text_hash").alias("w_hash")).agg(F.collect_list(F.struct("line_no", "sid")).alias("at_"))
     spot = lambda i, h: F.pmod(F.xxhash64(i, h), F.lit(1 << BITMAP_BITS)).cast("int")
-    spots = wanted.select(spot(F.col("w_id"), F.col("w_hash")).alias("s"))
+    spots = sets.select(spot(F.col("doc_id"), F.col("text_hash")).alias("s"))
     met = _in_bitmap(docs.withColumn("s", spot(F.col("doc_id"), F.col("text_hash"))), _bitmap(spots)).select("doc_id", "text_hash", "text")
     met = met.join(wanted, [met["doc_id"].eqNullSafe(wanted["w_id"]), met["text_hash"] == wanted["w_hash"]])
     # Split below the explode, once for each text.
     split = met.withColumn("lines_", F.split("text", "\n")).select("lines_", F.explode("at_").alias("at_"))
     lines = split.select("at_.sid", F.element_at("lines_", F.col("at_.line_no") + 1).alias("line"))
-    return _with_tokens(_with_words(lines), k).select("sid", F.array_distinct("tokens").alias("tokens"))
+    # Rows equal in id and text are one document.
+    return _with_tokens(_with_words(lines), k).select("sid", "tokens").dropDuplicates(["sid"])
+
 
+def _by_rarity(tokens: DataFrame, num: int, den: int) -> DataFrame:
+    """(sid, n, alone, leading): of each set's prefix the tokens that others have, in order, and how many stand before them.
 
-def _able(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    The order: negative hashes, by the number of sets that have them and then by hash, before
+    all others by hash. So frequencies of half the tokens suffice; a set with too few negative
+    ones goes on with its others, for which their order stands in.
+    """
+    sized = tokens.select("sid", F.size("tokens").alias("n"), F.sort_array("tokens").alias("sorted_"))
+    sized = sized.withColumn("probe", F.expr(_probe("n", num, den)).cast("int"))
+    # Sorted by hash, negative ones come first; others count only as far as the prefix can reach.
+    sized = sized.withColumn("negative", F.expr("size(filter(sorted_, t -> t < 0))"))
+    rows = sized.select("sid", "n", "probe", "negative", F.explode(F.expr("slice(sorted_, 1, greatest(probe, negative))")).alias("token"))
+    counts = rows.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    # One row a token on the side that is hashed: no key of it is hot.
+    met = rows.join(counts.hint("shuffle_hash"), "token")
+    order = F.struct(F.when(F.col("token") < 0, F.col("df")).otherwise(F.lit(1 << 62)).alias("df"), "token")
+    shared = met.groupBy("sid").agg(*[F.first(c).alias(c) for c in ("n", "probe", "negative")], F.sort_array(F.collect_list(order)).alias("shared"))
+    # Others that no set shares would stand later than all these, so they are not counted.
+    shared = shared.withColumn("alone", F.expr("negative - size(filter(shared, s -> s.token < 0))"))
+    leading = F.expr("slice(shared, 1, cast(greatest(0, probe - alone) as int))")
+    return shared.select("sid", "n", "alone", leading.alias("leading")).where("size(leading) > 0")
+
+
+def _able(pairs: DataFrame, ranked: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose common leading tokens, and all that may follow them, can reach the threshold.
 
     Common tokens up to the lesser of both last leading tokens stand among both sets' leading
     ones; of the set that ends there, only the tokens after its leading ones are left.
     """
-    of = lambda x: sets.select(F.col("sid").alias(x), F.col("n").alias(f"n{x}"), F.col("last").alias(f"l{x}"), F.col("hits.token").alias(f"t{x}"))
+    last = F.element_at("leading", -1)
+    of = lambda x: ranked.select(F.col("sid").alias(x), F.col("n").alias(f"n{x}"), last.alias(f"l{x}"), F.col("leading.token").alias(f"t{x}"))
     both = pairs.join(of("b"), "b").join(of("a"), "a").withColumn("c", F.size(F.array_intersect("ta", "tb")))
-    after = lambda x: f"(({num} * n{x} + {den - 1}) div {den}) - 1"
-    return both.where(F.expr(f"c + if(la <= lb, {after('a')}, {after('b')}) >= {_least_overlap('na', 'nb', num, den)}")).select("a", "b")
+    return both.where(F.expr(f"c + if(la <= lb, na - {_probe('na', num, den)}, nb - {_probe('nb', num, den)}) >= {_least_overlap('na', 'nb', num, den)}")).select("a", "b")
 
 
 def _verified(pairs: DataFrame, tokens: DataFrame, num: int, den: int) -> DataFrame:
@@ -186,37 +192,36 @@ def removed_lines(
     num, den = threshold
     scratch = Scratch(df.sparkSession)
     docs = _documents(df, id_col, text_col)
-    counted = _lines(docs, least_words)
-    lines = scratch.cut(_signed(counted, word_ranks(docs), k, num, den), "lines")
-
-    # A leading token of one set alone meets nothing. Sets are told apart by their keys, so that repeats of a line do not count.
-    leading = lines.select("k1", F.explode("prefix").alias("token")).groupBy("token").agg(F.min("k1").alias("one"), F.max("k1").alias("other"))
-    repeated = scratch.cut(leading.where("one != other").select("token"), "repeated")
-    every = lines.select("k1", "k2", *PLACE, "n", "low", "high", F.element_at("prefix", -1).alias("last"), F.posexplode("prefix").alias("pos", "token"))
-    hits = _shared(every, repeated)
-
-    # Sets in the order of their places: a range shuffle, then numbers that rise with it. Equal keys have equal hits.
-    sets = hits.groupBy("k1", "k2").agg(
-        F.min(F.struct(*PLACE)).alias("p"), *[F.min(c).alias(c) for c in ("n", "low", "high", "last")], F.collect_set(F.struct("pos", "token")).alias("hits")
-    )
-    sets = scratch.cut(sets.select("k1", "k2", "p.*", "n", "low", "high", "last", "hits"), "unordered")
+    lines = scratch.cut(_signed(_lines(docs, least_words), k, num, den), "lines")
+
+    # A prefix token of one set alone meets nothing. Sets are told apart by their keys, so that repeats of a line do not count.
+    prefixes = lines.select("k1", F.explode("prefix").alias("token")).groupBy("token").agg(F.min("k1").alias("one"), F.max("k1").alias("other"))
+    repeated = scratch.cut(prefixes.where("one != other").select("token"), "repeated")
+    every = lines.select("k1", "k2", *PLACE, "low", "high", F.explode("prefix").alias("token"))
+    suspects = _shared(every, repeated).groupBy("k1", "k2").agg(F.min(F.struct(*PLACE)).alias("p"), F.min("low").alias("low"), F.min("high").alias("high"))
+
+    # Sets in the order of their places: a range shuffle, then numbers that rise with it.
+    sets = scratch.cut(suspects.select("k1", "k2", "p.*", "low", "high"), "unordered")
     order = [F.col("doc_id").asc_nulls_first(), "line_no", "k1", "k2"]
     sets = sets.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("sid", F.monotonically_increasing_id())
     sets = scratch.cut(sets, "sets")
-    scratch.drop("unordered", "repeated")
-    postings = sets.select("sid", "n", F.inline("hits"))
-
-    # Leaders: the first of a bucket, and the one that shares its rarest token soonest.
-    at_keys = sets.select("sid", F.array_min("hits.pos").alias("soon"), F.explode(F.array("low", "high")).alias("key"))
-    chosen = at_keys.groupBy("key").agg(F.min("sid").alias("first"), F.min(F.struct("soon", "sid")).alias("least"), F.count("*").alias("met")).where("met > 1")
+    # From here on of all lines only places and keys are read.
+    keys = scratch.cut(lines.select(*PLACE, "k1", "k2"), "keys")
+    scratch.drop("unordered", "repeated", "lines")
+    tokens = scratch.cut(_token_sets(sets, docs, k), "tokens")
+    ranked = scratch.cut(_by_rarity(tokens, num, den), "ranked")
+
+    # Leaders: the first of a bucket, and the one whose shared tokens begin soonest.
+    at_keys = sets.select("sid", F.explode(F.array_distinct(F.array("low", "high"))).alias("key")).join(ranked.select("sid", "alone"), "sid")
+    chosen = at_keys.groupBy("key").agg(F.min("sid").alias("first"), F.min(F.struct("alone", "sid")).alias("least"), F.count("*").alias("met")).where("met > 1")
     stars = at_keys.join(chosen, "key").select("sid", F.explode(F.array("first", "least.sid")).alias("a")).where("a < sid")
-    stars = scratch.cut(_able(stars.select("a", F.col("sid").alias("b")).distinct(), sets, num, den), "stars")
-    gone = scratch.cut(_verified(stars, scratch.cut(_token_sets(stars, sets, docs, k), "star-tokens"), num, den), "gone")
-    scratch.drop("star-tokens", "stars")
+    stars = scratch.cut(_able(stars.select("a", F.col("sid").alias("b")).distinct(), ranked, num, den), "stars")
+    gone = scratch.cut(_verified(stars, tokens, num, den), "gone")
 
     # The join. The smaller set is found by its index prefix, the larger looks up its probe prefix.
-    marked = postings.join(gone.select(F.col("b").alias("sid"), F.lit(True).alias("gone")), "sid", "left")
-    marked = scratch.cut(marked.select("sid", "n", "pos", "token", F.coalesce("gone", F.lit(False)).alias("gone")), "marked")
+    marked = ranked.join(gone.select(F.col("b").alias("sid"), F.lit(True).alias("gone")), "sid", "left")
+    marked = marked.select("sid", "n", "alone", F.coalesce("gone", F.lit(False)).alias("gone"), F.posexplode("leading").alias("at", "lead"))
+    marked = scratch.cut(marked.select("sid", "n", F.expr("alone + at").alias("pos"), "lead.token", "gone"), "postings")
     index_length = F.expr(f"n - ((2 * {num} * n + {num + den - 1}) div {num + den}) + 1")
     larger = lambda d: d.select(F.col("sid").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("px"), "token")
     smaller = lambda d: d.where(F.col("pos") < index_length).select(F.col("sid").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("py"), "token")
@@ -224,15 +229,14 @@ def removed_lines(
     kept = marked.where("not gone")
     later_larger = larger(kept).join(smaller(marked), "token").where(f"y < x and {fits}").selectExpr("y as a", "x as b")
     later_smaller = smaller(kept).join(larger(marked), "token").where(f"x < y and {fits}").selectExpr("x as a", "y as b")
-    opened = scratch.cut(_able(later_larger.union(later_smaller).distinct(), sets, num, den), "opened")
-    more = scratch.cut(_verified(opened, scratch.cut(_token_sets(opened, sets, docs, k), "open-tokens"), num, den), "more")
-    scratch.drop("open-tokens", "opened", "marked")
+    opened = scratch.cut(_able(later_larger.union(later_smaller).distinct(), ranked, num, den), "opened")
+    more = scratch.cut(_verified(opened, tokens, num, den), "more")
 
     # Of every key its first line stays, unless an earlier line is near it.
     out = gone.union(more).join(sets.select(F.col("sid").alias("b"), "k1", "k2"), "b").select("k1", "k2", F.lit(True).alias("gone"))
-    firsts = lines.groupBy("k1", "k2").agg(F.min(F.struct(*PLACE)).alias("p"), F.count("*").alias("met"))
+    firsts = keys.groupBy("k1", "k2").agg(F.min(F.struct(*PLACE)).alias("p"), F.count("*").alias("met"))
     judged = firsts.join(out, ["k1", "k2"], "left").where("met > 1 or gone").selectExpr("k1", "k2", "p.doc_id as f_id", "p.line_no as f_no", "coalesce(gone, false) as gone")
-    whole = lines.select("doc_id", "text_hash", "line_no", "k1", "k2").join(judged, ["k1", "k2"])
+    whole = keys.join(judged, ["k1", "k2"])
     whole = whole.where("gone or not (doc_id <=> f_id and line_no = f_no)").select("doc_id", "text_hash", "line_no")
     return scratch.last(whole, "removed")
 
