@@ -11,12 +11,14 @@ is itself removed. Lines of fewer than ``least_words`` words (1: none but blank
 2. *Repeats.* Lines with equal keys are one set, placed at its first line; the others go.
 3. *Suspects.* Only sets that share one of these tokens with a different set can be near any.
    While such tokens are few (``MOST_BITMAP``) a bitmap, two bits each, picks the lines; beyond it, a join.
-4. *Rarity.* The suspects' lines are read again. The half of their tokens with negative hashes
-   is ordered by how many suspects have them, counted exactly; tokens of one suspect alone
-   come first and are only counted. The leading tokens in this order are the prefix from here on.
-5. *Leaders.* Sets that share their least or their greatest token hash compare with two
-   sets of their bucket, the first and the one whose shared tokens begin soonest: one pair each.
-   What matches is removed, and needs no further comparison as the later of a pair.
+4. *Rarity.* The suspects' lines are read again. Tokens are ordered by how many suspects have
+   them, counted exactly; tokens of one suspect alone come first and are only counted. The
+   half of the tokens with the lesser hashes rules out most suspects; of those left, all
+   tokens are counted. The leading tokens in this order are the prefix from here on.
+5. *Leaders.* Sets that share their least or greatest token hash, or a leading token, compare with
+   two sets of their bucket, the first and the one whose shared tokens begin soonest: one pair
+   each. What matches is removed, and needs no further comparison as the later of a pair. The
+   rest meets the leaders among itself in a second round.
 6. *Join.* Sets meet on their leading tokens, under the length filter and the positional
    filter. One side is always a set not removed yet, so that a hot group of near-equal
    lines, which its leaders have removed, does not meet itself.
@@ -42,6 +44,10 @@ from .common import Scratch
 BITMAP_BITS = 25
 #: Tokens in a bitmap at most (2^26 bits, 16 MB to broadcast); more are met by a shuffled join.
 MOST_BITMAP = 1 << 21
+#: Greatest hashes of the lesser half of all tokens, and of all.
+HALF, ALL = -1, (1 << 63) - 1
+#: Rounds of leaders before the join.
+ROUNDS = 2
 OTHER_SPACE = "\t\x0b\x0c\r"
 PLACE = ["doc_id", "line_no", "text_hash"]
 
@@ -142,25 +148,26 @@ def _token_sets(sets: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     return _with_tokens(_with_words(lines), k).select("sid", "tokens").dropDuplicates(["sid"])
 
 
-def _by_rarity(tokens: DataFrame, num: int, den: int) -> DataFrame:
+def _by_rarity(tokens: DataFrame, below: int, num: int, den: int) -> DataFrame:
     """(sid, n, alone, leading): of each set's prefix the tokens that others have, in order, and how many stand before them.
 
-    The order: negative hashes, by the number of sets that have them and then by hash, before
-    all others by hash. So frequencies of half the tokens suffice; a set with too few negative
-    ones goes on with its others, for which their order stands in.
+    The order: hashes under ``below``, by the number of sets that have them and then by hash,
+    before all others by hash. So the frequencies of a share of the tokens suffice; a set with
+    too few of these goes on with its others, for which their order stands in. Sets that no
+    other can be near are left out.
     """
     sized = tokens.select("sid", F.size("tokens").alias("n"), F.sort_array("tokens").alias("sorted_"))
     sized = sized.withColumn("probe", F.expr(_probe("n", num, den)).cast("int"))
-    # Sorted by hash, negative ones come first; others count only as far as the prefix can reach.
-    sized = sized.withColumn("negative", F.expr("size(filter(sorted_, t -> t < 0))"))
-    rows = sized.select("sid", "n", "probe", "negative", F.explode(F.expr("slice(sorted_, 1, greatest(probe, negative))")).alias("token"))
+    # Sorted by hash, counted ones come first; others count only as far as the prefix can reach.
+    sized = sized.withColumn("counted", F.size(F.filter("sorted_", lambda t: t <= F.lit(below))))
+    rows = sized.select("sid", "n", "probe", "counted", F.explode(F.expr("slice(sorted_, 1, greatest(probe, counted))")).alias("token"))
     counts = rows.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     # One row a token on the side that is hashed: no key of it is hot.
     met = rows.join(counts.hint("shuffle_hash"), "token")
-    order = F.struct(F.when(F.col("token") < 0, F.col("df")).otherwise(F.lit(1 << 62)).alias("df"), "token")
-    shared = met.groupBy("sid").agg(*[F.first(c).alias(c) for c in ("n", "probe", "negative")], F.sort_array(F.collect_list(order)).alias("shared"))
+    order = F.struct(F.when(F.col("token") <= F.lit(below), F.col("df")).otherwise(F.lit(1 << 62)).alias("df"), "token")
+    shared = met.groupBy("sid").agg(*[F.first(c).alias(c) for c in ("n", "probe", "counted")], F.sort_array(F.collect_list(order)).alias("shared"))
     # Others that no set shares would stand later than all these, so they are not counted.
-    shared = shared.withColumn("alone", F.expr("negative - size(filter(shared, s -> s.token < 0))"))
+    shared = shared.withColumn("alone", F.col("counted") - F.size(F.filter("shared", lambda s: s["token"] <= F.lit(below))))
     leading = F.expr("slice(shared, 1, cast(greatest(0, probe - alone) as int))")
     return shared.select("sid", "n", "alone", leading.alias("leading")).where("size(leading) > 0")
 
@@ -209,14 +216,21 @@ def removed_lines(
     keys = scratch.cut(lines.select(*PLACE, "k1", "k2"), "keys")
     scratch.drop("unordered", "repeated", "lines")
     tokens = scratch.cut(_token_sets(sets, docs, k), "tokens")
-    ranked = scratch.cut(_by_rarity(tokens, num, den), "ranked")
-
-    # Leaders: the first of a bucket, and the one whose shared tokens begin soonest.
-    at_keys = sets.select("sid", F.explode(F.array_distinct(F.array("low", "high"))).alias("key")).join(ranked.select("sid", "alone"), "sid")
-    chosen = at_keys.groupBy("key").agg(F.min("sid").alias("first"), F.min(F.struct("alone", "sid")).alias("least"), F.count("*").alias("met")).where("met > 1")
-    stars = at_keys.join(chosen, "key").select("sid", F.explode(F.array("first", "least.sid")).alias("a")).where("a < sid")
-    stars = scratch.cut(_able(stars.select("a", F.col("sid").alias("b")).distinct(), ranked, num, den), "stars")
-    gone = scratch.cut(_verified(stars, tokens, num, den), "gone")
+    able = scratch.cut(_by_rarity(tokens, HALF, num, den).select("sid"), "able")
+    tokens = scratch.cut(tokens.join(able, "sid"), "able-tokens")
+    scratch.drop("tokens", "able")
+    ranked = scratch.cut(_by_rarity(tokens, ALL, num, den), "ranked")
+
+    # Leaders, in rounds: what is gone neither leads nor follows in the next.
+    keyed = sets.select("sid", "low", "high").join(ranked, "sid")
+    keyed = keyed.select("sid", "alone", F.explode(F.array_distinct(F.concat(F.array("low", "high"), "leading.token"))).alias("key"))
+    keyed, gone = scratch.cut(keyed, "buckets"), df.sparkSession.createDataFrame([], "b long")
+    for step in range(ROUNDS):
+        left = keyed.join(gone, F.col("sid") == F.col("b"), "left_anti")
+        chosen = left.groupBy("key").agg(F.min("sid").alias("first"), F.min(F.struct("alone", "sid")).alias("least"), F.count("*").alias("met")).where("met > 1")
+        stars = left.join(chosen, "key").select("sid", F.explode(F.array("first", "least.sid")).alias("a")).where("a < sid")
+        stars = scratch.cut(_able(stars.select("a", F.col("sid").alias("b")).distinct(), ranked, num, den), "stars")
+        gone = scratch.cut(gone.union(_verified(stars, tokens, num, den)), f"gone-{step}")
 
     # The join. The smaller set is found by its index prefix, the larger looks up its probe prefix.
     marked = ranked.join(gone.select(F.col("b").alias("sid"), F.lit(True).alias("gone")), "sid", "left")
