@@ -103,20 +103,28 @@ class Logistic:
         self.penalty, self.w = penalty, None
 
     def fit(self, x: np.ndarray, y: np.ndarray, steps: int = 150) -> Logistic:
+        n = max(1, len(x))
         self.mean = x.mean(0)
-        z = np.ones((len(x), x.shape[1] + 1), np.float32)
-        # In place: the driver holds one standardised copy and no temporaries of its size.
-        np.subtract(x, self.mean, out=z[:, :-1])
-        self.scale = np.sqrt(np.einsum("ij,ij->j", z[:, :-1], z[:, :-1]) / max(1, len(x))) + 1e-3
-        z[:, :-1] /= self.scale
+        # Rows are standardised within the products, so that the driver holds no second copy of them.
+        square = sum((np.square(x[a : a + 256] - self.mean).sum(0, dtype=np.float64) for a in range(0, len(x), 256)), np.zeros(x.shape[1]))
+        self.scale = (np.sqrt(square / n) + 1e-3).astype(np.float32)
         weight = np.where(y, 0.5 / max(1, y.sum()), 0.5 / max(1, (~y).sum())).astype(np.float32)
-        w = np.zeros(z.shape[1], np.float32)
-        ahead, rate = w.copy(), 2.0 / (_top_eigen(z, weight) + 4 * self.penalty)
+
+        def forward(w: np.ndarray) -> np.ndarray:
+            v = w[:-1] / self.scale
+            return x @ v + (w[-1] - self.mean @ v)
+
+        def backward(r: np.ndarray) -> np.ndarray:
+            total = r.sum()
+            return np.append((r @ x - self.mean * total) / self.scale, total).astype(np.float32)
+
+        w = np.zeros(x.shape[1] + 1, np.float32)
+        ahead, rate = w.copy(), 2.0 / (_top_eigen(lambda v: backward(weight * forward(v)), len(w)) + 4 * self.penalty)
         for i in range(steps):
-            p = _sigmoid(z @ ahead)
-            grad = z.T @ ((p - y) * weight) + self.penalty * np.append(ahead[:-1], 0).astype(np.float32)
+            p = _sigmoid(forward(ahead))
+            grad = backward(((p - y) * weight).astype(np.float32)) + self.penalty * np.append(ahead[:-1], 0).astype(np.float32)
             new = ahead - rate * grad
-            ahead = new + i / (i + 3) * (new - w)
+            ahead = (new + i / (i + 3) * (new - w)).astype(np.float32)
             w = new
         self.w = w
         return self
@@ -126,12 +134,13 @@ class Logistic:
         return x @ w + (self.w[-1] - self.mean @ w)
 
 
-def _top_eigen(z: np.ndarray, weight: np.ndarray) -> float:
-    v = np.random.default_rng(0).standard_normal(z.shape[1], dtype=np.float32)
+def _top_eigen(times, width: int) -> float:
+    """No less than the greatest eigenvalue of a product, by power steps."""
+    v = np.random.default_rng(0).standard_normal(width, dtype=np.float32)
     for _ in range(30):
-        v = z.T @ (weight * (z @ v))
+        v = times(v)
         v /= max(float(np.linalg.norm(v)), 1e-20)
-    return float(v @ (z.T @ (weight * (z @ v)))) * 1.1 + 1e-6
+    return float(v @ times(v)) * 1.1 + 1e-6
 
 
 def _sigmoid(s: np.ndarray) -> np.ndarray:
@@ -182,12 +191,19 @@ def cotrain(text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool_text: np.nda
         held[np.flatnonzero(y == label)[:: round(1 / HELD_OUT)]] = True
     if any(len(np.unique(part)) < 2 for part in (y[held], y[~held])):
         return None
-    known = [(text[~held], y[~held]), (meta[~held], y[~held])]
-    pools, open_ = (pool_text, pool_meta), np.ones(len(pool_text), bool)
+    views, pools, open_ = (text, meta), (pool_text, pool_meta), np.ones(len(pool_text), bool)
+    # Of each view's training set: the pool rows added, and the labels they were given.
+    added: list[list[np.ndarray]] = [[], []]
+    given: list[list[np.ndarray]] = [[], []]
     good = y[~held].mean()
     for _ in range(ROUNDS + 1):
-        fitted = [Logistic(penalty).fit(*part) for penalty, part in zip((3e-3, 1e-3), known, strict=True)]
-        if not open_.any() or len(known[0][0]) > len(y) + ROUNDS * 2 * PER_ROUND:
+        fitted = []
+        for view, penalty in ((0, 3e-3), (1, 1e-3)):
+            more = np.concatenate([np.zeros(0, np.int64), *added[view]])
+            x = np.concatenate([views[view][~held], pools[view][more]])
+            fitted.append(Logistic(penalty).fit(x, np.concatenate([y[~held], *given[view]])))
+            del x
+        if not open_.any() or (~held).sum() + sum(map(len, added[0])) > len(y) + ROUNDS * 2 * PER_ROUND:
             break
         for mine, other in ((0, 1), (1, 0)):
             p = _sigmoid(fitted[mine].score(pools[mine]))
@@ -195,8 +211,8 @@ def cotrain(text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool_text: np.nda
                 best = np.flatnonzero(open_ & (sure >= SURE))
                 best = best[np.argsort(-sure[best], kind="stable")][: max(1, most)]
                 open_[best] = False
-                x, t = known[other]
-                known[other] = (np.vstack([x, pools[other][best]]), np.append(t, np.full(len(best), label)))
+                added[other].append(best)
+                given[other].append(np.full(len(best), label))
     return Model(*fitted, (text[held], meta[held]), y[held])
 
 
