@@ -120,10 +120,10 @@ def epoch_timestamps(spark, d):
     return _messages(spark, d).select("conv_id", "turn", ids.ts_micros(F.col("ts")).alias("ts"))
 
 
-@query("SELECT ts, count(DISTINCT event_type) AS n_values FROM events GROUP BY ts HAVING count(DISTINCT event_type) > 1")
+@query("SELECT date_trunc('minute', ts) AS ts, count(DISTINCT event_type) AS n_values FROM events GROUP BY 1 HAVING count(DISTINCT event_type) > 1")
 def fd_check_ts(spark, d):
-    """Times that stand with more than one value."""
-    return clean.dependency_breaks(_table(spark, d, "events"), "ts", "event_type")
+    """Times, in minutes, that stand with more than one value."""
+    return clean.dependency_breaks(_table(spark, d, "events").withColumn("ts", F.date_trunc("minute", "ts")), "ts", "event_type")
 
 
 @query(f"WITH {MESSAGES} SELECT conv_id || '_' || message_id || '_msg' AS chunk_id, text AS content, length(text) // 4 AS token_count, 0 AS reply_count FROM m WHERE turn = 0 "
@@ -299,10 +299,10 @@ def pair_strategy(spark, d):
 # ------------------------------------------------------------------ joins and resume
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_orderstatus = 'F' AND o_orderkey % 3 = 0)")
 def resume_anti_join(spark, d):
-    """Rows without a stored result."""
-    done = _table(spark, d, "orders").where("o_custkey is not null").select(F.col("o_custkey").alias("c_custkey"))
+    """Rows without a stored result; a part of the orders stands for results."""
+    done = _table(spark, d, "orders").where("o_custkey is not null and o_orderstatus = 'F' and o_orderkey % 3 = 0").select(F.col("o_custkey").alias("c_custkey"))
     return export.not_done(_table(spark, d, "customer"), done, "c_custkey").select("c_custkey", "c_name")
 
 
@@ -316,7 +316,7 @@ def hash_lookup_left(spark, d):
 @query("SELECT l_orderkey, l_linenumber, s_name FROM lineitem JOIN supplier ON s_suppkey = l_suppkey")
 def hash_lookup_inner(spark, d):
     """A lookup that drops what it does not find."""
-    side = retrieval.small(_table(spark, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_name"))
+    side = _table(spark, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_name")
     return _table(spark, d, "lineitem").join(side, "l_suppkey").select("l_orderkey", "l_linenumber", "s_name")
 
 
@@ -420,67 +420,120 @@ def vector_topk(spark, d):
     return _ranked(_vector_run(spark, d))
 
 
-@query(f"WITH {DOTS} SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY squash DESC, rank) AS rank, squash AS score FROM (SELECT *, round(1.0 / (1.0 + exp(-score / 5.0)), 6) AS squash FROM vt)")
+BM25_RUN = "bm AS (SELECT query_id, doc_id, rank FROM (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(sum(weight), 6) DESC, doc_id) AS rank FROM wt JOIN qt USING (term) GROUP BY query_id, doc_id) WHERE rank <= 100)"
+OVERLAP = """ov AS (SELECT bm.query_id, bm.doc_id, bm.rank AS old_rank, round(len(list_intersect(qw, dd))::DOUBLE / len(qw), 6) AS share FROM bm
+    JOIN (SELECT query_id, list(term) AS qw FROM (SELECT DISTINCT item_id AS query_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '')) AS term FROM benchmark) GROUP BY query_id) USING (query_id)
+    JOIN (SELECT doc_id, list_distinct(w) AS dd FROM dw) USING (doc_id))"""
+
+
+def _bm25_run(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.bm25_top_k(_docs(spark, d), _asked(spark, d), 100)
+
+
+@query(f"WITH {TERMS}, {BM25}, {BM25_RUN}, {OVERLAP} SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY squash DESC, old_rank) AS rank, squash AS score FROM (SELECT *, round(1.0 / (1.0 + exp(-share * 10 / 5.0)), 6) AS squash FROM ov)")
 def rerank_sigmoid(spark, d):
-    """a run reranked by squashed scores, ties in their old order."""
-    run = _vector_run(spark, d)
-    return _ranked(retrieval.reranked(run.select("query_id", "doc_id", "rank"), run.select("query_id", "doc_id", F.round(text.squashed(F.col("score")), 6).alias("score"))))
+    """a BM25 run reranked by squashed scores of its texts, ties in their old order."""
+    run = retrieval.with_texts(_bm25_run(spark, d), _asked(spark, d), _docs(spark, d))
+    score = F.round(text.squashed(retrieval.shared_words(F.col("query"), F.col("content")) * 10), 6)
+    return _ranked(retrieval.reranked(run.select("query_id", "doc_id", "rank"), run.select("query_id", "doc_id", score.alias("score"))))
+
+
+@query(f"WITH {TERMS}, {BM25}, {BM25_RUN}, {OVERLAP}, rr AS (SELECT query_id, doc_id, old_rank, share AS score, row_number() OVER (PARTITION BY query_id ORDER BY share DESC, old_rank) AS rank FROM ov QUALIFY rank <= 10) SELECT query_id, doc_id, score, rank, row_number() OVER (PARTITION BY query_id ORDER BY old_rank) - 1 AS \"index\" FROM rr")
+def rerank_run(spark, d):
+    """A run's texts fetched and scored, the ten best kept, numbered as they went in."""
+    run = retrieval.with_texts(_bm25_run(spark, d), _asked(spark, d), _docs(spark, d))
+    scores = run.select("query_id", "doc_id", retrieval.shared_words(F.col("query"), F.col("content")).alias("score"))
+    out = retrieval.in_input_order(retrieval.reranked(run.select("query_id", "doc_id", "rank"), scores, top_k=10))
+    return out.select("query_id", "doc_id", "score", F.col("rank").cast("bigint").alias("rank"), "index")
 
 
-@query("SELECT a.vec_id, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
+@query(f"""WITH {TERMS}, {BM25}, {BM25_RUN}, sc AS (SELECT query_id, doc_id, bm.rank AS old_rank, coalesce(round(list_dot_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6), 0) AS score
+    FROM bm LEFT JOIN embeddings q ON q.vec_id = query_id LEFT JOIN embeddings v ON v.vec_id = doc_id)
+  SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, old_rank) AS rank FROM sc""")
 def rerank_by_embedding(spark, d):
-    """dot products of pairs in one row."""
-    rows = _vectors(spark, d)
-    other = rows.select((F.col("doc_id") - 1).alias("doc_id"), F.col("vector").alias("other"))
-    return rows.join(other, "doc_id").select(F.col("doc_id").alias("vec_id"), F.round(retrieval.dot(F.col("vector"), F.col("other")), 6).alias("score"))
+    """a BM25 run reranked by dot products; a document without a vector counts 0."""
+    run, rows = _bm25_run(spark, d).select("query_id", "doc_id", "rank"), _vectors(spark, d).select("doc_id", "vector")
+    met = run.join(rows, "doc_id").join(rows.select(F.col("doc_id").alias("query_id"), F.col("vector").alias("asked")), "query_id")
+    scores = met.select("query_id", "doc_id", F.round(retrieval.dot(F.col("vector"), F.col("asked")), 6).alias("score"))
+    return _ranked(retrieval.reranked(run, scores))
+
+
+PAIRED = """pv AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (
+    SELECT item_id AS query_id, v.vec_id AS doc_id, round(list_dot_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score
+    FROM benchmark JOIN embeddings q ON q.vec_id = item_id, embeddings v) QUALIFY rank <= 100),
+  ls AS (SELECT query_id, 1 AS list_id, rank, doc_id FROM pv UNION ALL SELECT query_id, 2, rank, doc_id FROM bm)"""
+
+
+def _hybrid(spark: SparkSession, d: str) -> DataFrame:
+    """Each query's vector list and BM25 list, fused; a document's vector has its number, a query's its item's."""
+    rows, asked = _vectors(spark, d), _asked(spark, d)
+    near = retrieval.vector_top_k(rows, asked.join(rows.select(F.col("doc_id").alias("query_id"), "vector"), "query_id").select("query_id", "vector"), 100)
+    lists = [run.select("query_id", F.lit(i).alias("list_id"), "rank", "doc_id") for i, run in ((1, near), (2, _bm25_run(spark, d)))]
+    return retrieval.fused(lists[0].union(lists[1]), 60)
+
+
+@query(f"WITH {TERMS}, {BM25}, {BM25_RUN}, {PAIRED}, {FUSED.format(k=60)} SELECT query_id, doc_id, score, rank FROM fu")
+def hybrid_rrf(spark, d):
+    """100 nearest vectors and 100 BM25 hits of each query, fused."""
+    return _ranked(_hybrid(spark, d))
+
+
+@query(f"WITH {TERMS}, {BM25}, {BM25_RUN}, {PAIRED}, {FUSED.format(k=60)}, {GOOD} SELECT query_id, round(sum(CASE WHEN rank <= 20 THEN qr.score ELSE 0 END) / sum(qr.score), 9) AS recall FROM qr LEFT JOIN fu USING (query_id, doc_id) WHERE query_id IN (SELECT query_id FROM fu) GROUP BY query_id")
+def hybrid_rrf_recall(spark, d):
+    """L2, G1: recall at 20 of the fused vector and BM25 lists."""
+    return metrics.recall_at_k(_hybrid(spark, d), _judged(spark, d), 20)
 
 
 # ------------------------------------------------------------------ metrics
 
 
 def _judged(spark: SparkSession, d: str) -> DataFrame:
-    """Documents of good quality, judged relevant to every query of a run."""
+    """Documents of good quality, judged relevant to every query: without a query_id."""
     return _table(spark, d, "labels").where("quality = 1").select("doc_id", F.lit(1.0).alias("score"))
 
 
-def _for_queries(judged: DataFrame, run: DataFrame) -> DataFrame:
-    asked = retrieval.small(run.select("query_id").distinct())
-    return judged.join(asked, F.lit(True)).select("query_id", "doc_id", "score")
-
-
 @query(f"WITH {TERMS}, {BM25}, {KEYS}, {LISTS}, {FUSED.format(k=60)}, {GOOD} SELECT query_id, round(sum(CASE WHEN rank <= 20 THEN qr.score ELSE 0 END) / sum(qr.score), 9) AS recall FROM qr LEFT JOIN fu USING (query_id, doc_id) WHERE query_id IN (SELECT query_id FROM fu) GROUP BY query_id")
 def hybrid_recall(spark, d):
     """L2, G1: keyword lists fused, then recall at 20 against the labels."""
     run = retrieval.fused(_lists(spark, d))
-    return metrics.recall_at_k(run, _for_queries(_judged(spark, d), run), 20)
+    return metrics.recall_at_k(run, _judged(spark, d), 20)
 
 
 RELEVANT = "SELECT query_id, coalesce(min(CASE WHEN same AND query_id <> doc_id THEN rank END), 0) AS first_rank FROM vt GROUP BY query_id"
 
 
-def _same_label(spark: SparkSession, d: str) -> DataFrame:
-    rows = _vectors(spark, d)
-    asked = retrieval.small(rows.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), "label"))
-    return rows.join(asked, "label").where("query_id != doc_id").select("query_id", "doc_id", F.lit(1.0).alias("score"))
+def _same_label(spark: SparkSession, d: str, run: DataFrame) -> DataFrame:
+    """Of a run's rows those whose query and document share a label: judgements, without all pairs of a label."""
+    labels = _vectors(spark, d).select("doc_id", "label")
+    met = run.select("query_id", "doc_id").join(labels, "doc_id").join(labels.select(F.col("doc_id").alias("query_id"), F.col("label").alias("asked")), "query_id")
+    return met.where("label = asked and query_id != doc_id").select("query_id", "doc_id", F.lit(1.0).alias("score"))
+
+
+def _label_totals(spark: SparkSession, d: str) -> DataFrame:
+    rows = _vectors(spark, d).select("doc_id", "label")
+    sizes = rows.groupBy("label").agg((F.count("*") - 1).cast("double").alias("total"))
+    return rows.where("doc_id % 100 = 0").join(sizes, "label").select(F.col("doc_id").alias("query_id"), "total")
 
 
 @query(f"WITH {DOTS}, n AS (SELECT q.vec_id AS query_id, count(*) AS n FROM embeddings q JOIN embeddings v ON q.label = v.label AND q.vec_id <> v.vec_id WHERE q.vec_id % 100 = 0 GROUP BY 1) SELECT query_id, round(count(*) FILTER (same AND query_id <> doc_id AND rank <= 20)::DOUBLE / n, 9) AS recall FROM vt JOIN n USING (query_id) GROUP BY query_id, n")
 def recall_at_k(spark, d):
     """G1: share of a vector's label found in the first 20."""
-    return metrics.recall_at_k(_vector_run(spark, d), _same_label(spark, d), 20)
+    run = _vector_run(spark, d)
+    return metrics.recall_at_k(run, _same_label(spark, d, run), 20, _label_totals(spark, d))
 
 
 @query(f"WITH {DOTS} SELECT query_id, first_rank, CASE WHEN first_rank BETWEEN 1 AND 20 THEN 1 ELSE 0 END::BIGINT AS hit_20 FROM ({RELEVANT})")
 def first_relevant_rank(spark, d):
     """Rank of the first relevant vector, and whether within 20."""
-    return metrics.first_relevant_rank(_vector_run(spark, d), _same_label(spark, d))
+    run = _vector_run(spark, d)
+    return metrics.first_relevant_rank(run, _same_label(spark, d, run))
 
 
 @query(f"WITH {TERMS}, {BM25}, {KEYS}, {LISTS} SELECT query_id, list_id, coalesce(min(CASE WHEN quality = 1 THEN rank END), 0) AS first_rank FROM ls LEFT JOIN labels USING (doc_id) GROUP BY ALL")
 def per_call_rank(spark, d):
     """First relevant rank of every single list."""
     lists = _lists(spark, d)
-    out = metrics.per_call_rank(lists, _for_queries(_judged(spark, d), lists))
+    out = metrics.per_call_rank(lists, _judged(spark, d))
     return out.select("query_id", F.col("list_id").cast("bigint").alias("list_id"), "first_rank")
 
 
@@ -493,7 +546,8 @@ def best_over_attempts(spark, d):
 @query(f"WITH {DOTS}, o AS ({RELEVANT}) SELECT count(*) AS n, round(avg((first_rank = 1)::INT), 9) AS success_rate, round(avg((first_rank BETWEEN 1 AND 20)::INT), 9) AS recall_rate, round(avg(first_rank), 9) AS mean_steps FROM o")
 def success_rate(spark, d):
     """Rates over all queries."""
-    first = metrics.first_relevant_rank(_vector_run(spark, d), _same_label(spark, d))
+    run = _vector_run(spark, d)
+    first = metrics.first_relevant_rank(run, _same_label(spark, d, run))
     return metrics.success_rates(first.select((F.col("first_rank") == 1).cast("int").alias("found"), F.col("hit_20").alias("hit"), F.col("first_rank").alias("steps")))
 
 
@@ -601,4 +655,7 @@ def embed_stub(spark, d):
 def agent_loop(spark, d):
     """rounds of proposed searches until rank 1, at most ten."""
     asked = _asked(spark, d)
-    return dataset.agent_loop(spark, _docs(spark, d), asked, _for_queries(_judged(spark, d), asked), providers.LocalProvider())
+    return dataset.agent_loop(spark, _docs(spark, d), asked, _judged(spark, d), providers.LocalProvider())
+
+
+from . import catalog_archive  # noqa: E402, F401  registers the rest of the queries

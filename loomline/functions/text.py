@@ -41,6 +41,17 @@ def strip_fences(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.trim(text), r"^```(?:json)?\s*", ""), r"\s*```$", "")
 
 
+def structured(reply: Column, ddl: str) -> Column:
+    """A reply without fences as a struct of the given fields; null unless it is an object with every field, of its type."""
+    body = strip_fences(reply)
+    value = F.from_json(body, f"{ddl}, _corrupt_record string", {"columnNameOfCorruptRecord": "_corrupt_record"})
+    names = [f.split()[0] for f in ddl.split(",")]
+    whole = value["_corrupt_record"].isNull()
+    for name in names:
+        whole = whole & value[name].isNotNull()
+    return F.when(whole, F.struct(*[value[name].alias(name) for name in names]))
+
+
 def sanitised(name: Column) -> Column:
     return F.translate(name, "/\\", "__")
 

@@ -135,3 +135,60 @@ def merged_turns(turns: DataFrame, key: str = "conv_id", order: str = "turn") ->
     rows = F.array_sort(F.collect_list(F.struct(order, "text")))
     merged = runs.groupBy(key, "run", "role").agg(rows.alias("rows"))
     return merged.select(key, "run", "role", F.array_join("rows.text", "\n").alias("content"), F.size("rows").cast("bigint").alias("n_turns"), F.element_at(f"rows.{order}", 1).alias("first_turn"))
+
+
+def provider_messages(turns: DataFrame, initial: str | None = None, key: str = "conv_id", order: str = "turn") -> DataFrame:
+    """Turns as a chat provider takes them: key, run, role, content, system.
+
+    A first turn of role system is pulled out into ``system``. Where the rest does not begin with
+    a user's turn, ``initial`` is put before it as one. Then neighbours of one role are one.
+    """
+    firsts = turns.groupBy(key).agg(F.min_by(F.struct("role", "text"), order).alias("head"), F.min(order).alias("at"))
+    system = F.when(F.col("head.role") == "system", F.col("head.text"))
+    firsts = firsts.select(key, "at", system.alias("system"), (F.col("head.role") == "system").alias("pulled"))
+    rest = turns.join(firsts, key).where(~(F.coalesce("pulled", F.lit(False)) & (F.col(order) == F.col("at")))).select(key, order, "role", "text")
+    if initial is not None:
+        begins = rest.groupBy(key).agg(F.min_by("role", order).alias("first"), F.min(order).alias("at")).where("first != 'user' or first is null")
+        rest = rest.unionByName(begins.select(key, (F.col("at") - 1).alias(order), F.lit("user").alias("role"), F.lit(initial).alias("text")))
+    return merged_turns(rest, key, order).join(firsts.select(key, "system"), key).select(key, "run", "role", "content", "system")
+
+
+def head_per_type(chunks: DataFrame, most: int = 100, order: str = "chunk_id") -> DataFrame:
+    """The first chunks of each type, in order."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("chunk_type").orderBy(order)
+    return chunks.withColumn("n_", F.row_number().over(w)).where(F.col("n_") <= most).drop("n_")
+
+
+def batches(rows: DataFrame, call: str, order: str, tokens: str, most_rows: int, most_tokens: int) -> DataFrame:
+    """rows with ``batch``, the order of the first row of each request to a provider.
+
+    A call's rows, in order, are cut into slices of most_rows. A slice over most_tokens is cut
+    into parts of half its rows, rounded down, and so on; a row alone goes as it is. A slice
+    is bounded, so each is cut in one task of its own, without Python per call.
+    """
+    from pyspark.sql import Window
+
+    place = F.row_number().over(Window.partitionBy(call).orderBy(order)) - 1
+    sliced = rows.withColumn("slice_", F.floor(place / most_rows))
+    schema = T.StructType([*rows.schema.fields, T.StructField("batch", rows.schema[order].dataType)])
+
+    def cut(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order).drop(columns="slice_")
+        firsts = list(token_slices(pdf[tokens].tolist(), most_rows, most_tokens))
+        starts = [a for a, b in firsts for _ in range(a, b)]
+        return pdf.assign(batch=pdf[order].to_numpy()[starts])
+
+    return sliced.groupBy(call, "slice_").applyInPandas(cut, schema)
+
+
+def token_slices(tokens: list[int], most_rows: int, most_tokens: int, base: int = 0) -> Iterator[tuple[int, int]]:
+    """(from, to) of each request for texts of so many tokens."""
+    n = len(tokens)
+    if n > most_rows or (n > 1 and sum(tokens) > most_tokens):
+        size = most_rows if n > most_rows else n // 2
+        for a in range(0, n, size):
+            yield from token_slices(tokens[a : a + size], most_rows, most_tokens, base + a)
+    elif n:
+        yield base, base + n

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,15 +13,11 @@ from pyspark.sql import functions as F
 
 K1, B = 1.2, 0.75
 WORD_BREAK = "[^a-z0-9]+"
-#: Lookup sides up to this many rows are broadcast; larger ones are shuffled.
-MOST_BROADCAST_ROWS = 100_000
-#: Query vectors that executors hold at once.
-QUERY_BLOCK = 4096
-
-
-def small(df: DataFrame, most: int = MOST_BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most so many rows, as counted; else df."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+_WORD = re.compile("[a-z0-9]+")
+#: (query, term) pairs that executors hold at once; more are joined instead.
+MOST_TERMS = 500_000
+#: Cells of a score matrix, and query vectors, that a task holds at once.
+CELLS, QUERY_BLOCK = 2_000_000, 4096
 
 
 def words(text: Column) -> Column:
@@ -39,28 +37,105 @@ def query_terms(queries: DataFrame, most_chars: int = 1024) -> DataFrame:
 
 
 def bm25_scores(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(query_id, doc_id, score rounded to 6 places) of documents that share a term with the query.
+    """(query_id, doc_id, score rounded to 6 places) of documents that share a term with the query, by joins.
 
     Documents keep only words that some query has before anything is shuffled; document
-    frequencies come from those rows, lengths from the whole texts.
+    frequencies come from those rows, lengths from the whole texts. For any number of terms.
     """
-    wanted = small(terms.select("term").distinct())
+    wanted = terms.select("term").distinct()
     all_words = docs.select("doc_id", words(F.col("text")).alias("w"))
-    stats = all_words.agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("avgdl"))
+    one = all_words.agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("avgdl")).first()
     rows = all_words.select("doc_id", F.size("w").alias("dl"), F.explode("w").alias("term")).join(wanted, "term")
     tf = rows.groupBy("term", "doc_id", "dl").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    one = stats.first()
     n, avgdl = F.lit(float(one["n"])), F.lit(float(one["avgdl"] or 1.0))
     idf = F.log(1.0 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / avgdl))
     weighted = tf.join(df, "term").select("term", "doc_id", weight.alias("weight"))
-    scored = weighted.join(small(terms), "term").groupBy("query_id", "doc_id").agg(F.sum("weight").alias("score"))
+    scored = weighted.join(terms, "term").groupBy("query_id", "doc_id").agg(F.sum("weight").alias("score"))
     return scored.withColumn("score", F.round("score", 6))
 
 
+class _Asked:
+    """Queries as lists of terms: words by number, and of each word the queries that have it."""
+
+    def __init__(self, pairs: list[tuple]):
+        self.ids = list(dict.fromkeys(q for q, _ in pairs))
+        number = {q: i for i, q in enumerate(self.ids)}
+        self.words = {w: i for i, w in enumerate(dict.fromkeys(t for _, t in pairs))}
+        at = np.array([(self.words[t], number[q]) for q, t in pairs], np.int64).reshape(-1, 2)
+        at = at[np.argsort(at[:, 0], kind="stable")]
+        self.queries = at[:, 1]
+        self.starts = np.searchsorted(at[:, 0], np.arange(len(self.words) + 1))
+
+    def counts(self, texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of texts: document, word and count of each asked word in them; and all words of each."""
+        doc, word, tf, lengths = [], [], [], []
+        for i, text in enumerate(texts):
+            found = _WORD.findall((text or "").lower())
+            lengths.append(len(found))
+            hits = Counter(map(self.words.get, found))
+            hits.pop(None, None)
+            doc += [i] * len(hits)
+            word += hits.keys()
+            tf += hits.values()
+        return *(np.array(x, np.int64) for x in (doc, word, tf)), np.array(lengths, np.int64)
+
+
+def bm25_lists(docs: DataFrame, terms: DataFrame, k: int = 100) -> DataFrame:
+    """query_id, doc_id, score, rank: the k best documents (by unique doc_id) for each query's terms.
+
+    Two maps over the corpus: one sums document frequencies and lengths, the other scores a
+    batch for all queries and passes on the batch's k best of each, so that the shuffle
+    carries k rows per query and batch, however common a term is. The queries are held by executors
+    while they have at most MOST_TERMS terms together; beyond it joins do the same.
+    """
+    spark = docs.sparkSession
+    pairs = [tuple(r) for r in terms.select("query_id", "term").limit(MOST_TERMS + 1).collect()]
+    if len(pairs) > MOST_TERMS:
+        return top_k(bm25_scores(docs, terms), k)
+    asked = spark.sparkContext.broadcast(_Asked(pairs))
+    rows = docs.select("doc_id", "text")
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        df, n, total = np.zeros(len(asked.value.words), np.int64), 0, 0
+        for pdf in batches:
+            _, word, _, lengths = asked.value.counts(pdf["text"])
+            df += np.bincount(word, minlength=len(df))
+            n, total = n + len(pdf), total + int(lengths.sum())
+        some = np.flatnonzero(df)
+        yield pd.DataFrame({"word": [-2, -1, *some.tolist()], "n": [n, total, *df[some].tolist()]})
+
+    sums = {r["word"]: r["n"] for r in rows.mapInPandas(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()}
+    n, total = sums.pop(-2, 0), sums.pop(-1, 0)
+    frequency = np.array([sums.get(i, 0) for i in range(len(asked.value.words))], np.float64)
+    idf = spark.sparkContext.broadcast(np.log(1.0 + (n - frequency + 0.5) / (frequency + 0.5)))
+    avgdl = total / n if total else 1.0
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        q, width = asked.value, len(asked.value.ids)
+        step = max(1, CELLS // max(1, width))
+        for pdf in batches:
+            for a in range(0, len(pdf) if width else 0, step):
+                part = pdf.iloc[a : a + step]
+                doc, word, tf, lengths = q.counts(part["text"])
+                weight = idf.value[word] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[doc] / avgdl))
+                fan = q.starts[word + 1] - q.starts[word]
+                place = np.arange(fan.sum()) - np.repeat(np.cumsum(fan) - fan, fan)
+                cell = np.repeat(doc, fan) * width + q.queries[np.repeat(q.starts[word], fan) + place]
+                scores = np.bincount(cell, np.repeat(weight, fan), len(part) * width).reshape(-1, width)
+                # What may round to a tie with the last of the k goes along.
+                least = np.partition(scores, -k, axis=0)[-k] - 2e-6 if len(part) > k else np.zeros(width)
+                i, j = np.nonzero((scores > 0) & (scores >= least))
+                yield pd.DataFrame({"query_id": [q.ids[x] for x in j], "doc_id": part["doc_id"].to_numpy()[i], "score": scores[i, j]})
+
+    kinds = [terms.schema["query_id"].dataType.simpleString(), docs.schema["doc_id"].dataType.simpleString()]
+    found = rows.mapInPandas(search, f"query_id {kinds[0]}, doc_id {kinds[1]}, score double")
+    return top_k(found.withColumn("score", F.round("score", 6)), k)
+
+
 def bm25_top_k(docs: DataFrame, queries: DataFrame, k: int = 100) -> DataFrame:
-    return top_k(bm25_scores(docs, query_terms(queries)), k)
+    return bm25_lists(docs, query_terms(queries), k)
 
 
 def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int = 100) -> DataFrame:
@@ -73,10 +148,11 @@ def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int = 100) -> DataFr
     block: list = []
 
     def searched(block: list) -> DataFrame:
-        ids = np.array([r[0] for r in block], np.int64)
-        matrix = np.array([r[1] for r in block], np.float64)
+        # One copy per executor, not one per task.
+        shared = vectors.sparkSession.sparkContext.broadcast((np.array([r[0] for r in block], np.int64), np.array([r[1] for r in block], np.float64)))
 
         def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            ids, matrix = shared.value
             for pdf in batches:
                 if not len(pdf):
                     continue
@@ -114,17 +190,38 @@ def fused(lists: DataFrame, k: int = 60) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(w)).select("query_id", "doc_id", "score", "rank")
 
 
-def reranked(run: DataFrame, scores: DataFrame, fail_soft: bool = True) -> DataFrame:
+def reranked(run: DataFrame, scores: DataFrame, fail_soft: bool = True, top_k: int | None = None) -> DataFrame:
     """A run by falling score, equal scores in their old order; missing scores count 0 if fail_soft."""
     met = run.join(scores.select("query_id", "doc_id", F.col("score").alias("new_")), ["query_id", "doc_id"], "left" if fail_soft else "inner")
     w = Window.partitionBy("query_id").orderBy(F.coalesce("new_", F.lit(0.0)).desc(), "rank")
-    return met.select("query_id", "doc_id", F.row_number().over(w).alias("rank"), F.coalesce("new_", F.lit(0.0)).alias("score"))
+    out = met.select("query_id", "doc_id", F.row_number().over(w).alias("rank"), F.coalesce("new_", F.lit(0.0)).alias("score"), F.col("rank").alias("old_rank"))
+    out = out if top_k is None else out.where(F.col("rank") <= top_k)
+    return out.select("query_id", "doc_id", "rank", "score", "old_rank")
+
+
+def in_input_order(run: DataFrame) -> DataFrame:
+    """A reranked run's rows numbered as the texts went in."""
+    w = Window.partitionBy("query_id").orderBy("old_rank")
+    return run.withColumn("index", (F.row_number().over(w) - 1).cast("bigint"))
+
+
+def with_texts(run: DataFrame, queries: DataFrame, docs: DataFrame, fail_soft: bool = True) -> DataFrame:
+    """A run with the texts of its queries and documents; an unknown document's is empty, or drops the row."""
+    met = run.join(queries.select("query_id", "query"), "query_id")
+    met = met.join(docs.select("doc_id", F.col("text").alias("content")), "doc_id", "left" if fail_soft else "inner")
+    return met.withColumn("content", F.coalesce("content", F.lit("")))
+
+
+def shared_words(query: Column, content: Column) -> Column:
+    """The share of a query's distinct words that a text has: the local stand-in for a cross-encoder."""
+    asked, there = F.array_distinct(words(query)), F.array_distinct(words(content))
+    return F.round(F.coalesce(F.try_divide(F.size(F.array_intersect(asked, there)).cast("double"), F.size(asked)), F.lit(0.0)), 6)
 
 
 def keywords(docs: DataFrame, queries: DataFrame, most: int = 3) -> DataFrame:
     """(query_id, pos, term): each query's rarest words in the corpus; the stand-in for a model's keywords."""
     terms = query_terms(queries).where(F.length("term") > 2)
-    wanted = small(terms.select("term").distinct())
+    wanted = terms.select("term").distinct()
     df = docs.select("doc_id", F.explode(F.array_distinct(words(F.col("text")))).alias("term")).join(wanted, "term")
     df = df.groupBy("term").agg(F.count("*").alias("df"))
     w = Window.partitionBy("query_id").orderBy("df", "term")
@@ -134,7 +231,7 @@ def keywords(docs: DataFrame, queries: DataFrame, most: int = 3) -> DataFrame:
 def keyword_lists(docs: DataFrame, keys: DataFrame, k: int = 100) -> DataFrame:
     """One BM25 list per keyword: (query_id, list_id, rank, doc_id), each distinct term searched once."""
     terms = keys.select("term").distinct().select(F.col("term").alias("query_id"), "term")
-    lists = top_k(bm25_scores(docs, terms), k).select(F.col("query_id").alias("term"), "doc_id", "rank")
+    lists = bm25_lists(docs, terms, k).select(F.col("query_id").alias("term"), "doc_id", "rank")
     return lists.join(keys, "term").select("query_id", F.col("pos").alias("list_id"), "rank", "doc_id")
 
 

@@ -120,9 +120,12 @@ def _words(parts: list[str], fields: Fields) -> Column:
     """Whole words in a row; * and ? stand for word characters."""
     if not parts:
         return F.lit(True)
+    return F.coalesce(F.lower(F.col(fields.text)).rlike(_pattern(parts)), F.lit(False))
+
+
+def _pattern(parts: list[str]) -> str:
     one = lambda p: "".join(r"\w*" if c == "*" else r"\w" if c == "?" else re.escape(c) for c in p.lower())
-    pattern = r"(?<![\w])" + r"\W+".join(map(one, parts)) + r"(?![\w])"
-    return F.coalesce(F.lower(F.col(fields.text)).rlike(pattern), F.lit(False))
+    return r"(?<![\w])" + r"\W+".join(map(one, parts)) + r"(?![\w])"
 
 
 def _filter(minus, name, value, fields: Fields) -> Column:
@@ -163,3 +166,40 @@ def pages(found: DataFrame, key: str, order: list[Column], count: int = 100) ->
     """Every result of each key with its page and place."""
     n = F.row_number().over(Window.partitionBy(key).orderBy(*order))
     return found.withColumn("place", n.cast("bigint")).withColumn("page", F.floor((n - 1) / count).cast("bigint") + 1)
+
+
+def relevance(query: str, text: Column) -> Column:
+    """How often the query's plain words and phrases stand in a text: the score that results are sorted by."""
+    plain = [value for kind, value in _tokens(query) if kind in ("word", "phrase") and value.strip() and not FILTER.fullmatch(value)]
+    found = [F.regexp_count(F.lower(text), F.lit(_pattern(p.split()))) for p in plain]
+    return sum(found, F.lit(0)).cast("bigint")
+
+
+SORTS = {"score": "score", "timestamp": "timestamp"}
+
+
+def _result(found: DataFrame, query: str, kind: str, fields: Fields) -> DataFrame:
+    return found.select("*", relevance(query, F.col(fields.text)).alias("score"), F.lit(kind).alias("match_type"))
+
+
+def _sorted_page(found: DataFrame, sort: str, sort_dir: str, tie: list[str], count: int, number: int) -> DataFrame:
+    if sort not in SORTS or sort_dir not in ("asc", "desc"):
+        raise ValueError("sort by score or timestamp, asc or desc")
+    key = F.col(SORTS[sort])
+    return page(found, [key.desc() if sort_dir == "desc" else key.asc(), *tie], count, number)
+
+
+def search_messages(messages: DataFrame, query: str, tie: list[str], sort: str = "score", sort_dir: str = "desc", count: int = 20, number: int = 1, fields: Fields = Fields()) -> DataFrame:
+    """One page of the messages that the query finds, with score and match_type."""
+    return _sorted_page(_result(search(messages, query, fields), query, "message", fields), sort, sort_dir, tie, count, number)
+
+
+def search_files(files: DataFrame, query: str, tie: list[str], sort: str = "score", sort_dir: str = "desc", count: int = 20, number: int = 1, fields: Fields = Fields(text="name")) -> DataFrame:
+    """The same of files, by their names."""
+    return _sorted_page(_result(search(files, query, fields), query, "file", fields), sort, sort_dir, tie, count, number)
+
+
+def search_all(messages: DataFrame, files: DataFrame, query: str, message_tie: list[str], file_tie: list[str], **options) -> DataFrame:
+    """A page of messages and a page of files in one bag; columns of one kind are null in the other."""
+    found = search_messages(messages, query, message_tie, **options)
+    return found.unionByName(search_files(files, query, file_tie, **options), allowMissingColumns=True)

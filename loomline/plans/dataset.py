@@ -46,7 +46,10 @@ def agent_loop(spark: SparkSession, docs: DataFrame, queries: DataFrame, qrels:
     A round is one plan; its outcome is written and reread, so lineage stays one round long. An
     action without calls counts as a step. Returns (query_id, step, n_calls, first_rank, hit_20).
     """
-    root = scratch or f"{spark.conf.get('spark.checkpoint.dir', None) or '/tmp/loomline'}/agent-{uuid.uuid4().hex}"
+    shared = scratch or spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    root = f"{shared}/agent-{uuid.uuid4().hex}"
     open_, out = queries.select("query_id", "query"), None
     for step in range(most_steps):
         acted = providers.call(open_.withColumn("step", F.lit(step)), provider, "act", ["query", "step"])

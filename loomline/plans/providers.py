@@ -1,12 +1,14 @@
 """Model providers behind one interface; the defaults are deterministic and local.
 
-A provider is a picklable object with ``generate``, ``validate``, ``embed``, ``rerank``
-and ``act``. ``call`` runs one of its methods in an Arrow map, with retries, a rate limit per task,
-and errors kept in the row; ``cached`` asks only for what a stored table lacks.
+A provider is a picklable object with ``generate``, ``validate``, ``embed``, ``rerank``,
+``act``, ``chat`` and ``embed_many``. ``call`` runs one of its methods in an Arrow map, with retries, a rate limit
+that its tasks share, and errors kept in the row; ``cached`` asks only for what a stored table lacks;
+``embedded`` sends texts in batches bounded by number and tokens.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import json
 import math
@@ -14,10 +16,14 @@ import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import for_embedding, structured, token_count
+from ..operators.chunk import token_slices
+
 # Personas and their temperatures.
 PERSONAS = {
     "technical_expert": 0.6,
@@ -84,6 +90,14 @@ class LocalProvider:
     def embed(self, row: dict) -> str:
         return json.dumps(hashed_vector(row["text"]))
 
+    def embed_many(self, texts: list[str]) -> list[str]:
+        """Base64 of float32, as providers reply."""
+        return [base64.b64encode(np.array(hashed_vector(t), "<f4").tobytes()).decode() for t in texts]
+
+    def chat(self, row: dict) -> str:
+        """The first words of the last message, as a fenced object."""
+        return "```json\n" + json.dumps({"reply": row["messages"][-1]["content"][:20], "turns": len(row["messages"])}) + "\n```"
+
     def rerank(self, row: dict) -> str:
         a, b = hashed_vector(row["query"]), hashed_vector(row["text"])
         return json.dumps(round(sum(x * y for x, y in zip(a, b, strict=True)), 9))
@@ -104,9 +118,21 @@ def hashed_vector(text: str, dims: int = DIMS) -> list[float]:
     return [x / n for x in v]
 
 
-def call(rows: DataFrame, provider, method: str, columns: list[str], limits: tuple[float, float] | None = None, tries: int = 10) -> DataFrame:
-    """rows with ``value`` and ``error`` strings: one of them null."""
+#: Tasks that share a rate limit.
+LIMITED_TASKS = 8
+
+
+def call(
+    rows: DataFrame, provider, method: str, columns: list[str], limits: tuple[float, float] | None = None, tries: int = 10, tasks: int = LIMITED_TASKS
+) -> DataFrame:
+    """rows with ``value`` and ``error`` strings: one of them null.
+
+    limits: requests and tokens a minute of the whole call. Rows are dealt to so many tasks, each
+    of which keeps to its share.
+    """
     names = rows.columns
+    if limits:
+        rows, limits = rows.repartition(tasks), (limits[0] / tasks, limits[1] / tasks)
     schema = rows.select(*names, F.lit(None).cast("string").alias("value"), F.lit(None).cast("string").alias("error")).schema
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -127,6 +153,47 @@ def call(rows: DataFrame, provider, method: str, columns: list[str], limits: tup
     return rows.mapInPandas(ask, schema)
 
 
+def chat(rows: DataFrame, provider, messages: str, reply: str | None = None, tries: int = 10) -> DataFrame:
+    """rows with value, error, prompt_tokens and completion_tokens of a chat call each.
+
+    messages: an array of (role, content). With reply, the fields asked for, value is that struct, and a
+    reply that does not fit them is an error; else value is the text. Tokens are estimated.
+    """
+    done = call(rows, provider, "chat", [messages], tries=tries)
+    asked = F.aggregate(F.transform(messages, lambda m: token_count(m["content"])), F.lit(0).cast("bigint"), lambda s, n: s + n)
+    done = done.withColumn("prompt_tokens", asked).withColumn("completion_tokens", F.coalesce(token_count(F.col("value")), F.lit(0).cast("bigint")))
+    if reply is None:
+        return done
+    done = done.withColumn("got_", structured(F.col("value"), reply))
+    error = F.coalesce("error", F.when(F.col("got_").isNull(), F.lit("the reply does not fit its schema")))
+    return done.withColumn("error", error).withColumn("value", F.col("got_")).drop("got_")
+
+
+def embedded(rows: DataFrame, provider, text: str, most_rows: int = 128, most_tokens: int = 50_000, tries: int = 10) -> DataFrame:
+    """rows with ``vector`` and ``error``: texts go in batches bounded by number and by estimated tokens, in order.
+
+    A failed batch's rows have its error. Blank texts go as one space.
+    """
+    schema = rows.select("*", F.lit(None).cast("array<float>").alias("vector"), F.lit(None).cast("string").alias("error")).schema
+    sent = rows.withColumn("sent_", F.coalesce(for_embedding(F.col(text)), F.lit(" ")))
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            texts = pdf.pop("sent_").tolist()
+            vectors, errors = [], []
+            for a, b in token_slices([len(t) // 4 for t in texts], most_rows, most_tokens):
+                try:
+                    got = with_retries(lambda a=a, b=b: provider.embed_many(texts[a:b]), tries)
+                    vectors += [np.frombuffer(base64.b64decode(v), "<f4") for v in got]
+                    errors += [None] * (b - a)
+                except Exception as e:
+                    vectors += [None] * (b - a)
+                    errors += [str(e) or type(e).__name__] * (b - a)
+            yield pdf.assign(vector=vectors, error=errors)
+
+    return sent.mapInPandas(ask, schema)
+
+
 def cached(rows: DataFrame, store: DataFrame, provider, method: str, columns: list[str]) -> tuple[DataFrame, DataFrame]:
     """(rows with value, new store rows): each distinct request that the store (key, value) lacks is asked once."""
     keyed = rows.withColumn("key", F.md5(F.concat_ws("\x1f", F.lit(method), *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in columns])))

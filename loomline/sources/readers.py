@@ -68,6 +68,21 @@ def last_by_key(rows: DataFrame, key: str, order: str) -> DataFrame:
     return rows.groupBy(key).agg(F.max_by(F.struct(*[c for c in rows.columns if c != key]), order).alias("r")).select(key, "r.*")
 
 
+def chunk_lines(spark: SparkSession, path: str) -> DataFrame:
+    """A chunk file, of repeated ids the last line; no rows where there is no file."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], schemas.CHUNK)
+    rows = spark.read.schema(schemas.CHUNK).json(path).where("chunk_id is not null")
+    return last_by_key(rows.withColumn("pos", F.monotonically_increasing_id()), "chunk_id", "pos").drop("pos")
+
+
+def pair_lines(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
+    """Validated pairs: a resumed run skips broken lines, an export fails on them."""
+    if not strict and not exists(spark, path):
+        return spark.createDataFrame([], schemas.PAIR)
+    return jsonl_strict(spark, path, schemas.PAIR) if strict else jsonl_lenient(spark, path, schemas.PAIR)
+
+
 def json_map(spark: SparkSession, path: str, value: str = "string") -> DataFrame:
     """A file that is one JSON object, as (key, value) rows."""
     text = spark.read.text(path, wholetext=True)

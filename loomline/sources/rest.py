@@ -1,7 +1,7 @@
 """A paged REST API as a Python data source: one partition per start of a page chain.
 
 The client is given as ``module:function`` and called as client(endpoint, params) -> dict. Errors end a
-chain, as an archive run should keep what it has. Tokens come from the environment.
+chain with a row that tells the error, as an archive run should keep what it has. Tokens come from the environment.
 """
 
 from __future__ import annotations
@@ -31,28 +31,38 @@ def call_with_retries(client: Callable[[str, dict], dict], endpoint: str, params
     return reply
 
 
-def paged(client: Callable[[str, dict], dict], endpoint: str, params: dict, items: str, sleep: Callable[[float], None] = time.sleep) -> Iterator[dict]:
-    """All items of a cursor chain; a failed call ends it."""
+def items_of(found) -> list:
+    """What a reply holds as a list: a map gives objects with name and url, an object itself."""
+    if isinstance(found, dict):
+        named = found and all(isinstance(v, str) and ":" in v for v in found.values())
+        return [{"name": k, "url": v} for k, v in found.items()] if named else [found]
+    return list(found or [])
+
+
+def paged(
+    client: Callable[[str, dict], dict], endpoint: str, params: dict, items: str, sleep: Callable[[float], None] = time.sleep, first_page: bool = False
+) -> Iterator[dict]:
+    """All items of a cursor chain; a failed call ends it, and its error is the generator's value."""
     cursor = ""
     while True:
         reply = call_with_retries(client, endpoint, params | ({"cursor": cursor} if cursor else {}), sleep)
         if not reply.get("ok"):
-            return
-        yield from reply.get(items, [])
+            return reply.get("error") or "failed"
+        yield from items_of(reply.get(items))
         cursor = (reply.get("response_metadata") or {}).get("next_cursor", "")
-        if not cursor:
-            return
+        if not cursor or first_page:
+            return None
 
 
 class RestSource(DataSource):
-    """options: client, endpoint, items, chains (a JSON list of parameters, one partition each)."""
+    """options: client, endpoint, items, chains (a JSON list of parameters, one partition each), first_page."""
 
     @classmethod
     def name(cls) -> str:
         return "loomline_rest"
 
     def schema(self) -> str:
-        return "chain int, item string"
+        return "chain int, item string, error string"
 
     def reader(self, schema) -> RestReader:
         return RestReader(self.options)
@@ -70,5 +80,11 @@ class RestReader(DataSourceReader):
         number, params = partition.value
         module, _, function = self.options["client"].partition(":")
         client = getattr(importlib.import_module(module), function)
-        for item in paged(client, self.options["endpoint"], params, self.options["items"]):
-            yield (number, json.dumps(item, sort_keys=True))
+        items = paged(client, self.options["endpoint"], params, self.options["items"], first_page=self.options.get("first_page") == "true")
+        while True:
+            try:
+                yield (number, json.dumps(next(items), sort_keys=True), None)
+            except StopIteration as end:
+                if end.value:  # what came before is kept, and the reader can tell that it is not whole
+                    yield (number, None, end.value)
+                return

@@ -21,23 +21,53 @@ def per_channel(df: DataFrame, path: str, workspace: str = "workspace") -> None:
     safe.write.mode("overwrite").partitionBy(workspace, "channel_dir").json(path)
 
 
+CURRENT = "CURRENT"
+
+
 def replace_atomically(df: DataFrame, path: str) -> None:
-    """Write beside the path and rename over it: readers see the old or the new table, and a failed write leaves the old."""
+    """Write a version's folder under the path, then rename one pointer file over the old pointer.
+
+    Readers, through ``current``, see the old or the new table at any time; a failed write leaves
+    the old. The version before last goes.
+    """
     spark = df.sparkSession
     jvm = spark.sparkContext._jvm
-    at = lambda p: jvm.org.apache.hadoop.fs.Path(p)
-    staged, old = f"{path}.staged-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
-    fs = at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    df.write.json(staged)
-    had = fs.exists(at(path))
-    if had and not fs.rename(at(path), at(old)):
-        raise OSError(f"cannot move {path} aside")
-    if not fs.rename(at(staged), at(path)):
-        if had:
-            fs.rename(at(old), at(path))
-        raise OSError(f"cannot move the new table to {path}")
-    if had:
-        fs.delete(at(old), True)
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    at = lambda *p: jvm.org.apache.hadoop.fs.Path("/".join([path, *p]))
+    fs, version = at().getFileSystem(conf), f"v-{uuid.uuid4().hex}"
+    before = _pointer(spark, path)
+    df.write.json(f"{path}/{version}")
+    staged = at(f"{CURRENT}.{version}")
+    out = fs.create(staged, False)
+    out.write(bytearray(version.encode()))
+    out.close()
+    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), conf)
+    over = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    over[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    files.rename(staged, at(CURRENT), over)
+    for s in fs.listStatus(at()):
+        name = s.getPath().getName()
+        if name.startswith("v-") and name not in (version, before):
+            fs.delete(s.getPath(), True)
+
+
+def current(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The table that the pointer names; empty before the first one."""
+    version = _pointer(spark, path)
+    return spark.read.schema(schema).json(f"{path}/{version}") if version else spark.createDataFrame([], schema)
+
+
+def _pointer(spark: SparkSession, path: str) -> str | None:
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(f"{path}/{CURRENT}")
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        return None
+    stream = fs.open(at)
+    try:
+        return jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
 
 
 def upserted(stored: DataFrame, new: DataFrame, key: str = "id", order: str = "version") -> DataFrame:
@@ -63,4 +93,5 @@ def inspection(run: DataFrame, documents: DataFrame, qrels: DataFrame) -> DataFr
 
 
 def search_export(found: DataFrame) -> DataFrame:
-    return found.select("text", F.col("user").alias("username"), "channel", F.col("date").cast("string").alias("timestamp"))
+    link = F.col("permalink") if "permalink" in found.columns else F.lit(None).cast("string")
+    return found.select("text", F.col("user").alias("username"), "channel", F.col("date").cast("string").alias("timestamp"), link.alias("permalink"))

@@ -76,8 +76,11 @@ def test_replaced_and_upserted(spark, tmp_path):
     path = str(tmp_path / "out")
     for n in (1, 2):
         sinks.replace_atomically(spark.range(n).withColumnRenamed("id", "v"), path)
-        assert spark.read.schema("v long").json(path).count() == n
+        assert sinks.current(spark, path, "v long").count() == n
     assert sorted(p.name for p in tmp_path.iterdir()) == ["out"]
+    with pytest.raises(Exception):
+        sinks.replace_atomically(spark.range(1).select(F.raise_error(F.lit("stop")).alias("v")), path)
+    assert sinks.current(spark, path, "v long").count() == 2 and sinks.current(spark, str(tmp_path / "none"), "v long").count() == 0
     old = spark.createDataFrame([("a", 1, "x"), ("b", 5, "y")], "id string, version int, content string")
     new = spark.createDataFrame([("a", 1, "z"), ("b", 4, "w"), ("c", 1, "v")], old.schema)
     assert {tuple(r) for r in sinks.upserted(old, new).collect()} == {("a", 1, "z"), ("b", 5, "y"), ("c", 1, "v")}
