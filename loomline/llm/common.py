@@ -12,6 +12,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 
+BATCH_ROWS, MOST_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2000
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -59,7 +60,7 @@ class Scratch:
 
     def cut(self, df: DataFrame, label: str) -> DataFrame:
         path = scratch_path(self.spark, label)
-        with _shuffles_let_go(self.spark):
+        with _lean(self.spark):
             df.write.parquet(path)
         self.paths.setdefault(label, []).append(path)
         _at_end(self.spark, path)
@@ -79,14 +80,17 @@ class Scratch:
 
 
 @contextmanager
-def _shuffles_let_go(spark: SparkSession):
-    """Within it, an action's shuffle files go when it ends: what it wrote is read instead."""
-    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+def _lean(spark: SparkSession):
+    """Within it, an action's shuffle files go when it ends (what it wrote is read instead), and
+    batches for Python are of so few rows that whole texts, long ones too, fit executors several times."""
+    before = {k: spark.conf.get(k, d) for k, d in ((SHUFFLE_CLEANUP, "false"), (BATCH_ROWS, "10000"))}
     spark.conf.set(SHUFFLE_CLEANUP, "true")
+    spark.conf.set(BATCH_ROWS, str(min(MOST_BATCH_ROWS, int(before[BATCH_ROWS]) if int(before[BATCH_ROWS]) > 0 else MOST_BATCH_ROWS)))
     try:
         yield
     finally:
-        spark.conf.set(SHUFFLE_CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def _at_end(spark: SparkSession, path: str) -> None:
