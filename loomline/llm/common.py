@@ -12,7 +12,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 
-BATCH_ROWS, MOST_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2000
+BATCH_ROWS, MOST_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -93,6 +93,13 @@ def _lean(spark: SparkSession):
             spark.conf.set(k, v)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """For the rest of the session, batches for Python of at most MOST_BATCH_ROWS rows; for applications, whose plans run later."""
+    now = int(spark.conf.get(BATCH_ROWS, "10000"))
+    if now <= 0 or now > MOST_BATCH_ROWS:
+        spark.conf.set(BATCH_ROWS, str(MOST_BATCH_ROWS))
+
+
 def _at_end(spark: SparkSession, path: str) -> None:
     def remove():
         try:
