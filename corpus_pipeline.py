@@ -9,11 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from loomline.llm import cotraining, jaccard_join, latent, lines, packing
-from loomline.llm.common import Scratch, table
+from loomline.llm.common import Scratch, small_batches, table
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained classifier accepts."""
+    small_batches(spark)
     return cotraining.accepted(docs, cotraining.fit(docs, table(spark, sf_dir, "labels")))
 
 
@@ -29,6 +30,7 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item and no paraphrase of one."""
+    small_batches(spark)
     return latent.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
