@@ -12,21 +12,23 @@ def ingest_messages(spark: SparkSession, source: str, schema: str, target: str,
     """A query that appends rows with new keys from JSON files to a Parquet table.
 
     A micro-batch writes to a folder of its number, so a batch that is run again replaces its own
-    rows; keys that earlier batches have are left out.
+    rows; keys that earlier batches have are left out. Rows without a key are told apart by all their columns.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        fresh = batch.dropDuplicates([key])
-        earlier = _earlier(spark, target, number, key)
+        keyed, unkeyed = batch.where(F.col(key).isNotNull()).dropDuplicates([key]), batch.where(F.col(key).isNull()).distinct()
+        earlier = _earlier(spark, target, number)
         if earlier is not None:
-            fresh = not_done(fresh, earlier, key)
-        fresh.withColumn("length", F.length("text")).write.mode("overwrite").parquet(f"{target}/batch={number}")
+            keyed = not_done(keyed, earlier, key)
+            # A set difference, in which nulls are equal.
+            unkeyed = unkeyed.subtract(earlier.where(F.col(key).isNull()).select(*batch.columns))
+        keyed.unionByName(unkeyed).withColumn("length", F.length("text")).write.mode("overwrite").parquet(f"{target}/batch={number}")
 
     stream = spark.readStream.schema(schema).json(source)
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True)
 
 
-def _earlier(spark: SparkSession, target: str, number: int, key: str) -> DataFrame | None:
+def _earlier(spark: SparkSession, target: str, number: int) -> DataFrame | None:
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(target)
     fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -34,4 +36,4 @@ def _earlier(spark: SparkSession, target: str, number: int, key: str) -> DataFra
         return None
     names = [s.getPath().getName() for s in fs.listStatus(at) if s.isDirectory()]
     kept = [f"{target}/{n}" for n in names if n.startswith("batch=") and int(n[6:]) < number]
-    return spark.read.parquet(*kept).select(key) if kept else None
+    return spark.read.parquet(*kept) if kept else None

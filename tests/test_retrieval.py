@@ -116,3 +116,11 @@ def test_stream_takes_each_row_once(spark, tmp_path):
         spark.createDataFrame([(k, "text") for k in keys], "message_id string, text string").coalesce(1).write.mode("append").json(source)
         ingest.ingest_messages(spark, source, "message_id string, text string", target, checkpoint).start().awaitTermination()
     assert sorted(r["message_id"] for r in spark.read.parquet(target).collect()) == ["a", "b", "c"]
+
+
+def test_stream_keeps_rows_without_a_key_apart(spark, tmp_path):
+    source, target, checkpoint = (str(tmp_path / n) for n in ("in", "out", "state"))
+    for rows in ([(None, "x"), (None, "y"), (None, "x"), ("a", "x")], [(None, "y"), (None, "z"), (None, None), ("a", "y")]):
+        spark.createDataFrame(rows, "message_id string, text string").coalesce(1).write.mode("append").json(source)
+        ingest.ingest_messages(spark, source, "message_id string, text string", target, checkpoint).start().awaitTermination()
+    assert sorted((r["message_id"] or "", r["text"] or "") for r in spark.read.parquet(target).collect()) == [("", ""), ("", "x"), ("", "y"), ("", "z"), ("a", "x")]
