@@ -33,6 +33,10 @@ class Fields:
     user: str = "user"
     date: str = "date"
 
+    def words(self, parts: list[str]) -> Column:
+        """Whether the text has these words in a row; an index may answer this instead (index/text.py)."""
+        return F.coalesce(F.lower(F.col(self.text)).rlike(pattern(parts)), F.lit(False))
+
 
 def parse(query: str, fields: Fields = Fields()) -> Column:
     """The predicate of a query; raises ValueError where the grammar does not fit. An empty query matches all."""
@@ -120,10 +124,10 @@ def _words(parts: list[str], fields: Fields) -> Column:
     """Whole words in a row; * and ? stand for word characters."""
     if not parts:
         return F.lit(True)
-    return F.coalesce(F.lower(F.col(fields.text)).rlike(_pattern(parts)), F.lit(False))
+    return fields.words(parts)
 
 
-def _pattern(parts: list[str]) -> str:
+def pattern(parts: list[str]) -> str:
     one = lambda p: "".join(r"\w*" if c == "*" else r"\w" if c == "?" else re.escape(c) for c in p.lower())
     return r"(?<![\w])" + r"\W+".join(map(one, parts)) + r"(?![\w])"
 
@@ -171,7 +175,7 @@ def pages(found: DataFrame, key: str, order: list[Column], count: int = 100) ->
 def relevance(query: str, text: Column) -> Column:
     """How often the query's plain words and phrases stand in a text: the score that results are sorted by."""
     plain = [value for kind, value in _tokens(query) if kind in ("word", "phrase") and value.strip() and not FILTER.fullmatch(value)]
-    found = [F.regexp_count(F.lower(text), F.lit(_pattern(p.split()))) for p in plain]
+    found = [F.regexp_count(F.lower(text), F.lit(pattern(p.split()))) for p in plain]
     return sum(found, F.lit(0)).cast("bigint")
 
 

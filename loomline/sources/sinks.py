@@ -30,22 +30,12 @@ def replace_atomically(df: DataFrame, path: str) -> None:
     Readers, through ``current``, see the old or the new table at any time; a failed write leaves
     the old. The version before last goes.
     """
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    at = lambda *p: jvm.org.apache.hadoop.fs.Path("/".join([path, *p]))
-    fs, version = at().getFileSystem(conf), f"v-{uuid.uuid4().hex}"
-    before = _pointer(spark, path)
+    spark, version = df.sparkSession, f"v-{uuid.uuid4().hex}"
+    before = read_pointer(spark, path)
     df.write.json(f"{path}/{version}")
-    staged = at(f"{CURRENT}.{version}")
-    out = fs.create(staged, False)
-    out.write(bytearray(version.encode()))
-    out.close()
-    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), conf)
-    over = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
-    over[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-    files.rename(staged, at(CURRENT), over)
-    for s in fs.listStatus(at()):
+    write_pointer(spark, path, version)
+    fs, at = _file(spark, path)
+    for s in fs.listStatus(at):
         name = s.getPath().getName()
         if name.startswith("v-") and name not in (version, before):
             fs.delete(s.getPath(), True)
@@ -53,19 +43,37 @@ def replace_atomically(df: DataFrame, path: str) -> None:
 
 def current(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The table that the pointer names; empty before the first one."""
-    version = _pointer(spark, path)
+    version = read_pointer(spark, path)
     return spark.read.schema(schema).json(f"{path}/{version}") if version else spark.createDataFrame([], schema)
 
 
-def _pointer(spark: SparkSession, path: str) -> str | None:
+def _file(spark: SparkSession, path: str):
+    """Hadoop's file system for a path, and the path as it knows it."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def write_pointer(spark: SparkSession, path: str, text: str) -> None:
+    """The text as the folder's pointer, in place of the old one by a rename."""
     jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(f"{path}/{CURRENT}")
-    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs, staged = _file(spark, f"{path}/{CURRENT}.{uuid.uuid4().hex}")
+    out = fs.create(staged, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    over = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    over[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    files.rename(staged, jvm.org.apache.hadoop.fs.Path(f"{path}/{CURRENT}"), over)
+
+
+def read_pointer(spark: SparkSession, path: str) -> str | None:
+    """The folder's pointer; None where there is none yet."""
+    fs, at = _file(spark, f"{path}/{CURRENT}")
     if not fs.exists(at):
         return None
     stream = fs.open(at)
     try:
-        return jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
     finally:
         stream.close()
 
