@@ -1,12 +1,14 @@
-"""Registered queries on persisted indices; each builds its index from the whole table, in several commits."""
+"""Registered queries on persisted indices, each built from the whole table in several commits, and on channels of any length."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .catalog import BM25, TERMS, _asked, _docs, _FOUND, _has, _searchable, query
+from .catalog import BM25, BUDGET, DOTS, TERMS, WINDOWS, _asked, _docs, _FOUND, _has, _parents, _ranked, _searchable, _vector_run, _vectors, query
 from .index.text import TextIndex
+from .index.vectors import VectorIndex
+from .operators.packing import parallel_window_numbers
 from .operators.search import Fields
 from .sources.scratch import shared_folder
 
@@ -51,3 +53,52 @@ def indexed_search(spark, d):
         found = index.matching(rows.where("text is not null"), asked, Fields()).select(F.lit(i).alias("query_no"), "conv_id", "turn")
         out = found if out is None else out.union(found)
     return out
+
+
+def _vector_index(spark: SparkSession, d: str) -> tuple[VectorIndex, DataFrame]:
+    """All vectors by two commits: the first has others in the place of some and strangers; and every hundredth as a query."""
+    rows = _vectors(spark, d).select("doc_id", F.col("vector").cast("array<double>").alias("vector"))
+    index = VectorIndex(spark, shared_folder(spark, "vector-index"))
+    index.train(rows)
+    revised = F.pmod(F.xxhash64("doc_id"), F.lit(100)) == 0
+    other = F.when(revised, F.transform("vector", lambda x: -x)).otherwise(F.col("vector"))
+    strange = rows.where(revised).withColumn("doc_id", -F.col("doc_id") - 1)
+    index.commit(rows.withColumn("vector", other).unionByName(strange), sequence=1)
+    index.commit(rows.where(revised), strange.select("doc_id"), sequence=2)
+    return index, rows.where("doc_id % 100 = 0").withColumnRenamed("doc_id", "query_id")
+
+
+@query(f"WITH {DOTS} SELECT query_id, doc_id, score, rank FROM vt")
+def indexed_vector_topk(spark, d):
+    """Every hundredth vector against all, by the cells of the index; all cells are probed, so the result is exact."""
+    index, queries = _vector_index(spark, d)
+    return _ranked(index.search(queries, 100))
+
+
+@query()
+def indexed_vector_recall(spark, d):
+    """for each query, how many of its true 100 nearest the calibrated index finds, and how many cells it probes."""
+    index, queries = _vector_index(spark, d)
+    probes = index.calibrate(queries, 100, 0.96)
+    found = index.search(queries, 100).select("query_id", "doc_id", F.lit(1).alias("hit"))
+    met = _vector_run(spark, d).join(found, ["query_id", "doc_id"], "left")
+    counts = met.groupBy("query_id").agg(F.count("hit").alias("n_found"), F.count("*").alias("n_true"))
+    return counts.select("query_id", "n_found", "n_true", F.lit(probes).cast("bigint").alias("n_probes"))
+
+
+@query(f"WITH RECURSIVE {WINDOWS} SELECT o.conv_id::VARCHAR AS channel_id, o.turn AS pos, w.win AS \"window\", w.truncated FROM w JOIN o USING (conv_id, i)")
+def chunk_token_windows_pieces(spark, d):
+    """Greedy packing by pieces of channels, by pointers between windows instead of a stream per channel."""
+    return parallel_window_numbers(_parents(spark, d), BUDGET)
+
+
+#: All turns as one channel, in order of conversation and turn.
+_ONE = "m AS (SELECT 0 AS conv_id, row_number() OVER (ORDER BY conv_id, turn) AS turn, role, text, '' AS ts FROM conversations WHERE text IS NOT NULL), "
+
+
+@query(f"WITH RECURSIVE {_ONE}{WINDOWS[WINDOWS.index('o AS (SELECT'):]} SELECT c.conv_id, c.turn AS pos, w.win AS \"window\", w.truncated FROM w JOIN o USING (conv_id, i) JOIN (SELECT *, row_number() OVER (ORDER BY conv_id, turn) AS i FROM conversations WHERE text IS NOT NULL) c USING (i)")
+def chunk_one_channel(spark, d):
+    """All conversations, one after the other, as one channel over many tasks."""
+    rows = _parents(spark, d).withColumn("pos", F.col("channel_id").cast("long") * 1_000_000 + F.col("pos")).withColumn("channel_id", F.lit("all"))
+    out = parallel_window_numbers(rows, BUDGET, parts=int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return out.select(F.expr("pos div 1000000").alias("conv_id"), F.expr("pos % 1000000").alias("pos"), "window", "truncated")

@@ -139,37 +139,82 @@ def bm25_top_k(docs: DataFrame, queries: DataFrame, k: int = 100) -> DataFrame:
 
 
 def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int = 100) -> DataFrame:
-    """Exact top k by dot product: queries (query_id, vector) in blocks against all (doc_id, vector).
+    """Exact top k by dot product of (query_id, vector) among all (doc_id, vector).
 
-    A task multiplies its batch with a block of queries and passes on its own k best of
-    each query, so the shuffle carries k rows per query and batch, not all pairs.
+    Vectors are dealt to tasks by id, once for each block of QUERY_BLOCK queries; blocks go to every task.
+    Rows without an id or a vector are left out.
     """
-    out, rows = None, queries.select(F.col("query_id").cast("long"), "vector").orderBy("query_id").toLocalIterator()
-    block: list = []
-
-    def searched(block: list) -> DataFrame:
-        # One copy per executor, not one per task.
-        shared = vectors.sparkSession.sparkContext.broadcast((np.array([r[0] for r in block], np.int64), np.array([r[1] for r in block], np.float64)))
-
-        def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            ids, matrix = shared.value
-            for pdf in batches:
-                if not len(pdf):
-                    continue
-                scores = np.round(np.stack([np.asarray(v, np.float64) for v in pdf["vector"]]) @ matrix.T, 6)
-                docs = pdf["doc_id"].to_numpy()
-                picked = [np.lexsort((docs, -scores[:, q]))[:k] for q in range(len(ids))]
-                yield pd.DataFrame({"query_id": np.repeat(ids, [len(p) for p in picked]), "doc_id": np.concatenate([docs[p] for p in picked]), "score": np.concatenate([scores[p, q] for q, p in enumerate(picked)])})
-
-        return vectors.select("doc_id", "vector").where("doc_id is not null and vector is not null").mapInPandas(search, "query_id long, doc_id long, score double")
-
-    for row in rows:
-        block.append(row)
-        if len(block) == QUERY_BLOCK:
-            out, block = searched(block) if out is None else out.union(searched(block)), []
-    if block:
-        out = searched(block) if out is None else out.union(searched(block))
-    return top_k(out if out is not None else vectors.sparkSession.createDataFrame([], "query_id long, doc_id long, score double"), k)
+    spark = vectors.sparkSession
+    blocks = -(-queries.count() // QUERY_BLOCK) or 1
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    asked = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).withColumn("part", each(parts))
+    dealt = vectors.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(parts))).withColumn("block", each(blocks))
+    group = (F.col("block") * parts + F.col("part")).cast("long").alias("group")
+    return top_k(grouped_top_k(dealt.select(group, "doc_id", "vector"), asked.select(group, "query_id", "vector"), k), k)
+
+
+def grouped_top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """query_id, doc_id, score, group: each group's k best of its vectors (group, doc_id, vector) for each of its queries (group, query_id, vector).
+
+    A task reads a group's queries first and then streams its vectors, so that it holds the queries, one
+    batch, and k rows for each query, however many vectors there are. Ids are whole numbers.
+    """
+    rows = queries.select("group", F.lit(0).alias("kind"), F.col("query_id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector"))
+    rows = rows.unionByName(vectors.select("group", F.lit(1).alias("kind"), F.col("doc_id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector")))
+    rows = rows.where("id is not null and vector is not null").repartition("group").sortWithinPartitions("group", "kind")
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best = None
+        for pdf in batches:
+            for group, part in pdf.groupby("group", sort=False):
+                if best is None or best.group != group:
+                    if best is not None:
+                        yield best.rows()
+                    best = _Best(group, k)
+                is_query = (part["kind"] == 0).to_numpy()
+                ids, matrix = part["id"].to_numpy(), np.stack(part["vector"].to_numpy())
+                if is_query.any():
+                    best.ask(ids[is_query], matrix[is_query])
+                if not is_query.all():
+                    best.offer(ids[~is_query], matrix[~is_query])
+        if best is not None:
+            yield best.rows()
+
+    return rows.mapInPandas(search, "query_id long, doc_id long, score double, group long")
+
+
+class _Best:
+    """The k best of what has been offered to a group's queries."""
+
+    def __init__(self, group: int, k: int):
+        self.group, self.k = group, k
+        self.ids, self.matrix = np.zeros(0, np.int64), None
+        self.found: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def ask(self, ids: np.ndarray, matrix: np.ndarray) -> None:
+        self.ids = np.concatenate([self.ids, ids])
+        self.matrix = matrix if self.matrix is None else np.concatenate([self.matrix, matrix])
+        self.found += [(np.zeros(0, np.int64), np.zeros(0))] * len(ids)
+
+    def offer(self, ids: np.ndarray, matrix: np.ndarray) -> None:
+        step = max(1, CELLS // max(1, len(self.ids)))
+        for a in range(0, len(ids) if len(self.ids) else 0, step):
+            scores = np.round(matrix[a : a + step] @ self.matrix.T, 6)
+            for q, (docs, kept) in enumerate(self.found):
+                column = scores[:, q]
+                some = np.flatnonzero(column >= kept[-1]) if len(kept) == self.k else np.arange(len(column))
+                if len(kept) < self.k < len(some):
+                    some = some[column[some] >= np.partition(column[some], -self.k)[-self.k]]
+                if len(some):
+                    docs, kept = np.concatenate([docs, ids[a : a + step][some]]), np.concatenate([kept, column[some]])
+                    order = np.lexsort((docs, -kept))[: self.k]
+                    self.found[q] = docs[order], kept[order]
+
+    def rows(self) -> pd.DataFrame:
+        n = [len(docs) for docs, _ in self.found]
+        parts = list(zip(*self.found, strict=True)) or [[np.zeros(0, np.int64)], [np.zeros(0)]]
+        return pd.DataFrame({"query_id": np.repeat(self.ids, n), "doc_id": np.concatenate(parts[0]), "score": np.concatenate(parts[1]), "group": self.group})
 
 
 def dot(a: Column, b: Column) -> Column:

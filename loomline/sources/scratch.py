@@ -21,3 +21,14 @@ def shared_folder(spark: SparkSession, label: str) -> str:
 @functools.cache
 def _own(application: str) -> str:
     return tempfile.mkdtemp(prefix="loomline-")
+
+
+def checkpointed(df):
+    """df read from the shared folder, partition by partition, with rows in their order: lineage ends here.
+
+    Files go with the frame where ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set.
+    """
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(shared_folder(df.sparkSession, "checkpoints"))
+    return df.checkpoint()

@@ -133,3 +133,78 @@ def test_a_pointer_is_replaced_whole(spark, tmp_path):
         sinks.write_pointer(spark, str(tmp_path), text)
         assert sinks.read_pointer(spark, str(tmp_path)) == text
     assert np.all([n.startswith("CURRENT") or n.endswith(".crc") for n in os.listdir(tmp_path)])
+
+
+# ------------------------------------------------------------------ vectors
+
+
+def some_vectors(n, dims=8, seed=0):
+    rng = np.random.default_rng(seed)
+    rows = np.round(rng.standard_normal((n, dims)) + 3 * rng.integers(0, 4, (n, 1)) * np.eye(dims)[0], 3)
+    rows[n // 2 : n // 2 + n // 10] = rows[0]  # one vector, many times
+    return [(i, row.tolist()) for i, row in enumerate(rows)]
+
+
+def nearest(vectors, queries, k):
+    out = []
+    for q, a in queries:
+        scored = sorted((-round(float(np.dot(a, v)), 6), i) for i, v in vectors)[:k]
+        out += [(q, i, -s, r + 1) for r, (s, i) in enumerate(scored)]
+    return sorted(out)
+
+
+def found(df):
+    return sorted((r["query_id"], r["doc_id"], r["score"], r["rank"]) for r in df.collect())
+
+
+def close(a, b):
+    return [x[:2] + x[3:] for x in a] == [x[:2] + x[3:] for x in b] and np.allclose([x[2] for x in a], [x[2] for x in b], atol=2e-6)
+
+
+VECTOR = "doc_id long, vector array<double>"
+
+
+def test_top_k_in_blocks_equals_a_sort(spark, monkeypatch):
+    vectors, queries = some_vectors(400), [(i, v) for i, v in some_vectors(13, seed=2)]
+    frames = spark.createDataFrame(vectors + [(None, [1.0] * 8), (9000, None)], VECTOR), spark.createDataFrame(queries, "query_id long, vector array<double>")
+    for block, cells in ((4096, 2_000_000), (4, 40)):
+        monkeypatch.setattr(retrieval, "QUERY_BLOCK", block)
+        monkeypatch.setattr(retrieval, "CELLS", cells)
+        assert close(found(retrieval.vector_top_k(*frames, 7)), nearest(vectors, queries, 7))
+    assert retrieval.vector_top_k(frames[0], frames[1].where("false"), 7).count() == 0
+    assert retrieval.vector_top_k(frames[0].where("false"), frames[1], 7).count() == 0
+
+
+def test_vector_index_with_all_cells_equals_a_scan(spark, tmp_path, monkeypatch):
+    from loomline.index import vectors as vector_index
+
+    monkeypatch.setattr(vector_index, "PART_ROWS", 20)  # cells are searched by several tasks
+    vectors, queries = dict(some_vectors(300)), [(i, v) for i, v in some_vectors(9, seed=3)]
+    asked, index = spark.createDataFrame(queries, "query_id long, vector array<double>"), vector_index.VectorIndex(spark, str(tmp_path))
+    frame = lambda rows: spark.createDataFrame(rows, VECTOR)
+    index.train(frame(list(vectors.items())), cells=6)
+    index.commit(frame([*vectors.items(), (None, [0.0] * 8), (7777, None)]), sequence=1)
+    assert close(found(index.search(asked, 10)), nearest(vectors.items(), queries, 10))
+    before = {p: os.stat(p).st_mtime_ns for p in files(tmp_path) if "segment=0" in p}
+    moved = {i: [-x for x in vectors[i]] for i in range(0, 300, 25)} | {500: [9.0] * 8}
+    index.commit(frame(list(moved.items())), frame([(i, None) for i in (1, 2, 3)]), sequence=2)
+    index.commit(frame([(4, [50.0] * 8)]), sequence=2)  # this number came before
+    vectors = {i: v for i, v in (vectors | moved).items() if i not in (1, 2, 3)}
+    assert {p: os.stat(p).st_mtime_ns for p in files(tmp_path) if "segment=0" in p} == before
+    assert close(found(index.search(asked, 10)), nearest(vectors.items(), queries, 10))
+    assert {r["doc_id"]: list(r["vector"]) for r in index.vectors().collect()} == vectors
+
+
+def test_calibrated_probes_find_the_share_and_read_fewer_cells(spark, tmp_path):
+    from loomline.index.vectors import VectorIndex
+
+    vectors = [(i, v) for i, v in some_vectors(2000, seed=4)]
+    queries = [(i, v) for i, v in vectors if i % 100 == 0]
+    asked, index = spark.createDataFrame(queries, "query_id long, vector array<double>"), VectorIndex(spark, str(tmp_path))
+    index.train(spark.createDataFrame(vectors, VECTOR), cells=16)
+    index.commit(spark.createDataFrame(vectors, VECTOR))
+    probes = index.calibrate(asked, 50, 0.95)
+    want, got = ({x[:2] for x in rows} for rows in (nearest(vectors, queries, 50), found(index.search(asked, 50))))
+    assert probes < 16 and len(want & got) >= 0.95 * len(want)
+    one = spark.createDataFrame(queries[:1], "query_id long, vector array<double>")
+    assert bytes_read(index.search(one, 50, probes=1)) < bytes_read(index.search(one, 50, probes=16)) / 2
