@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 from ..sources import sinks
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 class Segments:
     def __init__(self, spark: SparkSession, path: str):
@@ -43,7 +45,13 @@ class Segments:
 
     def write(self, df: DataFrame, table: str, segment: int, *by: str) -> None:
         """A segment's table; what a commit that failed left there is replaced."""
-        df.write.mode("overwrite").partitionBy(*by).parquet(f"{self.path}/{table}/segment={segment}")
+        # What was shuffled for a table goes once it is written.
+        conf, before = df.sparkSession.conf, df.sparkSession.conf.get(CLEANUP, "false")
+        conf.set(CLEANUP, "true")
+        try:
+            df.write.mode("overwrite").partitionBy(*by).parquet(f"{self.path}/{table}/segment={segment}")
+        finally:
+            conf.set(CLEANUP, before)
 
     def read(self, table: str, schema: str, manifest: dict, where: Column | None = None) -> DataFrame:
         """Live segments' rows of a table, with ``segment``; conditions on partition columns choose the files that are read."""

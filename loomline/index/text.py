@@ -19,7 +19,8 @@ word characters and wildcards, or of ``*`` alone, are checked on texts, and only
 words in them.
 
 Document ids are of any one type and not null; of rows with one id in a batch the one of the greatest text
-counts; null texts have no words. Terms are runs of a-z and 0-9 (of word characters with ``word_break`` ``[^a-z0-9_]+``).
+counts; null texts have no words. Without ``positions`` there are no phrases and no wildcards, and the index is a third
+smaller. Terms are runs of a-z and 0-9 (of word characters with ``word_break`` ``[^a-z0-9_]+``).
 """
 
 from __future__ import annotations
@@ -29,23 +30,26 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import search as language
-from ..operators.retrieval import K1, WORD_BREAK, B, query_terms, top_k
+from ..operators import retrieval
+from ..operators.retrieval import K1, WORD_BREAK, Asked, B, Running, query_terms, top_k
 from .segments import Segments
 
 CELL, BUCKETS = 1024, 32
+#: Tasks that a bucket of terms is written by.
+SPREAD = 8
 #: Cells that are scored without a look at their bounds.
 UNPRUNED = 64
 POSTINGS = "term string, cell long, n int, max_tf int, min_dl int, docs array<{key}>, tfs array<int>, dls array<int>, positions array<int>, bucket int"
 DICTIONARY = "term string, df long, bucket int"
 GRAMS = "gram string, term string, bucket int"
-DOCS = "doc_id {key}, dl int, text string"
-DEAD = "dead_segment int, doc_id {key}"
+DOCS = "cell long, doc_id {key}, dl int, text string"
+DEAD = "dead_segment int, cell long, doc_id {key}"
 #: Scores are rounded to 6 places before they are compared.
 SLACK = 2e-6
 
@@ -57,9 +61,9 @@ def _bucket(c: str, buckets: int) -> Column:
 class TextIndex:
     """``commit`` batches of (doc_id, text); ``search`` (query_id, query); ``matching`` a query of the search language."""
 
-    def __init__(self, spark: SparkSession, path: str, word_break: str = WORD_BREAK, buckets: int = BUCKETS, cell: int = CELL):
+    def __init__(self, spark: SparkSession, path: str, word_break: str = WORD_BREAK, buckets: int = BUCKETS, cell: int = CELL, positions: bool = True):
         self.spark, self.store = spark, Segments(spark, path)
-        self.word_break, self.buckets, self.cell = word_break, buckets, cell
+        self.word_break, self.buckets, self.cell, self.positions = word_break, buckets, cell, positions
 
     # ---------------------------------------------------------------- writing
 
@@ -79,25 +83,29 @@ class TextIndex:
         key, segment = docs.schema["doc_id"].dataType.simpleString(), now["next"]
         now = {"n": 0, "words": 0, "buckets": self.buckets, "key": key} | now
         self.buckets = now["buckets"]
-        batch = docs.groupBy("doc_id").agg(F.max("text").alias("text"))
-        self.store.write(batch.select("doc_id", F.size(self._words("text")).alias("dl"), "text"), "docs", segment)
+        # A document's cell follows from its id, so that one deal serves both to make ids unique and to cut cells.
+        cells = F.pmod(F.xxhash64("doc_id"), F.lit(-(-docs.count() // self.cell) or 1))
+        batch = docs.select(cells.alias("cell"), "doc_id", "text").repartition("cell").groupBy("cell", "doc_id").agg(F.max("text").alias("text"))
+        batch = batch.select("cell", "doc_id", F.size(self._words("text")).alias("dl"), "text").sortWithinPartitions("cell", "doc_id")
+        self.store.write(batch, "docs", segment)
         written = self.spark.read.schema(DOCS.format(key=key)).parquet(f"{self.store.path}/docs/segment={segment}")
         gone = written.select("doc_id") if deleted is None else written.select("doc_id").union(deleted.select("doc_id"))
         # Ids first: only documents that are replaced are looked at as texts.
         older = self._live(now).join(gone.distinct(), "doc_id", "left_semi")
-        self.store.write(older.select(F.col("segment").alias("dead_segment"), "doc_id"), "dead", segment)
-        dead = self.spark.read.schema(DEAD.format(key=key)).parquet(f"{self.store.path}/dead/segment={segment}")
+        self.store.write(older.select(F.col("segment").alias("dead_segment"), "cell", "doc_id"), "dead", segment)
+        dead = self.spark.read.schema(DEAD.format(key=key)).parquet(f"{self.store.path}/dead/segment={segment}").drop("cell")
         texts = self.store.read("docs", DOCS.format(key=key), now).join(dead.withColumnRenamed("dead_segment", "segment"), ["segment", "doc_id"], "left_semi")
         self._write_postings(written, segment, key)
         postings = self.spark.read.schema(POSTINGS.format(key=key)).parquet(f"{self.store.path}/postings/segment={segment}")
         fresh = postings.groupBy("bucket", "term").agg(F.sum("n").alias("df"))
         lost = texts.select(F.explode(F.array_distinct(self._words("text"))).alias("term")).groupBy("term").agg((-F.count("*")).alias("df"))
         lost = lost.withColumn("bucket", _bucket("term", self.buckets)).select("bucket", "term", "df")
-        self.store.write(fresh.unionByName(lost).repartitionByRange("bucket", "term").sortWithinPartitions("bucket", "term"), "dictionary", segment, "bucket")
-        edged = F.concat(F.lit("$"), "term", F.lit("$"))
-        pairs = F.transform(F.sequence(F.lit(1), F.length(edged) - 1), lambda i: F.substring(edged, i, F.lit(2)))
-        grams = fresh.select(F.explode(F.array_distinct(pairs)).alias("gram"), "term").withColumn("bucket", _bucket("gram", self.buckets))
-        self.store.write(grams.repartitionByRange("bucket", "gram", "term").sortWithinPartitions("bucket", "gram"), "grams", segment, "bucket")
+        self.store.write(fresh.unionByName(lost).repartition("bucket").sortWithinPartitions("bucket", "term"), "dictionary", segment, "bucket")
+        if self.positions:
+            edged = F.concat(F.lit("$"), "term", F.lit("$"))
+            pairs = F.transform(F.sequence(F.lit(1), F.length(edged) - 1), lambda i: F.substring(edged, i, F.lit(2)))
+            grams = fresh.select(F.explode(F.array_distinct(pairs)).alias("gram"), "term").withColumn("bucket", _bucket("gram", self.buckets))
+            self.store.write(grams.repartition("bucket", F.pmod(F.xxhash64("term"), F.lit(SPREAD))).sortWithinPartitions("bucket", "gram"), "grams", segment, "bucket")
         sums = lambda df: df.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("words")).first()
         more, less = sums(written), sums(texts)
         self.store.publish(published, [*now["segments"], segment], sequence, key=key, buckets=self.buckets, n=now["n"] + more["n"] - less["n"], words=now["words"] + more["words"] - less["words"])
@@ -107,28 +115,28 @@ class TextIndex:
 
     def _write_postings(self, docs: DataFrame, segment: int, key: str) -> None:
         ddl = POSTINGS.format(key=key).removesuffix(", bucket int")
-        word, cell = re.compile(self.word_break.replace("[^", "[")), self.cell
+        word, positions = re.compile(self.word_break.replace("[^", "[")), self.positions
 
         def invert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            number = TaskContext.get().partitionId() << 32
             for batch in batches:
-                for a in range(0, batch.num_rows, cell):
-                    yield _cell_postings(batch.slice(a, cell), word, number)
-                    number += 1
+                cells = batch.column(0).to_numpy()
+                ends = np.append(np.flatnonzero(cells[1:] != cells[:-1]) + 1, len(cells))
+                for a, b in zip(np.append(0, ends), ends, strict=False) if len(cells) else ():
+                    yield _cell_postings(batch.slice(a, b - a), word, int(cells[a]), positions)
 
-        rows = docs.sortWithinPartitions("doc_id").select("doc_id", "dl", "text").mapInArrow(invert, ddl)
-        rows = rows.withColumn("bucket", _bucket("term", self.buckets))
-        # By range, so that a term that most documents have is spread over several tasks by its cells.
-        self.store.write(rows.repartitionByRange("bucket", "term", "cell").sortWithinPartitions("bucket", "term", "cell"), "postings", segment, "bucket")
+        rows = docs.select("cell", "doc_id", "dl", "text").mapInArrow(invert, ddl).withColumn("bucket", _bucket("term", self.buckets))
+        # A term that most documents have is spread over several tasks, by its cells.
+        dealt = rows.repartition("bucket", F.pmod("cell", F.lit(SPREAD))).sortWithinPartitions("bucket", "term", "cell")
+        self.store.write(dealt, "postings", segment, "bucket")
 
     # ---------------------------------------------------------------- reading
 
     def _dead(self, now: dict) -> DataFrame:
         rows = self.store.read("dead", DEAD.format(key=now.get("key", "bigint")), now)
-        return rows.select(F.col("dead_segment").alias("segment"), "doc_id")
+        return rows.select(F.col("dead_segment").alias("segment"), "cell", "doc_id")
 
     def _live(self, now: dict) -> DataFrame:
-        docs = self.store.read("docs", DOCS.format(key=now.get("key", "bigint")), now).select("segment", "doc_id")
+        docs = self.store.read("docs", DOCS.format(key=now.get("key", "bigint")), now).select("segment", "cell", "doc_id")
         return docs.join(self._dead(now), ["segment", "doc_id"], "left_anti")
 
     def documents(self) -> DataFrame:
@@ -162,7 +170,29 @@ class TextIndex:
         weight = lambda tf, dl: F.col("idf") * F.col(tf) * (K1 + 1) / (F.col(tf) + K1 * (1 - B + B * F.col(dl) / avgdl))
         postings = self._postings(now, buckets)
 
+        pairs = weighted.select("query_id", "term", "idf").limit(retrieval.MOST_TERMS + 1).collect()
+        held = Asked([(r["query_id"], r["term"]) for r in pairs]) if len(pairs) <= retrieval.MOST_TERMS else None
+        if held is not None:
+            idfs = np.zeros(len(held.words))
+            for r in pairs:
+                idfs[held.words[r["term"]]] = r["idf"]
+            shared = self.spark.sparkContext.broadcast((held, idfs))
+
         def scored(chosen: DataFrame | None) -> DataFrame:
+            if held is None:
+                return joined(chosen)
+            rows = postings.join(weighted.select("bucket", "term").distinct(), ["bucket", "term"], "left_semi")
+            rows = rows if chosen is None else rows.join(chosen.select("segment", "cell").distinct(), ["segment", "cell"], "left_semi")
+            # Every term's rows of a cell meet, and the documents of it that a later segment has replaced come first.
+            dead = self._dead(now)
+            dead = dead if chosen is None else dead.join(chosen.select("segment", "cell").distinct(), ["segment", "cell"], "left_semi")
+            dead = dead.groupBy("segment", "cell").agg(F.collect_list("doc_id").alias("docs")).withColumn("kind", F.lit(0))  # no more than a cell's
+            rows = rows.select("segment", "cell", "term", "docs", "tfs", "dls").withColumn("kind", F.lit(1)).unionByName(dead, allowMissingColumns=True)
+            rows = rows.repartition("segment", "cell").sortWithinPartitions("segment", "cell", "kind")
+            found = rows.mapInPandas(lambda batches: _best_of_cells(batches, *shared.value, k, avgdl), f"query_id {kind}, doc_id {now['key']}, score double")
+            return found
+
+        def joined(chosen: DataFrame | None) -> DataFrame:
             rows = postings.select("bucket", "term", "segment", "cell", "docs", "tfs", "dls").join(weighted, ["bucket", "term"])
             rows = rows if chosen is None else rows.join(chosen.select("query_id", "segment", "cell"), ["query_id", "segment", "cell"], "left_semi")
             rows = rows.select("query_id", "segment", "idf", F.explode(F.arrays_zip("docs", "tfs", "dls")).alias("p"))
@@ -253,6 +283,42 @@ class TextIndex:
         return terms.where(F.col("term").rlike(f"^{exact}$")).withColumn("bucket", _bucket("term", now["buckets"]))
 
 
+def _best_of_cells(batches: Iterator[pd.DataFrame], asked: Asked, idfs: np.ndarray, k: int, avgdl: float) -> Iterator[pd.DataFrame]:
+    """A task's best documents of each query; a cell's rows come together, its dead documents first."""
+    running, width = Running(k, len(asked.ids)), len(asked.ids)
+    held: list[pd.DataFrame] = []
+
+    def score(cell: pd.DataFrame) -> None:
+        is_dead = (cell["kind"] == 0).to_numpy()
+        posted = cell[~is_dead]
+        if not len(posted):
+            return
+        docs = np.concatenate(posted["docs"].to_list())
+        sizes = posted["docs"].str.len().to_numpy()
+        known, doc = np.unique(docs, return_inverse=True)
+        word = np.repeat(np.array([asked.words[t] for t in posted["term"]], np.int64), sizes)
+        tf, dl = np.concatenate(posted["tfs"].to_list()), np.concatenate(posted["dls"].to_list())
+        weight = idfs[word] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
+        gone = np.concatenate(cell.loc[is_dead, "docs"].to_list()) if is_dead.any() else docs[:0]
+        live = ~np.isin(known, gone)
+        step = max(1, retrieval.CELLS // width)
+        for a in range(0, len(known), step):
+            some = (doc >= a) & (doc < a + step) & live[doc]
+            i, j, scores = asked.scores(doc[some] - a, word[some], weight[some], min(step, len(known) - a))
+            running.add(j, known[i + a], scores)
+
+    for pdf in batches:
+        for _, part in pdf.groupby(["segment", "cell"], sort=False):
+            if held and tuple(held[-1][["segment", "cell"]].iloc[0]) != tuple(part[["segment", "cell"]].iloc[0]):
+                score(pd.concat(held))
+                held = []
+            held.append(part)
+    if held:
+        score(pd.concat(held))
+    query, docs, scores = running.best()
+    yield pd.DataFrame({"query_id": [asked.ids[q] for q in query], "doc_id": docs, "score": scores})
+
+
 LEAVES = "leaves_"
 
 
@@ -268,9 +334,9 @@ class _Indexed(language.Fields):
         return F.array_contains(LEAVES, self.leaves.index(parts))
 
 
-def _cell_postings(batch: pa.RecordBatch, word: re.Pattern, number: int) -> pa.RecordBatch:
+def _cell_postings(batch: pa.RecordBatch, word: re.Pattern, number: int, positions: bool) -> pa.RecordBatch:
     """A cell's documents by term: one row per term, terms in order of their first use."""
-    ids, dls, texts = batch.column(0), batch.column(1).to_numpy(), batch.column(2).to_pylist()
+    ids, dls, texts = batch.column(1), batch.column(2).to_numpy(), batch.column(3).to_pylist()
     numbers: dict[str, int] = {}
     lists = [[numbers.setdefault(w, len(numbers)) for w in word.findall((t or "").lower())] for t in texts]
     lengths = np.array([len(x) for x in lists], np.int64)
@@ -288,6 +354,6 @@ def _cell_postings(batch: pa.RecordBatch, word: re.Pattern, number: int) -> pa.R
     reduced = lambda f, x: pa.array(f.reduceat(x, firsts[:-1]) if len(numbers) else [], pa.int32())
     columns = [
         pa.array(list(numbers), pa.string()), pa.array([number] * len(numbers), pa.int64()), pa.array(np.diff(firsts), pa.int32()), reduced(np.maximum, tfs), reduced(np.minimum, dls[owner]),
-        lists_of(ids.take(pa.array(owner))), lists_of(pa.array(tfs, pa.int32())), lists_of(pa.array(dls[owner], pa.int32())), pa.ListArray.from_arrays(offsets(by_token), pa.array(position, pa.int32())),
+        lists_of(ids.take(pa.array(owner))), lists_of(pa.array(tfs, pa.int32())), lists_of(pa.array(dls[owner], pa.int32())), pa.ListArray.from_arrays(offsets(by_token), pa.array(position, pa.int32())) if positions else pa.nulls(len(numbers), pa.list_(pa.int32())),
     ]
     return pa.RecordBatch.from_arrays(columns, names=["term", "cell", "n", "max_tf", "min_dl", "docs", "tfs", "dls", "positions"])

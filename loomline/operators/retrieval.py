@@ -56,7 +56,7 @@ def bm25_scores(docs: DataFrame, terms: DataFrame) -> DataFrame:
     return scored.withColumn("score", F.round("score", 6))
 
 
-class _Asked:
+class Asked:
     """Queries as lists of terms: words by number, and of each word the queries that have it."""
 
     def __init__(self, pairs: list[tuple]):
@@ -81,20 +81,62 @@ class _Asked:
             tf += hits.values()
         return *(np.array(x, np.int64) for x in (doc, word, tf)), np.array(lengths, np.int64)
 
+    def scores(self, doc: np.ndarray, word: np.ndarray, weight: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(document, query, score) of n documents and every query that shares a word with them, from the words' weights."""
+        width = len(self.ids)
+        fan = self.starts[word + 1] - self.starts[word]
+        place = np.arange(fan.sum()) - np.repeat(np.cumsum(fan) - fan, fan)
+        cell = np.repeat(doc, fan) * width + self.queries[np.repeat(self.starts[word], fan) + place]
+        dense = np.round(np.bincount(cell, np.repeat(weight, fan), n * width), 6).reshape(-1, width)
+        i, j = np.nonzero(dense > 0)
+        return i, j, dense[i, j]
+
+
+class Running:
+    """The k best documents of each query among all that a task has met, equal scores by id.
+
+    It holds a few times k rows a query: once a query has k documents, only what reaches its last one is taken in.
+    """
+
+    def __init__(self, k: int, width: int):
+        self.k, self.width = k, width
+        self.least = np.full(width, -np.inf)
+        self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.size = 0
+
+    def add(self, query: np.ndarray, docs: np.ndarray, scores: np.ndarray) -> None:
+        some = scores >= self.least[query]
+        self.held.append((query[some], docs[some], scores[some]))
+        self.size += int(some.sum())
+        if self.size > max(1 << 16, 4 * self.k * self.width):
+            self.best()
+
+    def best(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, document, score) of what is best so far."""
+        query, docs, scores = (np.concatenate(x) for x in zip(*self.held, strict=True)) if self.held else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        ranks = docs if docs.dtype != object else pd.factorize(docs, sort=True)[0]
+        order = np.lexsort((ranks, -scores, query))
+        starts = np.searchsorted(query[order], np.arange(self.width))
+        place = np.arange(len(order)) - starts[query[order]]
+        kept, last = order[place < self.k], order[place == self.k - 1]
+        self.least[query[last]] = scores[last]
+        self.held, self.size = [(query[kept], docs[kept], scores[kept])], len(kept)
+        return self.held[0]
+
 
 def bm25_lists(docs: DataFrame, terms: DataFrame, k: int = 100) -> DataFrame:
     """query_id, doc_id, score, rank: the k best documents (by unique doc_id) for each query's terms.
 
-    Two maps over the corpus: one sums document frequencies and lengths, the other scores a
-    batch for all queries and passes on the batch's k best of each, so that the shuffle
-    carries k rows per query and batch, however common a term is. The queries are held by executors
+    Two maps over the corpus: one sums document frequencies and lengths, the other scores
+    batches for all queries and keeps the best of each, so that the shuffle carries k rows
+    per query and task, however common a term is and however many queries there are. The queries are held by executors
     while they have at most MOST_TERMS terms together; beyond it joins do the same.
     """
     spark = docs.sparkSession
     pairs = [tuple(r) for r in terms.select("query_id", "term").limit(MOST_TERMS + 1).collect()]
     if len(pairs) > MOST_TERMS:
         return top_k(bm25_scores(docs, terms), k)
-    asked = spark.sparkContext.broadcast(_Asked(pairs))
+    asked = spark.sparkContext.broadcast(Asked(pairs))
     rows = docs.select("doc_id", "text")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -114,24 +156,20 @@ def bm25_lists(docs: DataFrame, terms: DataFrame, k: int = 100) -> DataFrame:
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         q, width = asked.value, len(asked.value.ids)
-        step = max(1, CELLS // max(1, width))
+        running, step = Running(k, width), max(1, CELLS // max(1, width))
         for pdf in batches:
             for a in range(0, len(pdf) if width else 0, step):
                 part = pdf.iloc[a : a + step]
                 doc, word, tf, lengths = q.counts(part["text"])
                 weight = idf.value[word] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[doc] / avgdl))
-                fan = q.starts[word + 1] - q.starts[word]
-                place = np.arange(fan.sum()) - np.repeat(np.cumsum(fan) - fan, fan)
-                cell = np.repeat(doc, fan) * width + q.queries[np.repeat(q.starts[word], fan) + place]
-                scores = np.bincount(cell, np.repeat(weight, fan), len(part) * width).reshape(-1, width)
-                # What may round to a tie with the last of the k goes along.
-                least = np.partition(scores, -k, axis=0)[-k] - 2e-6 if len(part) > k else np.zeros(width)
-                i, j = np.nonzero((scores > 0) & (scores >= least))
-                yield pd.DataFrame({"query_id": [q.ids[x] for x in j], "doc_id": part["doc_id"].to_numpy()[i], "score": scores[i, j]})
+                i, j, scores = q.scores(doc, word, weight, len(part))
+                running.add(j, part["doc_id"].to_numpy()[i], scores)
+        query, found, scores = running.best()
+        yield pd.DataFrame({"query_id": [q.ids[x] for x in query], "doc_id": found, "score": scores})
 
     kinds = [terms.schema["query_id"].dataType.simpleString(), docs.schema["doc_id"].dataType.simpleString()]
     found = rows.mapInPandas(search, f"query_id {kinds[0]}, doc_id {kinds[1]}, score double")
-    return top_k(found.withColumn("score", F.round("score", 6)), k)
+    return top_k(found, k)
 
 
 def bm25_top_k(docs: DataFrame, queries: DataFrame, k: int = 100) -> DataFrame:

@@ -28,9 +28,37 @@ def same_as_scan(spark, index, docs, asked, k):
     assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and got
 
 
-@pytest.fixture
-def small_cells(monkeypatch):
+@pytest.fixture(params=["held", "joined"])
+def small_cells(monkeypatch, request):
+    """Cells are ruled out by bounds; and the queries' terms are held by tasks, or joined."""
     monkeypatch.setattr(text_index, "UNPRUNED", 0)
+    if request.param == "joined":
+        monkeypatch.setattr(TextIndex, "search_terms", few_terms(TextIndex.search_terms, monkeypatch))
+
+
+def few_terms(search_terms, monkeypatch):
+    def run(*args, **options):
+        with monkeypatch.context() as m:
+            m.setattr(retrieval, "MOST_TERMS", 0)
+            return search_terms(*args, **options)
+
+    return run
+
+
+def test_many_queries_pass_on_k_rows_each(spark):
+    """Common words, more queries than a batch has rows: a task keeps its best of each query alone."""
+    docs = spark.createDataFrame([(i, f"the of w{i % 7} w{i % 3}") for i in range(500)], "doc_id long, text string").repartition(2)
+    terms = spark.range(2000).select(F.col("id").alias("query_id"), F.explode(F.array(F.lit("the"), F.concat(F.lit("w"), F.col("id") % 7))).alias("term"))
+    got = retrieval.bm25_lists(docs, terms, 5)
+    got.collect()
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert got.count() == 10_000 and "MapInPandas" in plan
+    running = retrieval.Running(5, 2000)
+    for start in range(0, 500, 100):
+        query, doc = (x.ravel() for x in np.meshgrid(np.arange(2000), np.arange(start, start + 100), indexing="ij"))
+        running.add(query, doc, np.ones(len(doc)))
+    query, doc, _ = running.best()
+    assert len(query) == 10_000 and set(doc) == set(range(5))
 
 
 ASKED = [(1, "w1 w2 the"), (2, "w39"), (3, "w0 of under"), (4, "nothing here"), (5, ""), (6, "w38 w0")]
