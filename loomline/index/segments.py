@@ -49,7 +49,7 @@ class Segments:
         conf, before = df.sparkSession.conf, df.sparkSession.conf.get(CLEANUP, "false")
         conf.set(CLEANUP, "true")
         try:
-            df.write.mode("overwrite").partitionBy(*by).parquet(f"{self.path}/{table}/segment={segment}")
+            df.write.mode("overwrite").option("compression", "zstd").partitionBy(*by).parquet(f"{self.path}/{table}/segment={segment}")
         finally:
             conf.set(CLEANUP, before)
 

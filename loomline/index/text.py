@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 from ..operators import search as language
 from ..operators import retrieval
 from ..operators.retrieval import K1, WORD_BREAK, Asked, B, Running, query_terms, top_k
+from ..sources.scratch import checkpointed
 from .segments import Segments
 
 CELL, BUCKETS = 1024, 32
@@ -170,19 +171,23 @@ class TextIndex:
         weight = lambda tf, dl: F.col("idf") * F.col(tf) * (K1 + 1) / (F.col(tf) + K1 * (1 - B + B * F.col(dl) / avgdl))
         postings = self._postings(now, buckets)
 
-        pairs = weighted.select("query_id", "term", "idf").limit(retrieval.MOST_TERMS + 1).collect()
+        pairs = weighted.limit(retrieval.MOST_TERMS + 1).collect()
         held = Asked([(r["query_id"], r["term"]) for r in pairs]) if len(pairs) <= retrieval.MOST_TERMS else None
+        met = postings.join(weighted, ["bucket", "term"])
         if held is not None:
             idfs = np.zeros(len(held.words))
             for r in pairs:
                 idfs[held.words[r["term"]]] = r["idf"]
             shared = self.spark.sparkContext.broadcast((held, idfs))
+            # MOST_TERMS rows at most, and read once from the dictionary.
+            weighted = self.spark.createDataFrame(pairs, weighted.schema)
+            met = postings.join(F.broadcast(weighted), ["bucket", "term"])
+            wanted = postings.join(F.broadcast(weighted.select("bucket", "term").distinct()), ["bucket", "term"], "left_semi")
 
         def scored(chosen: DataFrame | None) -> DataFrame:
             if held is None:
                 return joined(chosen)
-            rows = postings.join(weighted.select("bucket", "term").distinct(), ["bucket", "term"], "left_semi")
-            rows = rows if chosen is None else rows.join(chosen.select("segment", "cell").distinct(), ["segment", "cell"], "left_semi")
+            rows = wanted if chosen is None else wanted.join(chosen.select("segment", "cell").distinct(), ["segment", "cell"], "left_semi")
             # Every term's rows of a cell meet, and the documents of it that a later segment has replaced come first.
             dead = self._dead(now)
             dead = dead if chosen is None else dead.join(chosen.select("segment", "cell").distinct(), ["segment", "cell"], "left_semi")
@@ -193,8 +198,7 @@ class TextIndex:
             return found
 
         def joined(chosen: DataFrame | None) -> DataFrame:
-            rows = postings.select("bucket", "term", "segment", "cell", "docs", "tfs", "dls").join(weighted, ["bucket", "term"])
-            rows = rows if chosen is None else rows.join(chosen.select("query_id", "segment", "cell"), ["query_id", "segment", "cell"], "left_semi")
+            rows = met if chosen is None else met.join(chosen.select("query_id", "segment", "cell"), ["query_id", "segment", "cell"], "left_semi")
             rows = rows.select("query_id", "segment", "idf", F.explode(F.arrays_zip("docs", "tfs", "dls")).alias("p"))
             rows = rows.select("query_id", "segment", F.col("p.docs").alias("doc_id"), "idf", F.col("p.tfs").alias("tf"), F.col("p.dls").alias("dl"))
             # A document's terms are in one segment, so that the dead are taken out of sums, not of postings.
@@ -204,13 +208,13 @@ class TextIndex:
         if now["n"] <= UNPRUNED * self.cell:  # bounds would cost more than they spare
             return top_k(scored(None), k).select("query_id", "doc_id", "score", "rank")
         # Bounds need four small columns of the postings.
-        met = postings.select("bucket", "term", "segment", "cell", "n", "max_tf", "min_dl").join(weighted, ["bucket", "term"])
         cells = met.groupBy("query_id", "segment", "cell").agg(F.sum(weight("max_tf", "min_dl")).alias("bound"), F.max("n").alias("most"))
         before = Window.partitionBy("query_id").orderBy(F.col("bound").desc(), "segment", "cell").rowsBetween(Window.unboundedPreceding, -1)
-        cells = cells.withColumn("before", F.coalesce(F.sum("most").over(before), F.lit(0)))
+        # A row for each query and cell, read three times below.
+        cells = checkpointed(cells.withColumn("before", F.coalesce(F.sum("most").over(before), F.lit(0))))
 
         first = top_k(scored(cells.where(F.col("before") < k)), k)
-        least = first.where(F.col("rank") == k).select("query_id", (F.col("score") - SLACK).alias("least"))
+        least = checkpointed(first.where(F.col("rank") == k).select("query_id", (F.col("score") - SLACK).alias("least")))
         chosen = cells.join(least, "query_id", "left").where((F.col("before") < k) | F.col("least").isNull() | (F.col("bound") >= F.col("least")))
         return top_k(scored(chosen), k).select("query_id", "doc_id", "score", "rank")
 
