@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BLANK = r"(?U)^[\s\x1c-\x1f]*$"
 
@@ -41,15 +42,51 @@ def strip_fences(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.trim(text), r"^```(?:json)?\s*", ""), r"\s*```$", "")
 
 
-def structured(reply: Column, ddl: str) -> Column:
-    """A reply without fences as a struct of the given fields; null unless it is an object with every field, of its type."""
-    body = strip_fences(reply)
-    value = F.from_json(body, f"{ddl}, _corrupt_record string", {"columnNameOfCorruptRecord": "_corrupt_record"})
-    names = [f.split()[0] for f in ddl.split(",")]
-    whole = value["_corrupt_record"].isNull()
-    for name in names:
-        whole = whole & value[name].isNotNull()
-    return F.when(whole, F.struct(*[value[name].alias(name) for name in names]))
+def structured(reply: Column, ddl: str, allowed: dict[str, list] | None = None) -> Column:
+    """A reply without fences as a struct of the given fields; null unless it is an object that fits them (see ``reply_fault``)."""
+    return F.when(reply_fault(reply, ddl, allowed).isNull(), _parsed(reply, ddl)[0])
+
+
+def _parsed(reply: Column, ddl: str) -> tuple[Column, Column, T.StructType]:
+    """The reply's value without its marker, the marker of a broken one, and the fields."""
+    fields = T.StructType.fromDDL(ddl)
+    read = T.StructType([*fields.fields, T.StructField(BROKEN, T.StringType())])
+    value = F.from_json(strip_fences(reply), read, {"columnNameOfCorruptRecord": BROKEN})
+    return F.struct(*[value[f.name].alias(f.name) for f in fields]), value[BROKEN], fields
+
+
+BROKEN = "_corrupt_record"
+
+
+def reply_fault(reply: Column, ddl: str, allowed: dict[str, list] | None = None) -> Column:
+    """The path of the first fault of a reply, null where there is none.
+
+    Fields, to any depth, are required unless their type says otherwise by a comment ``optional``; elements of arrays and values
+    of maps must not be null; ``allowed`` names the values that a path may have (``[]`` stands for every element). ``$``: the
+    reply is no object, or has a value of another type than asked for. ``$.a[2].b``: that value is missing or not allowed.
+    """
+    value, broken, fields = _parsed(reply, ddl)
+    faults = [_fault(value[f.name], f, F.lit(f"$.{f.name}"), f"$.{f.name}", allowed or {}) for f in fields]
+    empty = F.regexp_extract(strip_fences(reply), r"(?s)^\{.*\}$", 0) == ""
+    return F.when(reply.isNull() | empty | broken.isNotNull(), F.lit("$")).otherwise(F.coalesce(*faults))
+
+
+def _fault(value: Column, spec: T.StructField, path: Column, name: str, allowed: dict[str, list]) -> Column:
+    """The first fault in a value, or null; a missing value is one unless it is optional."""
+    none, kind = F.lit(None).cast("string"), spec.dataType
+    inside = none
+    if isinstance(kind, T.StructType):
+        inside = F.coalesce(*[_fault(value[f.name], f, F.concat(path, F.lit(f".{f.name}")), f"{name}.{f.name}", allowed) for f in kind])
+    elif isinstance(kind, T.ArrayType):
+        item = T.StructField("", kind.elementType)
+        each = F.transform(value, lambda x, i: _fault(x, item, F.concat(path, F.lit("["), i.cast("string"), F.lit("]")), f"{name}[]", allowed))
+        inside = F.get(F.filter(each, lambda x: x.isNotNull()), F.lit(0))
+    elif isinstance(kind, T.MapType):
+        inside = F.when(F.exists(F.map_values(value), lambda x: x.isNull()), path)
+    elif name in allowed:
+        inside = F.when(~value.isin(allowed[name]), path)
+    optional = (spec.metadata or {}).get("comment") == "optional"
+    return F.when(value.isNull(), none if optional else path).otherwise(inside)
 
 
 def sanitised(name: Column) -> Column:

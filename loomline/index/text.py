@@ -45,7 +45,7 @@ CELL, BUCKETS = 1024, 32
 #: Tasks that a bucket of terms is written by.
 SPREAD = 8
 #: Cells that are scored without a look at their bounds.
-UNPRUNED = 64
+UNPRUNED = 1024
 POSTINGS = "term string, cell long, n int, max_tf int, min_dl int, docs array<{key}>, tfs array<int>, dls array<int>, positions array<int>, bucket int"
 DICTIONARY = "term string, df long, bucket int"
 GRAMS = "gram string, term string, bucket int"
@@ -115,8 +115,9 @@ class TextIndex:
         return F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), self.word_break), lambda w: w != "")
 
     def _write_postings(self, docs: DataFrame, segment: int, key: str) -> None:
-        ddl = POSTINGS.format(key=key).removesuffix(", bucket int")
-        word, positions = re.compile(self.word_break.replace("[^", "[")), self.positions
+        positions = self.positions
+        ddl = f"term string, cell long, docs array<{key}>, tfs array<int>, dls array<int>" + ", positions array<int>" * positions
+        word = re.compile(self.word_break.replace("[^", "["))
 
         def invert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -128,6 +129,9 @@ class TextIndex:
         rows = docs.select("cell", "doc_id", "dl", "text").mapInArrow(invert, ddl).withColumn("bucket", _bucket("term", self.buckets))
         # A term that most documents have is spread over several tasks, by its cells.
         dealt = rows.repartition("bucket", F.pmod("cell", F.lit(SPREAD))).sortWithinPartitions("bucket", "term", "cell")
+        # What follows from a row's lists is not shuffled.
+        dealt = dealt.withColumns({"n": F.size("docs"), "max_tf": F.array_max("tfs"), "min_dl": F.array_min("dls")})
+        dealt = dealt if positions else dealt.withColumn("positions", F.lit(None).cast("array<int>"))
         self.store.write(dealt, "postings", segment, "bucket")
 
     # ---------------------------------------------------------------- reading
@@ -355,9 +359,10 @@ def _cell_postings(batch: pa.RecordBatch, word: re.Pattern, number: int, positio
     by_token = np.searchsorted(term, np.arange(len(numbers) + 1))
     offsets = lambda x: pa.array(x, pa.int32())
     lists_of = lambda values: pa.ListArray.from_arrays(offsets(firsts), values)
-    reduced = lambda f, x: pa.array(f.reduceat(x, firsts[:-1]) if len(numbers) else [], pa.int32())
-    columns = [
-        pa.array(list(numbers), pa.string()), pa.array([number] * len(numbers), pa.int64()), pa.array(np.diff(firsts), pa.int32()), reduced(np.maximum, tfs), reduced(np.minimum, dls[owner]),
-        lists_of(ids.take(pa.array(owner))), lists_of(pa.array(tfs, pa.int32())), lists_of(pa.array(dls[owner], pa.int32())), pa.ListArray.from_arrays(offsets(by_token), pa.array(position, pa.int32())) if positions else pa.nulls(len(numbers), pa.list_(pa.int32())),
-    ]
-    return pa.RecordBatch.from_arrays(columns, names=["term", "cell", "n", "max_tf", "min_dl", "docs", "tfs", "dls", "positions"])
+    columns = {
+        "term": pa.array(list(numbers), pa.string()), "cell": pa.array([number] * len(numbers), pa.int64()), "docs": lists_of(ids.take(pa.array(owner))),
+        "tfs": lists_of(pa.array(tfs, pa.int32())), "dls": lists_of(pa.array(dls[owner], pa.int32())),
+    }
+    if positions:
+        columns["positions"] = pa.ListArray.from_arrays(offsets(by_token), pa.array(position, pa.int32()))
+    return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))

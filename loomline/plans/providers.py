@@ -172,7 +172,7 @@ def chat(rows: DataFrame, provider, messages: str, reply: str | None = None, tri
 def embedded(rows: DataFrame, provider, text: str, most_rows: int = 128, most_tokens: int = 50_000, tries: int = 10) -> DataFrame:
     """rows with ``vector`` and ``error``: texts go in batches bounded by number and by estimated tokens, in order.
 
-    A failed batch's rows have its error. Blank texts go as one space.
+    A failed batch's rows have its error, as have those of a reply with more or fewer vectors than texts. Blank texts go as one space.
     """
     schema = rows.select("*", F.lit(None).cast("array<float>").alias("vector"), F.lit(None).cast("string").alias("error")).schema
     sent = rows.withColumn("sent_", F.coalesce(for_embedding(F.col(text)), F.lit(" ")))
@@ -183,8 +183,10 @@ def embedded(rows: DataFrame, provider, text: str, most_rows: int = 128, most_to
             vectors, errors = [], []
             for a, b in token_slices([len(t) // 4 for t in texts], most_rows, most_tokens):
                 try:
-                    got = with_retries(lambda a=a, b=b: provider.embed_many(texts[a:b]), tries)
-                    vectors += [np.frombuffer(base64.b64decode(v), "<f4") for v in got]
+                    got = [np.frombuffer(base64.b64decode(v), "<f4") for v in with_retries(lambda a=a, b=b: provider.embed_many(texts[a:b]), tries)]
+                    if len(got) != b - a:
+                        raise ValueError(f"{len(got)} vectors for {b - a} texts")
+                    vectors += got
                     errors += [None] * (b - a)
                 except Exception as e:
                     vectors += [None] * (b - a)
