@@ -16,8 +16,8 @@ WORD_BREAK = "[^a-z0-9]+"
 _WORD = re.compile("[a-z0-9]+")
 #: (query, term) pairs that executors hold at once; more are joined instead.
 MOST_TERMS = 500_000
-#: Cells of a score matrix, and query vectors, that a task holds at once.
-CELLS, QUERY_BLOCK = 2_000_000, 4096
+#: Cells of a score matrix, and query vectors, that a task holds at once; vectors that are searched together.
+CELLS, QUERY_BLOCK, PART_ROWS = 2_000_000, 4096, 8192
 
 
 def words(text: Column) -> Column:
@@ -182,9 +182,7 @@ def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int = 100) -> DataFr
     Vectors are dealt to tasks by id, once for each block of QUERY_BLOCK queries; blocks go to every task.
     Rows without an id or a vector are left out.
     """
-    spark = vectors.sparkSession
-    blocks = -(-queries.count() // QUERY_BLOCK) or 1
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks, parts = -(-queries.count() // QUERY_BLOCK) or 1, -(-vectors.count() // PART_ROWS) or 1
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
     asked = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).withColumn("part", each(parts))
     dealt = vectors.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(parts))).withColumn("block", each(blocks))

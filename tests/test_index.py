@@ -198,6 +198,7 @@ def test_top_k_in_blocks_equals_a_sort(spark, monkeypatch):
     for block, cells in ((4096, 2_000_000), (4, 40)):
         monkeypatch.setattr(retrieval, "QUERY_BLOCK", block)
         monkeypatch.setattr(retrieval, "CELLS", cells)
+        monkeypatch.setattr(retrieval, "PART_ROWS", 150)
         assert close(found(retrieval.vector_top_k(*frames, 7)), nearest(vectors, queries, 7))
     assert retrieval.vector_top_k(frames[0], frames[1].where("false"), 7).count() == 0
     assert retrieval.vector_top_k(frames[0].where("false"), frames[1], 7).count() == 0
