@@ -1,39 +1,48 @@
-"""Incremental ingest: new chat rows are chunked batch by batch, each row once."""
+"""Incremental ingest: new chat rows are chunked batch by batch, each row once.
+
+Which rows came before is known by a state store keyed by row: a batch costs what its own rows cost,
+however much was ingested before. Nothing that was written is read again.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.export import not_done
+
+def identity(columns: list[str], key: str) -> Column:
+    """What tells rows apart: the key; where it is null, all columns, nulls being equal."""
+    whole = F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
+    return F.when(F.col(key).isNotNull(), F.concat(F.lit("k"), F.col(key).cast("string"))).otherwise(F.concat(F.lit("r"), whole))
 
 
-def ingest_messages(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, key: str = "message_id"):
-    """A query that appends rows with new keys from JSON files to a Parquet table.
+def first_seen(rows: DataFrame, key: str, expiry: str | None = None) -> DataFrame:
+    """A stream's rows whose key no earlier row had; of repeats within a batch, any one.
 
-    A micro-batch writes to a folder of its number, so a batch that is run again replaces its own
-    rows; keys that earlier batches have are left out. Rows without a key are told apart by all their columns.
+    expiry: how long a key is remembered after it came, by the clock of the batches (``30 days``), which
+    bounds the state. A row is never too late, as its time is that of its batch. None: for ever.
+    The state lies in the store the session names; with many keys, one on disk (RocksDB).
+    """
+    told = rows.withColumn("identity_", identity(rows.columns, key))
+    if expiry is None:
+        return told.dropDuplicates(["identity_"]).drop("identity_")
+    timed = told.withColumn("seen_", F.current_timestamp()).withWatermark("seen_", expiry)
+    return timed.dropDuplicatesWithinWatermark(["identity_"]).drop("identity_", "seen_")
+
+
+def ingest(rows: DataFrame, target: str, checkpoint: str, key: str = "message_id", expiry: str | None = None):
+    """A writer that appends a stream's rows with new keys, and their text's length, to a Parquet table.
+
+    A micro-batch writes to a folder of its number, so a batch that is run again replaces its own rows.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        keyed, unkeyed = batch.where(F.col(key).isNotNull()).dropDuplicates([key]), batch.where(F.col(key).isNull()).distinct()
-        earlier = _earlier(spark, target, number)
-        if earlier is not None:
-            keyed = not_done(keyed, earlier, key)
-            # A set difference, in which nulls are equal.
-            unkeyed = unkeyed.subtract(earlier.where(F.col(key).isNull()).select(*batch.columns))
-        keyed.unionByName(unkeyed).withColumn("length", F.length("text")).write.mode("overwrite").parquet(f"{target}/batch={number}")
-
-    stream = spark.readStream.schema(schema).json(source)
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True)
-
-
-def _earlier(spark: SparkSession, target: str, number: int) -> DataFrame | None:
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(target)
-    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(at):
-        return None
-    names = [s.getPath().getName() for s in fs.listStatus(at) if s.isDirectory()]
-    kept = [f"{target}/{n}" for n in names if n.startswith("batch=") and int(n[6:]) < number]
-    return spark.read.parquet(*kept) if kept else None
+        batch.withColumn("length", F.length("text")).write.mode("overwrite").parquet(f"{target}/batch={number}")
+
+    out = first_seen(rows, key, expiry).writeStream.foreachBatch(write)
+    return out.option("checkpointLocation", checkpoint).trigger(availableNow=True)
+
+
+def ingest_messages(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, key: str = "message_id", expiry: str | None = None):
+    """``ingest`` from a folder of JSON files."""
+    return ingest(spark.readStream.schema(schema).json(source), target, checkpoint, key, expiry)
