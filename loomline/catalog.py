@@ -126,21 +126,27 @@ def fd_check_ts(spark, d):
     return clean.dependency_breaks(_table(spark, d, "events").withColumn("ts", F.date_trunc("minute", "ts")), "ts", "event_type")
 
 
-@query(f"WITH {MESSAGES} SELECT conv_id || '_' || message_id || '_msg' AS chunk_id, text AS content, length(text) // 4 AS token_count, 0 AS reply_count FROM m WHERE turn = 0 "
-       f"UNION ALL SELECT conv_id || '_' || message_id || '_reply', text, length(text) // 4, NULL FROM m WHERE turn > 0".replace("0 AS reply_count", "(SELECT count(*) FROM conversations c WHERE c.conv_id = m.conv_id AND c.turn > 0 AND c.text IS NOT NULL) AS reply_count").replace(", NULL FROM", ", 0 FROM"))
+@query(f"""WITH {MESSAGES}, n AS (SELECT conv_id, count(*) FILTER (WHERE turn > 0) AS n_replies, any_value(message_id) FILTER (WHERE turn = 0) AS parent FROM m GROUP BY conv_id)
+  SELECT conv_id || '_' || message_id || CASE WHEN turn = 0 THEN '_msg' ELSE '_reply' END AS chunk_id, text AS content, length(text) // 4 AS token_count, CASE WHEN turn = 0 THEN n_replies ELSE 0 END AS reply_count,
+    CASE WHEN turn > 0 THEN parent END AS parent_message_id, message_id, role AS "user", ts AS "timestamp", turn = 0 AND n_replies > 0 AS is_thread_parent, turn > 0 AS is_thread_reply FROM m JOIN n USING (conv_id) WHERE turn = 0 OR parent IS NOT NULL""")
 def chunk_individual(spark, d):
     """A chunk per parent and per reply."""
-    return chunk.individual(_threads(spark, d)).select("chunk_id", "content", "token_count", "reply_count")
+    return chunk.individual(_threads(spark, d)).select(
+        "chunk_id", "content", "token_count", "reply_count", "parent_message_id", "message_id", "user", "timestamp", "is_thread_parent", "is_thread_reply"
+    )
 
 
 @query(f"""WITH {MESSAGES}, p AS (SELECT * FROM m WHERE turn = 0),
-  r AS (SELECT conv_id, string_agg('[Reply by ' || role || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY turn) AS body, count(*) AS n, list(DISTINCT role) AS roles FROM m WHERE turn > 0 GROUP BY conv_id),
-  j AS (SELECT p.conv_id, p.message_id, p.role, p.text, r.body, coalesce(r.n, 0) AS reply_count, list_sort(list_distinct(list_concat([p.role], coalesce(r.roles, [])))) AS people FROM p LEFT JOIN r USING (conv_id)),
+  r AS (SELECT conv_id, string_agg('[Reply by ' || role || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY turn) AS body, count(*) AS n, list(DISTINCT role) AS roles, string_agg(message_id, ',' ORDER BY turn) AS reply_ids FROM m WHERE turn > 0 GROUP BY conv_id),
+  j AS (SELECT p.conv_id, p.message_id, p.role, p.ts, p.text, r.body, r.reply_ids, coalesce(r.n, 0) AS reply_count, list_sort(list_distinct(list_concat([p.role], coalesce(r.roles, [])))) AS people FROM p LEFT JOIN r USING (conv_id)),
   c AS (SELECT *, CASE WHEN reply_count > 0 THEN '[Original Message by ' || role || ']' || chr(10) || text || chr(10) || chr(10) || body ELSE text END AS content FROM j)
-  SELECT conv_id || '_' || message_id || CASE WHEN reply_count > 0 THEN '_thread' ELSE '_standalone' END AS chunk_id, content, length(content) // 4 AS token_count, reply_count, array_to_string(people, ',') AS participants FROM c""")
+  SELECT conv_id || '_' || message_id || CASE WHEN reply_count > 0 THEN '_thread' ELSE '_standalone' END AS chunk_id, content, length(content) // 4 AS token_count, reply_count, array_to_string(people, ',') AS participants,
+    CASE WHEN reply_count > 0 THEN message_id END AS parent_message_id, reply_ids AS reply_message_ids, reply_count = 0 AS is_standalone, CASE WHEN reply_count = 0 THEN message_id END AS message_id, CASE WHEN reply_count = 0 THEN role END AS "user", CASE WHEN reply_count = 0 THEN ts END AS "timestamp" FROM c""")
 def chunk_thread(spark, d):
     """D3: a parent with its replies as one text."""
-    return chunk.threads(_threads(spark, d)).select("chunk_id", "content", "token_count", "reply_count", "participants")
+    return chunk.threads(_threads(spark, d)).select(
+        "chunk_id", "content", "token_count", "reply_count", "participants", "parent_message_id", "reply_message_ids", "is_standalone", "message_id", "user", "timestamp"
+    )
 
 
 WINDOWS = f"""{MESSAGES}, o AS (SELECT *, length(text) // 4 AS tok, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM m),
@@ -169,11 +175,13 @@ def chunk_token_windows_fold(spark, d):
 
 @query(f"""WITH RECURSIVE {WINDOWS}, b AS (SELECT o.conv_id, w.win, o.turn, o.ts, w.truncated,
     CASE WHEN w.truncated THEN substr(text, 1, floor({float(BUDGET)}::DOUBLE * (length(text)::DOUBLE / tok::DOUBLE) * 0.9::DOUBLE)::INT) || '...' ELSE '[Message by ' || role || ' at ' || ts || ']' || chr(10) || text END AS line FROM w JOIN o USING (conv_id, i)),
-  g AS (SELECT conv_id, win, string_agg(line, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY turn) AS content, count(*) AS message_count, arg_min(ts, turn) AS start_timestamp, arg_max(ts, turn) AS end_timestamp, bool_or(truncated) AS truncated FROM b GROUP BY ALL)
-  SELECT conv_id || '_window_' || win AS chunk_id, content, length(content) // 4 AS token_count, message_count, start_timestamp, end_timestamp, truncated FROM g""")
+  g AS (SELECT conv_id, win, string_agg(line, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY turn) AS content, count(*) AS message_count, arg_min(ts, turn) AS start_timestamp, arg_max(ts, turn) AS end_timestamp, bool_or(truncated) AS truncated, bool_or(turn % 7 = 3) AS has_threaded_messages FROM b GROUP BY ALL)
+  SELECT conv_id || '_window_' || win AS chunk_id, content, length(content) // 4 AS token_count, message_count, start_timestamp, end_timestamp, truncated, has_threaded_messages FROM g""")
 def window_render(spark, d):
-    """Windows as texts, messages over the budget cut."""
-    return chunk.windows(_parents(spark, d), BUDGET).select("chunk_id", "content", "token_count", "message_count", "start_timestamp", "end_timestamp", "truncated")
+    """Windows as texts, messages over the budget cut; every seventh message stands as one with a thread."""
+    reply = F.array(F.struct("message_id", "timestamp", "text"))
+    rows = _parents(spark, d).withColumn("thread", F.when(F.col("pos") % 7 == 3, reply).otherwise(F.slice(reply, 1, 0)))
+    return chunk.windows(rows, BUDGET).select("chunk_id", "content", "token_count", "message_count", "start_timestamp", "end_timestamp", "truncated", "has_threaded_messages")
 
 
 @query("SELECT doc_id, CASE WHEN length(text) // 4 > 100 THEN substr(text, 1, floor(100.0::DOUBLE * (length(text)::DOUBLE / (length(text) // 4)::DOUBLE) * 0.9::DOUBLE)::INT) || '...' ELSE text END AS cut FROM documents")

@@ -19,16 +19,24 @@ BUDGET = 4096
 
 
 def individual(messages: DataFrame) -> DataFrame:
-    """One chunk per parent and per reply."""
+    """One chunk per parent and per reply, with who wrote it, when, and its place in the thread."""
     head = ["channel_id", "channel_name", "pos"]
-    parents = messages.select(*head, F.lit(-1).alias("reply_pos"), F.concat_ws("_", "channel_id", "message_id", F.lit("msg")).alias("chunk_id"), F.col("text").alias("content"), F.size("thread").cast("bigint").alias("reply_count"), F.lit(None).cast("string").alias("parent_message_id"))
+    parents = messages.select(
+        *head, F.lit(-1).alias("reply_pos"), F.concat_ws("_", "channel_id", "message_id", F.lit("msg")).alias("chunk_id"), F.col("text").alias("content"),
+        F.size("thread").cast("bigint").alias("reply_count"), F.lit(None).cast("string").alias("parent_message_id"),
+        "message_id", "user", "timestamp", (F.size("thread") > 0).alias("is_thread_parent"), F.lit(False).alias("is_thread_reply"),
+    )
     replies = messages.select(*head, F.col("message_id").alias("parent"), F.posexplode("thread").alias("reply_pos", "r"))
-    replies = replies.select(*head, "reply_pos", F.concat_ws("_", "channel_id", "r.message_id", F.lit("reply")).alias("chunk_id"), F.col("r.text").alias("content"), F.lit(0).cast("bigint").alias("reply_count"), F.col("parent").alias("parent_message_id"))
+    replies = replies.select(
+        *head, "reply_pos", F.concat_ws("_", "channel_id", "r.message_id", F.lit("reply")).alias("chunk_id"), F.col("r.text").alias("content"),
+        F.lit(0).cast("bigint").alias("reply_count"), F.col("parent").alias("parent_message_id"),
+        "r.message_id", "r.user", "r.timestamp", F.lit(False).alias("is_thread_parent"), F.lit(True).alias("is_thread_reply"),
+    )
     return parents.union(replies).withColumn("chunk_type", F.lit("individual_message")).withColumn("token_count", token_count(F.col("content")))
 
 
 def threads(messages: DataFrame) -> DataFrame:
-    """A parent with replies as one text; a parent without as a standalone chunk."""
+    """A parent with replies as one text, with the ids of both; a parent without as a standalone chunk, with its user and time."""
     has = F.size("thread") > 0
     original = F.concat(F.lit("[Original Message by "), "user", F.lit("]\n"), "text", F.lit("\n\n"))
     replies = F.array_join(F.transform("thread", lambda r: F.concat(F.lit("[Reply by "), r["user"], F.lit("]\n"), r["text"])), "\n\n")
@@ -39,6 +47,8 @@ def threads(messages: DataFrame) -> DataFrame:
         F.concat_ws("_", "channel_id", "message_id", F.when(has, F.lit("thread")).otherwise(F.lit("standalone"))).alias("chunk_id"),
         F.lit("thread").alias("chunk_type"), content.alias("content"), token_count(content).alias("token_count"),
         F.size("thread").cast("bigint").alias("reply_count"), F.array_join(people, ",").alias("participants"),
+        F.when(has, F.col("message_id")).alias("parent_message_id"), F.when(has, F.array_join("thread.message_id", ",")).alias("reply_message_ids"),
+        (~has).alias("is_standalone"), *[F.when(~has, F.col(c)).alias(c) for c in ("message_id", "user", "timestamp")],
     )
 
 
@@ -100,26 +110,41 @@ def folded_window_numbers(messages: DataFrame, budget: int = BUDGET) -> DataFram
 
 
 def windows(messages: DataFrame, budget: int = BUDGET) -> DataFrame:
-    """One chunk per window: rendered text, member ids, first and last timestamp, tokens of the rendering."""
-    placed = window_numbers(messages, budget)
+    """One chunk per window: rendered text, member ids, first and last timestamp, tokens of the rendering, and whether a member has a thread."""
+    has = F.size("thread") > 0 if "thread" in messages.columns else F.lit(False)
+    placed = window_numbers(messages.withColumn("has_thread_", F.coalesce(has, F.lit(False))).drop("thread"), budget)
     # A message over the budget stands alone, cut and without a header.
     whole = F.concat(F.lit("[Message by "), "user", F.lit(" at "), "timestamp", F.lit("]\n"), "text")
     line = F.when(F.col("truncated"), truncate_to_tokens(F.col("text"), budget)).otherwise(whole)
     rows = F.array_sort(F.collect_list(F.struct("pos", "message_id", "timestamp", line.alias("line"))))
-    grouped = placed.groupBy("channel_id", "channel_name", "window").agg(rows.alias("rows"), F.bool_or("truncated").alias("truncated"))
+    grouped = placed.groupBy("channel_id", "channel_name", "window").agg(rows.alias("rows"), F.bool_or("truncated").alias("truncated"), F.bool_or("has_thread_").alias("has_threaded_messages"))
     content = F.array_join("rows.line", "\n\n---\n\n")
     return grouped.select(
         "channel_id", "channel_name", "window", F.concat_ws("_", "channel_id", F.lit("window"), "window").alias("chunk_id"),
         content.alias("content"), token_count(content).alias("token_count"), F.size("rows").cast("bigint").alias("message_count"),
-        F.array_join("rows.message_id", ",").alias("message_ids"), F.element_at("rows.timestamp", 1).alias("start_timestamp"), F.element_at("rows.timestamp", -1).alias("end_timestamp"), "truncated",
+        F.array_join("rows.message_id", ",").alias("message_ids"), F.element_at("rows.timestamp", 1).alias("start_timestamp"), F.element_at("rows.timestamp", -1).alias("end_timestamp"), "truncated", "has_threaded_messages",
     )
 
 
+#: Metadata by kind of chunk; what is null is left out.
+METADATA = {
+    "individual_message": ("message_id", "user", "timestamp", "is_thread_parent", "is_thread_reply", "reply_count", "parent_message_id"),
+    "thread": ("parent_message_id", "reply_count", "reply_message_ids", "participants", "message_id", "user", "timestamp", "is_standalone"),
+    "sliding_window": ("message_ids", "message_count", "start_timestamp", "end_timestamp", "has_threaded_messages"),
+}
+
+
+def _metadata(kind: str):
+    entries = [F.struct(F.lit(c).alias("key"), F.col(c).cast("string").alias("value")) for c in METADATA[kind]]
+    return F.map_from_entries(F.filter(F.array(*entries), lambda e: e["value"].isNotNull())).alias("metadata")
+
+
 def chunk_channel(messages: DataFrame, budget: int = BUDGET) -> DataFrame:
-    """All three kinds in one table of (chunk_id, chunk_type, channel_id, channel_name, content, token_count)."""
+    """All three kinds in one table of (chunk_id, chunk_type, channel_id, channel_name, content, token_count, metadata)."""
     common = ["chunk_id", "chunk_type", "channel_id", "channel_name", "content", "token_count"]
     packed = windows(messages, budget).withColumn("chunk_type", F.lit("sliding_window"))
-    return individual(messages).select(*common).union(threads(messages).select(*common)).union(packed.select(*common))
+    parts = [df.select(*common, _metadata(kind)) for kind, df in (("individual_message", individual(messages)), ("thread", threads(messages)), ("sliding_window", packed))]
+    return parts[0].union(parts[1]).union(parts[2])
 
 
 def merged_turns(turns: DataFrame, key: str = "conv_id", order: str = "turn") -> DataFrame:
