@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import functools
+import gc
 import re
 import tempfile
 import uuid
@@ -63,13 +64,17 @@ class Scratch:
         with _lean(self.spark):
             df.write.parquet(path)
         self.paths.setdefault(label, []).append(path)
-        _at_end(self.spark, path)
+        _written.setdefault(self.spark.sparkContext.applicationId, set()).add(path)
+        atexit.unregister(_remove_written)
+        atexit.register(_remove_written)
+        _let_go(self.spark)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *labels: str) -> None:
         for label in labels:
             for path in self.paths.pop(label):
                 drop_path(self.spark, path)
+                _written.get(self.spark.sparkContext.applicationId, set()).discard(path)
 
     def last(self, df: DataFrame, label: str) -> DataFrame:
         """df as a table, the only one left."""
@@ -100,15 +105,27 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(BATCH_ROWS, str(MOST_BATCH_ROWS))
 
 
-def _at_end(spark: SparkSession, path: str) -> None:
-    def remove():
-        try:
-            if not spark.sparkContext._jsc.sc().isStopped():
-                drop_path(spark, path)
-        except Exception:  # the JVM has gone; the cluster owns its checkpoint folder
-            pass
+#: Tables still there, by application: paths alone, so that no session or frame is held.
+_written: dict[str, set[str]] = {}
 
-    atexit.register(remove)
+
+def _remove_written() -> None:
+    spark = SparkSession.getActiveSession()
+    try:
+        for path in _written.pop(spark.sparkContext.applicationId, ()) if spark is not None else ():
+            drop_path(spark, path)
+    except Exception:  # the JVM has gone; the cluster owns its checkpoint folder
+        pass
+
+
+def _let_go(spark: SparkSession) -> None:
+    """Have the driver free what a written table no longer needs.
+
+    Plans, broadcasts and map statuses live as long as some frame in Python or the JVM does, and Spark's cleaner
+    hears of their end from a collection only; it asks for one itself, but each half hour.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
