@@ -95,6 +95,36 @@ def test_guess_costs_of_joined_words():
     assert len(words) > 10000 and secrets.guess_log10("something", words) < secrets.guess_log10("something")
 
 
+def test_random_letters_are_no_words():
+    words, rng = secrets.word_ranks(tokens.load_vocabulary(tokens.TOKENIZER_PATH)), random.Random(7)
+    for length, least in ((8, 0.95), (12, 0.99), (16, 0.99), (20, 0.99)):
+        values = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=length)) for _ in range(1000)]
+        assert sum(secrets.guess_log10(v, words) >= 8 for v in values) >= least * len(values)
+    # Words of four languages, chosen before the limit was: nine of ten at least stay placeholders.
+    natural = """wunderbar geheimnis benutzername kennwort schluessel motdepasse utilisateur bibliotheque contrasena usuario ejemplo clave
+        internacional naturalmente verwaltung zugangsdaten bonjour monde administrateur exemple beispiel password changeme placeholder
+        yourtokenhere examplevalue fehlermeldung geschwindigkeit desarrollo aplicacion""".split()
+    assert 10 * sum(secrets.guess_log10(v, words) < 8 for v in natural) >= 9 * len(natural)
+
+
+def test_repeated_blocks():
+    assert secrets.guess_log10("q7Rq7Rq7Rq7R") < 8 < secrets.guess_log10("q7Rx7Lq9Rq4B")
+    assert [p for p in secrets.segmented("!q7Rq7Rq7Rq7")[1]] == [("brute", "!"), ("repeat", "q7Rq7Rq7Rq7")]
+    assert list(secrets.repeated_blocks("abab")) == [(0, 4, "repeat", 2 * np.log10(26) + np.log10(2))]
+    assert list(secrets.repeated_blocks("aba")) == list(secrets.repeated_blocks("")) == []
+
+
+@given(st.text("ab1", max_size=24))
+@settings(max_examples=200, deadline=None)
+def test_repeated_blocks_are_the_longest_periods(value):
+    expected = set()
+    for size in range(2, secrets.LONGEST_BLOCK + 1):
+        fits = lambda i, j: j - i >= 2 * size and 0 <= i and j <= len(value) and all(value[t] == value[t + size] for t in range(i, j - size))
+        expected |= {(i, j, size) for i in range(len(value)) for j in range(i, len(value) + 1) if fits(i, j) and not fits(i - 1, j) and not fits(i, j + 1)}
+    assert len(list(secrets.repeated_blocks(value))) == len(expected)
+    assert {(i, j) for i, j, *_ in secrets.repeated_blocks(value)} == {(i, j) for i, j, _ in expected}
+
+
 @given(st.lists(st.binary(min_size=1, max_size=1500), min_size=1, max_size=5))
 @settings(max_examples=25, deadline=None)
 def test_flac_round_trip(payloads):

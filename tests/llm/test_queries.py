@@ -12,6 +12,7 @@ import pandas as pd
 import pytest
 
 from loomline.llm import cotraining, flac, latent, packing, queries, secrets, tokens, urls
+from tests.llm.test_operators import brute_guess
 
 
 def rows(df):
@@ -50,6 +51,26 @@ def test_op1_equals_counting(spark, data, docs):
     assert got == expected
 
 
+def test_op2_guess_spans_equal_brute_force(spark, data, docs, tmp_path):
+    """Each document with a value of its own words, digits and hash in credential context, by trying all segmentations."""
+    words = secrets.word_ranks(tokens.load_vocabulary(tokens.TOKENIZER_PATH))
+
+    def value(i, text):
+        w, h = text.split() or ["none"], hashlib.md5(text.encode()).hexdigest()
+        return (w[0] + w[-1], w[0] + "2019", h[:14], w[0][:4] * 3, "".join(c for c in h if c.isalpha())[:12] or "abcdef")[i % 5]
+
+    planted = docs.assign(text=[f"{t} password: {value(i, t)}" for i, t in enumerate(docs.text)])
+    planted.to_parquet(tmp_path / "documents.parquet")
+    got = {r["doc_id"]: r for r in queries.op2_secret_scan(spark, str(tmp_path)).collect()}
+    counts = Counter()
+    for t in planted.itertuples():
+        judged = [(m.start(1), m.end(1), brute_guess(m.group(1), words) >= 8) for m in secrets.CONTEXT.finditer(t.text)]
+        counts.update(kept for *_, kept in judged)
+        expected = {f"guess:{i}:{j}" for i, j, kept in judged if kept}
+        assert {s for s in got[t.doc_id]["spans"].split(",") if s.startswith("guess")} == expected and got[t.doc_id]["n_guess"] == len(expected)
+    assert min(counts[True], counts[False]) > 20, counts
+
+
 def test_op2_equals_plain_patterns(spark, data, docs):
     got = {r["doc_id"]: r for r in queries.op2_secret_scan(spark, data).collect()}
     for t in docs.itertuples():
