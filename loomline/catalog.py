@@ -666,4 +666,4 @@ def agent_loop(spark, d):
     return dataset.agent_loop(spark, _docs(spark, d), asked, _judged(spark, d), providers.LocalProvider())
 
 
-from . import catalog_archive, catalog_index  # noqa: E402, F401  register the rest of the queries
+from . import catalog_archive, catalog_index, catalog_stream  # noqa: E402, F401  register the rest of the queries

@@ -1,13 +1,14 @@
 """The archive as a stream, killed and started again, and ingest by keyed state."""
 
 import json
+import random
 import shutil
 import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from loomline.sources import archive_stream
+from loomline.sources import archive_stream, integrity
 from loomline.streaming import ingest
 
 CLIENT = "tests.test_streams:client"
@@ -123,3 +124,27 @@ def test_keys_expire(spark, tmp_path):
     got = sorted((r["message_id"], r["text"]) for r in spark.read.parquet(target).select("message_id", "text").collect())
     assert ("a", "late") in got and {k for k, _ in got} == {"a", "b", "c", "d"}
     assert spark.read.parquet(target).where(F.col("length") != F.length("text")).isEmpty()
+
+
+def test_line_numbers_over_splits(spark, tmp_path):
+    rng = random.Random(5)
+    faults = {"": "blank", " \t": "blank", '{"a": 1': "broken", "[1]": "broken", "no": "broken", '{"a": 1} x': "broken", '{"a": 1}, {"b": 2}': "broken", '{"a": 1}] [': "broken", '{"a": 1}}': "broken"}
+    expected, totals = set(), {}
+    for name, n in (("a", 3000), ("b", 1), ("c", 700)):
+        lines = [rng.choice(list(faults)) if rng.random() < 0.1 else json.dumps({"i": i, "t": "é" * rng.randrange(60)}, ensure_ascii=False) for i in range(n)]
+        (tmp_path / f"{name}.jsonl").write_text("\n".join(lines) + ("\n" if name != "c" else ""))
+        if name == "c" and lines[-1] == "":
+            lines.pop()
+        expected |= {(name, i, faults[x], x) for i, x in enumerate(lines, 1) if x in faults}
+        kinds = [faults.get(x) for x in lines]
+        totals[name] = (len(lines), kinds.count("blank"), kinds.count("broken"))
+    (tmp_path / "none.jsonl").write_text("")
+    base = lambda uri: uri.rsplit("/", 1)[1].removesuffix(".jsonl")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 20
+        assert {(base(r["file"]), r["line"], r["fault"], r["value"]) for r in integrity.bad_lines(spark, str(tmp_path)).collect()} == expected
+        assert {base(r["file"]): (r["n_lines"], r["n_blank"], r["n_broken"]) for r in integrity.line_report(spark, str(tmp_path)).collect()} == totals
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
