@@ -137,7 +137,7 @@ def bm25_lists(docs: DataFrame, terms: DataFrame, k: int = 100) -> DataFrame:
     if len(pairs) > MOST_TERMS:
         return top_k(bm25_scores(docs, terms), k)
     asked = spark.sparkContext.broadcast(Asked(pairs))
-    rows = docs.select("doc_id", "text")
+    rows = docs.select("doc_id", "text").limit(0) if not pairs else docs.select("doc_id", "text")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         df, n, total = np.zeros(len(asked.value.words), np.int64), 0, 0
@@ -165,7 +165,8 @@ def bm25_lists(docs: DataFrame, terms: DataFrame, k: int = 100) -> DataFrame:
                 i, j, scores = q.scores(doc, word, weight, len(part))
                 running.add(j, part["doc_id"].to_numpy()[i], scores)
         query, found, scores = running.best()
-        yield pd.DataFrame({"query_id": [q.ids[x] for x in query], "doc_id": found, "score": scores})
+        if len(query):  # columns without a row have no type
+            yield pd.DataFrame({"query_id": [q.ids[x] for x in query], "doc_id": found, "score": scores})
 
     kinds = [terms.schema["query_id"].dataType.simpleString(), docs.schema["doc_id"].dataType.simpleString()]
     found = rows.mapInPandas(search, f"query_id {kinds[0]}, doc_id {kinds[1]}, score double")

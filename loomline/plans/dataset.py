@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.ids import short_md5
 from ..functions.text import json_object_text
 from ..operators import export, metrics, retrieval
+from ..sources.scratch import shared_folder
 from . import providers
 
 
@@ -36,33 +37,54 @@ def build(chunks: DataFrame, stored: DataFrame, provider, per_chunk: int = 3) ->
     return validated(synthetic_queries(todo, provider, per_chunk), provider)
 
 
-def best_rank(lists: DataFrame, qrels: DataFrame) -> DataFrame:
-    return metrics.first_relevant_rank(retrieval.fused(lists), qrels)
+def searched_once(spark: SparkSession, docs: DataFrame, terms: DataFrame, folder: str, step: int, k: int = 100) -> DataFrame:
+    """(term, doc_id, rank) of all terms asked in the rounds so far; only those that no earlier round asked are searched now.
 
-
-def agent_loop(spark: SparkSession, docs: DataFrame, queries: DataFrame, qrels: DataFrame, provider, most_steps: int = 10, scratch: str | None = None) -> DataFrame:
-    """Rounds of propose, search, fuse, rank over all queries that have not found rank 1 yet.
-
-    A round is one plan; its outcome is written and reread, so lineage stays one round long. An
-    action without calls counts as a step. Returns (query_id, step, n_calls, first_rank, hit_20).
+    The folder keeps a round's new terms, those without a hit too, and their lists.
+    """
+    new = terms.where("term is not null").distinct()
+    if step:
+        new = new.join(spark.read.schema("term string").parquet(f"{folder}/terms"), "term", "left_anti")
+    new.write.parquet(f"{folder}/terms/step={step}")
+    new = spark.read.schema("term string").parquet(f"{folder}/terms/step={step}")
+    lists = retrieval.bm25_lists(docs, new.select(F.col("term").alias("query_id"), "term"), k).select(F.col("query_id").alias("term"), "doc_id", "rank")
+    lists.write.parquet(f"{folder}/lists/step={step}")
+    return spark.read.schema(lists.schema).parquet(f"{folder}/lists").select("term", "doc_id", "rank")
+
+
+def rerank_by_provider(run: DataFrame, queries: DataFrame, docs: DataFrame, provider) -> DataFrame:
+    """A run in the order of the provider's scores of its texts; where a call fails the score counts 0."""
+    told = providers.call(retrieval.with_texts(run, queries, docs).withColumnRenamed("content", "text"), provider, "rerank", ["query", "text"])
+    return retrieval.reranked(run, told.select("query_id", "doc_id", F.expr("try_cast(value AS double)").alias("score")))
+
+
+def agent_loop(
+    spark: SparkSession, docs: DataFrame, queries: DataFrame, qrels: DataFrame, provider, most_steps: int = 10, scratch: str | None = None, rerank: bool = True
+) -> DataFrame:
+    """Rounds of propose, search, fuse, rerank, rank over all queries that have not found rank 1 yet.
+
+    A round's calls and its outcome are written and reread, so a provider is asked once and lineage stays one
+    round long. Lists are kept over rounds: a term is searched once, whichever queries and rounds ask for it.
+    An action without calls counts as a step. Returns (query_id, step, n_calls, first_rank, hit_20).
     """
-    shared = scratch or spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    root = f"{shared}/agent-{uuid.uuid4().hex}"
+    root = f"{scratch}/agent-{uuid.uuid4().hex}" if scratch else shared_folder(spark, "agent")
     open_, out = queries.select("query_id", "query"), None
     for step in range(most_steps):
         acted = providers.call(open_.withColumn("step", F.lit(step)), provider, "act", ["query", "step"])
         action = F.from_json(json_object_text(F.col("value")), "struct<search_calls:array<string>,reasoning:string>")
         calls = acted.select("query_id", F.posexplode(action["search_calls"]).alias("pos", "term"))
-        lists = retrieval.keyword_lists(docs, calls.select("query_id", (F.col("pos") + 1).alias("pos"), "term"))
-        ranked = best_rank(lists, qrels)
+        calls.write.parquet(f"{root}/calls/step={step}")
+        calls = spark.read.schema(calls.schema).parquet(f"{root}/calls/step={step}")
+        lists = searched_once(spark, docs, calls.select("term"), root, step).join(calls, "term")
+        run = retrieval.fused(lists.select("query_id", (F.col("pos") + 1).alias("list_id"), "rank", "doc_id"))
+        run = rerank_by_provider(run, queries, docs, provider) if rerank else run
+        ranked = metrics.first_relevant_rank(run, qrels)
         counted = calls.groupBy("query_id").agg(F.count("*").alias("n_calls"))
         row = open_.select("query_id").join(counted, "query_id", "left").join(ranked, "query_id", "left")
         row = row.select("query_id", F.lit(step).alias("step"), *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("n_calls", "first_rank", "hit_20")])
-        row.write.parquet(f"{root}/step-{step}")
-        row = spark.read.schema(row.schema).parquet(f"{root}/step-{step}")
-        out = row if out is None else out.union(row)
+        row.write.parquet(f"{root}/outcomes/round={step}")
+        # One scan of all rounds, however many there are.
+        out = spark.read.schema(row.schema).parquet(*[f"{root}/outcomes/round={i}" for i in range(step + 1)])
         open_ = queries.select("query_id", "query").join(out.where("first_rank = 1"), "query_id", "left_anti")
         if open_.isEmpty():
             break
