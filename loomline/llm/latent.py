@@ -2,11 +2,11 @@
 
 * *Terms* are words hashed into 2^14 columns; their inverse frequencies count every word
   of every document.
-* *Basis.* A randomised SVD of TF-IDF passages gives ``rank`` directions: two passes over
-  a table of sparse passages, each a map whose blocks are summed by key, with a small
-  orthonormalisation in between. The table holds all benchmark passages and
-  one passage of each of ``sample_docs`` documents (those with the least id hashes); the basis is
-  fitted on that bounded sample, the search reads every passage of every document.
+* *Basis.* A randomised SVD of TF-IDF passages gives ``rank`` directions. Every passage of every
+  document and of the benchmark is added, with a random sign, to one of ``ROWS`` random rows: a
+  sketch whose expected Gram matrix is that of all passages, of fixed size, and whose leading right
+  singular vectors are the basis. Each task sums its share; shares are summed by key. The
+  benchmark's sketch weighs as much as the documents', however many these are.
 * *Candidates.* Each document is cut into windows of 48 words, one every 24, so that any
   24 words in a row lie within one. Windows and benchmark passages meet by cosine in the
   basis, block by block as matrix products. Besides, every run of ``RUN`` words that a
@@ -46,7 +46,9 @@ from .textkernel import mixed, text_groups, words_of
 
 TERM_BITS, HALF = 14, 24
 DIMS = 1 << TERM_BITS
-RANK, EXTRA, SAMPLE_DOCS, SEED = 224, 16, 4096, 7
+RANK, SEED = 224, 7
+#: Rows of the sketch of all passages.
+ROWS = 512
 MIN_COSINE = 0.3
 #: (lcs_ratio, answer_ratio) that confirm an item: a near copy, or a paraphrase.
 NEAR_COPY, PARAPHRASE = (0.75, 0.0), (0.55, 0.5)
@@ -107,80 +109,63 @@ def inverse_frequency(counts: np.ndarray) -> np.ndarray:
     return (np.log1p(counts.sum() / (counts + 1.0)) ** 2).astype(np.float32)
 
 
-def passages(texts: DataFrame, width: int, one_each: bool = False) -> DataFrame:
-    """(terms): each text's runs of ``width`` words as packed term numbers; or one run of each, by a hash."""
-    ddl = "terms binary"
+def sketch(texts: DataFrame, idf: np.ndarray, width: int) -> np.ndarray:
+    """ROWS x DIMS: the signed sums of all texts' passages of ``width`` words, as TF-IDF rows of unit length.
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for _, raw, offsets in text_groups(batch.column(0), GROUP_BYTES):
-                hashes, doc, _ = words_of(raw, offsets)
-                terms, ends = _terms(hashes).astype(np.int32), np.cumsum(np.bincount(doc, minlength=len(offsets) - 1))
-                for a, b in zip(np.concatenate([[0], ends[:-1]]).tolist(), ends.tolist(), strict=True):
-                    runs = range(a, b, width)
-                    if one_each and runs:
-                        runs = [runs[int(hashes[a]) % len(runs)]]
-                    out += [(terms[r : min(r + width, b)].tobytes(),) for r in runs]
-            yield record_batch(out, arrow_schema(ddl))
-
-    return texts.select("text").mapInArrow(cut, ddl)
-
-
-def randomised_svd(table: DataFrame, idf: np.ndarray, rank: int = RANK, extra: int = EXTRA) -> np.ndarray:
-    """DIMS x rank: leading right singular vectors of the table's TF-IDF rows of unit length.
-
-    A random start, one power step and a Rayleigh-Ritz step: each pass maps partitions to
-    their share of A'(A Q), in blocks of a fixed total size, and sums the blocks.
+    texts: doc_id and text. Row and sign depend on a passage's text, its place and its text's id, so that
+    neither order nor partitions matter and copies do not all get one sign.
     """
-    width = rank + extra
-    q = _orthonormal(np.random.default_rng(SEED).standard_normal((DIMS, width), dtype=np.float32))
-    z = _gram_times(table, idf, q)
-    del q
-    basis = _orthonormal(z)
-    z = _gram_times(table, idf, basis)
-    small = basis.T @ z
-    del z
-    values, vectors = np.linalg.eigh((small + small.T) / 2)
-    # In place, rows at a time, so that the driver holds no whole matrix in double precision.
-    vectors = vectors[:, np.argsort(-values)[:rank]].astype(np.float64)
-    for a in range(0, DIMS, 1024):
-        basis[a : a + 1024, :rank] = basis[a : a + 1024] @ vectors
-    return np.ascontiguousarray(basis[:, :rank])
-
-
-def _orthonormal(z: np.ndarray) -> np.ndarray:
-    """Orthonormal columns that span those of z, by its small Gram matrix, twice; in place."""
-    for _ in range(2):
-        gram = sum(z[a : a + 1024].T.astype(np.float64) @ z[a : a + 1024] for a in range(0, len(z), 1024))
-        values, vectors = np.linalg.eigh(gram)
-        turn = (vectors / np.sqrt(np.maximum(values, max(values[-1] * 1e-12, 1e-30)))).astype(np.float32)
-        for a in range(0, len(z), 1024):
-            z[a : a + 1024] = z[a : a + 1024] @ turn
-    return z
-
-
-def _gram_times(table: DataFrame, idf: np.ndarray, q: np.ndarray) -> np.ndarray:
-    shared = table.sparkSession.sparkContext.broadcast((idf, q))
-    n_blocks = 64
+    shared, n_blocks = texts.sparkSession.sparkContext.broadcast(idf), 64
 
     def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, basis = shared.value
-        total = np.zeros(basis.shape, np.float32)
+        total = np.zeros((ROWS, DIMS), np.float32)
         for batch in batches:
-            for packed in batch.column(0).to_pylist():
-                terms, tf = np.unique(np.frombuffer(packed, np.int32), return_counts=True)
-                row = weights[terms] * tf
-                row /= np.linalg.norm(row) or 1.0
-                total[terms] += np.outer(row, row @ basis[terms])
+            ids = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype(np.uint64)
+            for rows, raw, offsets in text_groups(batch.column(1), GROUP_BYTES):
+                hashes, doc, _ = words_of(raw, offsets)
+                if len(hashes):
+                    _add_passages(total, hashes, doc, ids[rows], shared.value, width)
         blocks = total.reshape(n_blocks, -1)
         yield record_batch([(i, b.tobytes()) for i, b in enumerate(blocks) if b.any()], arrow_schema(BLOCKS))
 
-    out = _summed(table.mapInArrow(share, BLOCKS), BLOCKS, (n_blocks, q.size // n_blocks), np.float32).reshape(q.shape)
+    # A task's share is as large as the whole sketch, so there is one a core, whatever the input's partitions.
+    few = texts.coalesce(texts.sparkSession.sparkContext.defaultParallelism)
+    out = _summed(few.mapInArrow(share, BLOCKS), BLOCKS, (n_blocks, ROWS * DIMS // n_blocks), np.float32).reshape(ROWS, DIMS)
     shared.destroy()
     return out
 
 
+def _add_passages(total: np.ndarray, hashes: np.ndarray, doc: np.ndarray, ids: np.ndarray, idf: np.ndarray, width: int) -> None:
+    """Adds each text's runs of ``width`` words to their rows of total, one unit row with a sign each."""
+    counts = np.bincount(doc, minlength=len(ids))
+    per = -(-counts // width)
+    place = np.arange(len(hashes)) - (np.cumsum(counts) - counts)[doc]
+    passage = (np.cumsum(per) - per)[doc] + place // width
+    heads = np.flatnonzero(place % width == 0)
+    content = np.add.reduceat(mixed(hashes + (place % width).astype(np.uint64)), heads)
+    luck = mixed(mixed(ids[doc[heads]] + np.uint64(SEED)) + mixed(content) + (place[heads] // width).astype(np.uint64))
+    keys, tf = np.unique(passage << TERM_BITS | _terms(hashes), return_counts=True)
+    passage, term = keys >> TERM_BITS, keys & (DIMS - 1)
+    value = idf[term] * tf
+    norm = np.sqrt(np.bincount(passage, value * value, minlength=len(heads)))
+    sign = np.where(luck >> np.uint64(63), -1.0, 1.0) / np.maximum(norm, 1e-12)
+    at = (luck % np.uint64(ROWS)).astype(np.int64)[passage] * DIMS + term
+    np.add.at(total.reshape(-1), at, (value * sign[passage]).astype(np.float32))
+
+
+def randomised_svd(sketched: np.ndarray, rank: int = RANK) -> np.ndarray:
+    """DIMS x rank: the sketch's leading right singular vectors; zeros beyond its own rank."""
+    columns = range(0, DIMS, 1024)
+    gram = sum(sketched[:, a : a + 1024].astype(np.float64) @ sketched[:, a : a + 1024].T.astype(np.float64) for a in columns)
+    values, vectors = np.linalg.eigh(gram)
+    values, vectors = values[::-1][:rank], vectors[:, ::-1][:, :rank]
+    turn = vectors * np.where(values > max(values[0] * 1e-10, 1e-30), 1 / np.sqrt(np.maximum(values, 1e-30)), 0.0)
+    basis = np.empty((DIMS, rank), np.float32)
+    for a in columns:
+        basis[a : a + 1024] = sketched[:, a : a + 1024].T @ turn
+    return basis
+
+
 class Item:
     """One benchmark item: its words, its answer's, and what a subsequence check needs of them."""
 
@@ -446,19 +431,19 @@ def item_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "
         yield block
 
 
-def fit_basis(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, sample_docs: int = SAMPLE_DOCS) -> tuple[np.ndarray, np.ndarray]:
-    """(basis, inverse frequencies): frequencies over all docs, the basis on the bounded sample."""
-    scratch = Scratch(docs.sparkSession)
+def fit_basis(docs: DataFrame, benchmark: DataFrame, rank: int = RANK) -> tuple[np.ndarray, np.ndarray]:
+    """(basis, inverse frequencies): both from every word of every document, the basis from all benchmark items besides."""
     idf = inverse_frequency(term_counts(docs))
-    # The sort carries ids and hashes only; the sampled texts are then met by id.
-    order = docs.select("doc_id", F.xxhash64("doc_id", F.length("text")).alias("order_")).orderBy("order_", "doc_id").limit(sample_docs)
-    sample = docs.join(F.broadcast(order.select("doc_id").distinct()), "doc_id", "left_semi")
-    texts = passages(benchmark.select(F.col("text").cast("string")), HALF).union(passages(sample, 2 * HALF, one_each=True))
-    # Few partitions: each adds a whole matrix of blocks to the sum.
-    table = scratch.cut(texts.repartition(4), "passages")
-    basis = randomised_svd(table, idf, rank)
-    scratch.drop("passages")
-    return basis, idf
+    items = benchmark.select(F.col("item_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    total = _scaled(sketch(docs, idf, 2 * HALF))
+    total += _scaled(sketch(items, idf, HALF))
+    return randomised_svd(total, rank), idf
+
+
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """x with a norm of one; in place."""
+    x /= np.linalg.norm(x) or 1.0
+    return x
 
 
 def find_contamination(

@@ -423,6 +423,22 @@ def test_latent_blocks_give_what_one_gives(spark, monkeypatch):
     assert {r["doc_id"] for r in latent.decontaminate(docs, bench).collect()} == set(range(7, 20))
 
 
+def test_latent_basis_is_fitted_on_every_document(spark):
+    # Documents past the 4096 of least hashes hold the only passages with these words, and theirs come last in a long text.
+    texts = [" ".join(f"{a}{i:02d}" for i in range(96)) for a in "xy"]
+    late = [r["id"] for r in spark.range(4500).orderBy(F.xxhash64("id", F.lit(len(texts[0])).cast("int")), "id").tail(404)]
+    docs = spark.range(4500).select(F.col("id").alias("doc_id"), F.when(F.col("id").isin(late), texts[1]).otherwise(texts[0]).alias("text"))
+    bench = spark.createDataFrame([(1, "one two three four five six")], "item_id long, text string")
+    basis, idf = latent.fit_basis(docs, bench)
+    for text in (*[" ".join(t.split()[a : a + 48]) for t in texts for a in (0, 48)], "one two three four five six"):
+        terms, tf = np.unique(latent._terms(np.array(latent._hash_list(text), np.uint64)), return_counts=True)
+        row = idf[terms] * tf
+        assert np.linalg.norm(row @ basis[terms]) > 0.99 * np.linalg.norm(row)
+    # Neither partitions nor their order matter.
+    one, many = (latent.sketch(df, idf, 48) for df in (docs.coalesce(1), docs.repartition(5)))
+    assert np.abs(one - many).max() < 1e-3 * np.abs(one).max() and (one.any(1)).sum() > 400
+
+
 def test_latent_copies_need_no_cosine():
     rng = random.Random(9)
     text = lambda n: " ".join(rng.choices([f"v{i}" for i in range(3000)], k=n))
