@@ -55,6 +55,8 @@ NEAR_COPY, PARAPHRASE = (0.75, 0.0), (0.55, 0.5)
 LEAST_WORDS, MARGIN = 5, 8
 #: Words in a row that are looked up exactly; LEAST_WORDS at most.
 RUN = 3
+#: Bits of a run's hash in the table that is tried first.
+RUN_BITS = 20
 #: Buckets of words in an item's table of positions; those of longer items than MOST_BITS words are not bounded.
 BUCKET_BITS, MOST_BITS = 10, 64
 #: 64-bit words of the coarser table that is tried first.
@@ -219,7 +221,8 @@ class Index:
     """What executors need to search: the weighted basis and the items, all of bounded size."""
 
     def __init__(self, basis: np.ndarray, idf: np.ndarray, items: list[Item]):
-        self.weighted = np.ascontiguousarray(basis * idf[:, None])
+        # The last row stands for no word.
+        self.weighted = np.concatenate([basis * idf[:, None], np.zeros((1, basis.shape[1]), np.float32)])
         self.items = items
         self.short = _short_items(items)
         self.pieces = [(i, a, b) for i, item in enumerate(items) if len(item.words) >= LEAST_WORDS for a, b in item.pieces()]
@@ -232,6 +235,8 @@ class Index:
         order = np.argsort(keys, kind="stable")
         # Each distinct run once, with where its places begin and how many they are.
         self.run_keys, self.run_first, self.run_count = np.unique(keys[order], return_index=True, return_counts=True)
+        self.run_marks = np.zeros(1 << RUN_BITS, bool)
+        self.run_marks[(self.run_keys & np.uint64((1 << RUN_BITS) - 1)).astype(np.int64)] = True
         self.run_item = np.repeat(np.arange(len(items)), sizes)[order]
         self.run_at = np.concatenate([np.zeros(0, np.int64), *[np.arange(n) for n in sizes]])[order]
         self.piece_item, self.piece_start, self.piece_end = np.array(self.pieces, np.int64).reshape(-1, 3).T
@@ -285,12 +290,7 @@ class Index:
         half_doc = np.repeat(np.arange(n_docs), halves)
         nth = np.arange(len(half_doc)) - np.repeat(np.cumsum(halves) - halves, halves)
         starts = begins[half_doc] + nth * HALF
-        # Half windows in slices, so that the gathered rows stay small however long a text is.
-        terms, sums = _terms(hashes), np.empty((len(starts), self.weighted.shape[1]), np.float32)
-        for a in range(0, len(starts), 512):
-            part = starts[a : a + 512]
-            stop = starts[a + 512] if a + 512 < len(starts) else len(hashes)
-            sums[a : a + 512] = np.add.reduceat(self.weighted[terms[part[0] : stop]], part - part[0], axis=0)
+        sums = self._sums(_terms(hashes), np.repeat(starts, HALF).reshape(-1, HALF) + np.arange(HALF), ends[half_doc])
         paired = sums.copy()
         joined = np.flatnonzero(half_doc[1:] == half_doc[:-1])
         paired[joined] += sums[joined + 1]
@@ -331,16 +331,29 @@ class Index:
         for (d, i), (cosine, lcs, ratio, answer, at) in found.items():
             yield base + d, i, cosine, lcs, ratio, answer, at
 
+    def _sums(self, terms: np.ndarray, places: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The weighted rows of each half window's words, summed word by word over slices that stay in a core's cache."""
+        words = np.where(places < ends[:, None], terms[np.minimum(places, len(terms) - 1)], DIMS)
+        sums = np.zeros((len(words), self.weighted.shape[1]), np.float32)
+        row = np.empty((256, sums.shape[1]), np.float32)
+        for a in range(0, len(words), 256):
+            for at in words[a : a + 256].T.copy():
+                sums[a : a + 256] += self.weighted.take(at, 0, row[: len(at)], "clip")
+        return sums
+
     def _shared_runs(self, hashes: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(word, run): each place where a text has a run of an item, once per such run."""
         keys = _runs(hashes)
         if not len(keys) or not len(self.run_keys):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        place = np.minimum(np.searchsorted(self.run_keys, keys), len(self.run_keys) - 1)
-        at = np.flatnonzero((self.run_keys[place] == keys) & (doc[: len(keys)] == doc[len(hashes) - len(keys) :]))
-        counts = self.run_count[place[at]]
+        # Most runs are no item's, as their last bits show.
+        at = np.flatnonzero(self.run_marks[(keys & np.uint64(len(self.run_marks) - 1)).astype(np.int64)] & (doc[: len(keys)] == doc[len(hashes) - len(keys) :]))
+        place = np.minimum(np.searchsorted(self.run_keys, keys[at]), len(self.run_keys) - 1)
+        same = self.run_keys[place] == keys[at]
+        at, place = at[same], place[same]
+        counts = self.run_count[place]
         nth = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-        return np.repeat(at, counts), np.repeat(self.run_first[place[at]], counts) + nth
+        return np.repeat(at, counts), np.repeat(self.run_first[place], counts) + nth
 
     def _likely(self, hashes: np.ndarray, starts: np.ndarray, half_doc: np.ndarray, half: np.ndarray, item: np.ndarray) -> np.ndarray:
         """Of windows that begin at these halves, and items: those not ruled out by buckets of words, cheaply, before _able looks closer.
