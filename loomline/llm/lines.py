@@ -6,10 +6,10 @@ number), has a Jaccard similarity of at least the threshold with it, whether or
 is itself removed. Lines of fewer than ``least_words`` words (1: none but blank ones) stay.
 
 1. *Keys.* One map over the text gives each line two independent 64-bit hashes of its words
-   (its key), the size of its token set and its least token hashes, as many as must hold one of
-   any set that is near (a prefix by hash).
+   (its key), the size of its token set and its least token hashes, as many as must hold
+   ``ALIKE`` of any set that is near (a prefix by hash), or all that it must share if these are fewer.
 2. *Repeats.* Lines with equal keys are one set, placed at its first line; the others go.
-3. *Suspects.* Only sets that share one of these tokens with a different set can be near any.
+3. *Suspects.* Only sets that share so many of these tokens with different sets can be near any.
    While such tokens are few (``MOST_BITMAP``) a bitmap, two bits each, picks the lines; beyond it, a join.
 4. *Rarity.* The suspects' lines are read again. Tokens are ordered by how many suspects have
    them, counted exactly; tokens of one suspect alone come first and are only counted. The
@@ -46,6 +46,8 @@ BITMAP_BITS = 25
 MOST_BITMAP = 1 << 21
 #: Greatest hashes of the lesser half of all tokens, and of all.
 HALF, ALL = -1, (1 << 63) - 1
+#: Tokens that a suspect's leading ones must share with other sets'; that many less one are led with besides.
+ALIKE = 3
 #: Rounds of leaders before the join.
 ROUNDS = 2
 OTHER_SPACE = "\t\x0b\x0c\r"
@@ -82,7 +84,8 @@ def _with_tokens(df: DataFrame, k: int) -> DataFrame:
     n = F.size("hashes_")
     firsts = F.slice("hashes_", F.lit(1), F.greatest(n - F.lit(k - 1), F.lit(0)))
     rolled = F.transform(firsts, lambda w, i: F.xxhash64(w, *[F.get("hashes_", i + F.lit(j)) for j in range(1, k)]))
-    tokens = F.when(n >= k, F.array_distinct(rolled)).when(n > 0, F.array(F.xxhash64("hashes_"))).otherwise(F.array().cast("array<bigint>"))
+    # No branch's array may hold nulls by its type: such arrays are made distinct and sorted as plain numbers.
+    tokens = F.when(n >= k, F.array_distinct(rolled)).when(n > 0, F.array(F.xxhash64("hashes_"))).otherwise(F.slice("hashes_", F.lit(1), F.lit(0)))
     return df.withColumn("tokens", tokens).drop("hashes_")
 
 
@@ -96,20 +99,24 @@ def _probe(n: str, num: int, den: int) -> str:
     return f"({n} - (({num} * {n} + {den - 1}) div {den}) + 1)"
 
 
+def _alike(n: str, num: int, den: int) -> str:
+    """Tokens that a set has in common with any set that is near, among so many less one leading tokens more than _probe's."""
+    return f"least({ALIKE}, ({num} * {n} + {den - 1}) div {den})"
+
+
 def _signed(lines: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """Each line's place and key, its set's size and bucket keys, and its least token hashes."""
-    df = _with_tokens(lines, k).withColumn("sorted_", F.sort_array("tokens")).withColumn("n", F.size("sorted_"))
+    # Words go no further than their hashes: each step that carried them on would copy them.
+    keyed = lines.withColumns({"k1": F.xxhash64("words"), "k2": F.xxhash64(F.lit(0x5EED), "words"), "n_words": F.size("words")})
+    df = _with_tokens(keyed, k).withColumn("sorted_", F.sort_array("tokens")).withColumn("n", F.size("sorted_"))
     # One token is a whole short line: equal words have equal keys, so it need not be looked up.
-    probe = F.expr(f"if(size(words) < {k}, 0, {_probe('n', num, den)})").cast("int")
+    probe = F.expr(f"if(n_words < {k}, 0, {_probe('n', num, den)} + {_alike('n', num, den)} - 1)").cast("int")
     return df.select(
-        *PLACE,
-        F.xxhash64("words").alias("k1"),
-        F.xxhash64(F.lit(0x5EED), "words").alias("k2"),
-        "n",
+        *PLACE, "k1", "k2", "n",
         F.element_at("sorted_", 1).alias("low"),
         F.element_at("sorted_", -1).alias("high"),
         F.slice("sorted_", F.lit(1), probe).alias("prefix"),
-    )
+    )
 
 
 def _bitmap(spots: DataFrame) -> DataFrame:
@@ -204,8 +211,11 @@ def removed_lines(
     # A prefix token of one set alone meets nothing. Sets are told apart by their keys, so that repeats of a line do not count.
     prefixes = lines.select("k1", F.explode("prefix").alias("token")).groupBy("token").agg(F.min("k1").alias("one"), F.max("k1").alias("other"))
     repeated = scratch.cut(prefixes.where("one != other").select("token"), "repeated")
-    every = lines.select("k1", "k2", *PLACE, "low", "high", F.explode("prefix").alias("token"))
-    suspects = _shared(every, repeated).groupBy("k1", "k2").agg(F.min(F.struct(*PLACE)).alias("p"), F.min("low").alias("low"), F.min("high").alias("high"))
+    # Copies of a line have the same tokens at the same positions, so shared ones are told apart by these; beyond 64 they are not counted.
+    every = lines.select("k1", "k2", *PLACE, "n", "low", "high", F.size("prefix").alias("size"), F.posexplode("prefix").alias("at", "token"))
+    least = [F.min(c).alias(c) for c in ("n", "size", "low", "high")]
+    suspects = _shared(every, repeated).groupBy("k1", "k2").agg(F.min(F.struct(*PLACE)).alias("p"), *least, F.bit_or(F.expr("shiftleft(1L, at % 64)")).alias("at"))
+    suspects = suspects.where(f"size > 64 or bit_count(at) >= {_alike('n', num, den)}").drop("n", "size", "at")
 
     # Sets in the order of their places: a range shuffle, then numbers that rise with it.
     sets = scratch.cut(suspects.select("k1", "k2", "p.*", "low", "high"), "unordered")

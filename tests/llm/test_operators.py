@@ -423,6 +423,33 @@ def test_latent_blocks_give_what_one_gives(spark, monkeypatch):
     assert {r["doc_id"] for r in latent.decontaminate(docs, bench).collect()} == set(range(7, 20))
 
 
+def test_lines_of_one_shared_token_are_no_suspects(spark, monkeypatch):
+    rng = random.Random(12)
+    some = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    suspects, texts, cut = [], [], common.Scratch.cut
+
+    def watched(self, df, label):
+        out = cut(self, df, label)
+        suspects.extend(r["doc_id"] for r in (out.collect() if label == "sets" else []))
+        return out
+
+    monkeypatch.setattr(common.Scratch, "cut", watched)
+    # Pairs of lines with one run of five words in common; then pairs of sizes from one token on, at the limit, over and under it.
+    for _ in range(60):
+        run = some(5)
+        texts += [" ".join(some(8) + run + some(8)) for _ in range(2)]
+    near = 0
+    for n in (1, 2, 3, 4, 5, 6, 8, 9, 10, 14, 20, 60, 400):
+        for lost in {n // 9, n // 9 + 1, n // 5}:
+            words = some(n + 4)
+            texts += [" ".join(words), " ".join(words[: len(words) - lost] + some(lost))]
+            near += bool(lost) and n - lost >= 0.8 * (n + lost)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r["doc_id"], 0) for r in lines.line_report(df).collect() if r["n_removed"]}
+    assert got == brute_lines(texts) and len(got) > near > 5
+    assert min(suspects) >= 120 and len(suspects) >= 2 * near
+
+
 def test_latent_basis_is_fitted_on_every_document(spark):
     # Documents past the 4096 of least hashes hold the only passages with these words, and theirs come last in a long text.
     texts = [" ".join(f"{a}{i:02d}" for i in range(96)) for a in "xy"]
