@@ -5,8 +5,9 @@
 * *Basis.* A randomised SVD of TF-IDF passages gives ``rank`` directions. Every passage of every
   document and of the benchmark is added, with a random sign, to one of ``ROWS`` random rows: a
   sketch whose expected Gram matrix is that of all passages, of fixed size, and whose leading right
-  singular vectors are the basis. Each task sums its share; shares are summed by key. The
-  benchmark's sketch weighs as much as the documents', however many these are.
+  singular vectors are the basis. Each task sums its share; shares are summed by key, a slice of
+  terms each, and stay in a table: the driver gets their Gram matrix alone, sends back its eigenvectors
+  and gets the basis. The benchmark's sketch weighs as much as the documents', however many these are.
 * *Candidates.* Each document is cut into windows of 48 words, one every 24, so that any
   24 words in a row lie within one. Windows and benchmark passages meet by cosine in the
   basis, block by block as matrix products. Besides, every run of ``RUN`` words that a
@@ -41,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_schema, record_batch
+from .common import Scratch, arrow_schema, let_go, record_batch
 from .textkernel import mixed, text_groups, words_of
 
 TERM_BITS, HALF = 14, 24
@@ -73,23 +74,33 @@ def _terms(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - TERM_BITS)).astype(np.int64)
 
 
-def _summed(parts: DataFrame, ddl: str, shape: tuple[int, int], kind) -> np.ndarray:
+def _summed(parts: DataFrame, shape: tuple[int, int], kind) -> np.ndarray:
     """Blocks of a matrix of fixed size, added by key, as one matrix."""
 
     def add_up(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(shape[1], kind)
-        for b in pdf["data"]:
-            total += np.frombuffer(b, kind)
-        return pd.DataFrame({"block": [pdf["block"].iloc[0]], "data": [total.tobytes()]})
+        return pd.DataFrame({"block": [pdf["block"].iloc[0]], "data": [_total(pdf["data"], kind).tobytes()]})
 
-    out, rows = np.zeros(shape, kind), parts.groupBy("block").applyInPandas(add_up, ddl).collect()
+    return _gathered(parts.groupBy("block").applyInPandas(add_up, BLOCKS), shape, kind)
+
+
+def _total(data: pd.Series, kind) -> np.ndarray:
+    return sum(np.frombuffer(b, kind) for b in data)
+
+
+def _gathered(blocks: DataFrame, shape: tuple[int, int], kind) -> np.ndarray:
+    """Blocks as the rows of one matrix on the driver."""
+    out, rows = np.zeros(shape, kind), blocks.collect()
     while rows:  # each goes as it is copied
         row = rows.pop()
         out[row["block"]] = np.frombuffer(row["data"], kind)
+    let_go(blocks.sparkSession)
     return out
 
 
 BLOCKS = "block long, data binary"
+#: Slices of the sketch's columns; each is a block of ROWS x (DIMS / SLICES).
+SLICES = 64
+SKETCH = "source long, block long, data binary, square double"
 
 
 def term_counts(docs: DataFrame) -> np.ndarray:
@@ -103,7 +114,7 @@ def term_counts(docs: DataFrame) -> np.ndarray:
         rows = total.reshape(8, -1)
         yield record_batch([(i, r.tobytes()) for i, r in enumerate(rows) if r.any()], arrow_schema(BLOCKS))
 
-    return _summed(docs.select("text").mapInArrow(count, BLOCKS), BLOCKS, (8, DIMS // 8), np.int64).reshape(-1)
+    return _summed(docs.select("text").mapInArrow(count, BLOCKS), (8, DIMS // 8), np.int64).reshape(-1)
 
 
 def inverse_frequency(counts: np.ndarray) -> np.ndarray:
@@ -111,13 +122,14 @@ def inverse_frequency(counts: np.ndarray) -> np.ndarray:
     return (np.log1p(counts.sum() / (counts + 1.0)) ** 2).astype(np.float32)
 
 
-def sketch(texts: DataFrame, idf: np.ndarray, width: int) -> np.ndarray:
-    """ROWS x DIMS: the signed sums of all texts' passages of ``width`` words, as TF-IDF rows of unit length.
+def sketched(texts: DataFrame, idf: np.ndarray, width: int) -> DataFrame:
+    """(block, data): the signed sums of all texts' passages of ``width`` words, as TF-IDF rows of unit length,
+    a task's share of ROWS x DIMS in slices of columns.
 
     texts: doc_id and text. Row and sign depend on a passage's text, its place and its text's id, so that
     neither order nor partitions matter and copies do not all get one sign.
     """
-    shared, n_blocks = texts.sparkSession.sparkContext.broadcast(idf), 64
+    shared = texts.sparkSession.sparkContext.broadcast(idf)
 
     def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((ROWS, DIMS), np.float32)
@@ -127,14 +139,29 @@ def sketch(texts: DataFrame, idf: np.ndarray, width: int) -> np.ndarray:
                 hashes, doc, _ = words_of(raw, offsets)
                 if len(hashes):
                     _add_passages(total, hashes, doc, ids[rows], shared.value, width)
-        blocks = total.reshape(n_blocks, -1)
-        yield record_batch([(i, b.tobytes()) for i, b in enumerate(blocks) if b.any()], arrow_schema(BLOCKS))
+        slices = np.split(total, SLICES, axis=1)
+        yield record_batch([(i, x.tobytes()) for i, x in enumerate(slices) if x.any()], arrow_schema(BLOCKS))
 
     # A task's share is as large as the whole sketch, so there is one a core, whatever the input's partitions.
     few = texts.coalesce(texts.sparkSession.sparkContext.defaultParallelism)
-    out = _summed(few.mapInArrow(share, BLOCKS), BLOCKS, (n_blocks, ROWS * DIMS // n_blocks), np.float32).reshape(ROWS, DIMS)
-    shared.destroy()
-    return out
+    return few.mapInArrow(share, BLOCKS)
+
+
+def sketch(texts: DataFrame, idf: np.ndarray, width: int) -> np.ndarray:
+    """The whole of sketched, ROWS x DIMS, on the driver."""
+    rows = _summed(sketched(texts, idf, width), (SLICES, ROWS * DIMS // SLICES), np.float32)
+    return np.hstack(list(rows.reshape(SLICES, ROWS, -1)))
+
+
+def _summed_sketches(parts: DataFrame) -> DataFrame:
+    """SKETCH of parts with a source: their shares added, and the sum of squares of each slice."""
+
+    def add_up(pdf: pd.DataFrame) -> pd.DataFrame:
+        total = _total(pdf["data"], np.float32)
+        square = float(np.square(total, dtype=np.float64).sum())
+        return pd.DataFrame({"source": [pdf["source"].iloc[0]], "block": [pdf["block"].iloc[0]], "data": [total.tobytes()], "square": [square]})
+
+    return parts.groupBy("source", "block").applyInPandas(add_up, SKETCH)
 
 
 def _add_passages(total: np.ndarray, hashes: np.ndarray, doc: np.ndarray, ids: np.ndarray, idf: np.ndarray, width: int) -> None:
@@ -155,17 +182,29 @@ def _add_passages(total: np.ndarray, hashes: np.ndarray, doc: np.ndarray, ids: n
     np.add.at(total.reshape(-1), at, (value * sign[passage]).astype(np.float32))
 
 
-def randomised_svd(sketched: np.ndarray, rank: int = RANK) -> np.ndarray:
-    """DIMS x rank: the sketch's leading right singular vectors; zeros beyond its own rank."""
-    columns = range(0, DIMS, 1024)
-    gram = sum(sketched[:, a : a + 1024].astype(np.float64) @ sketched[:, a : a + 1024].T.astype(np.float64) for a in columns)
-    values, vectors = np.linalg.eigh(gram)
+def randomised_svd(sketches: DataFrame, rank: int = RANK) -> np.ndarray:
+    """DIMS x rank: the leading right singular vectors of the sum of SKETCH's sources, each of norm one; zeros beyond its own rank."""
+    norms = {r["source"]: r["norm"] for r in sketches.groupBy("source").agg(F.sqrt(F.sum("square")).alias("norm")).collect()}
+    tall = 8
+
+    def slice_of(pdf: pd.DataFrame) -> np.ndarray:
+        each = (np.frombuffer(b, np.float32) / np.float32(norms[s] or 1.0) for s, b in zip(pdf["source"], pdf["data"], strict=True))
+        return sum(each).reshape(ROWS, -1)
+
+    def gram(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = slice_of(pdf).astype(np.float64)
+        return pd.DataFrame({"block": range(tall), "data": [g.tobytes() for g in np.split(x @ x.T, tall)]})
+
+    grams = sketches.groupBy("block").applyInPandas(gram, BLOCKS)
+    values, vectors = np.linalg.eigh(_summed(grams, (tall, ROWS * ROWS // tall), np.float64).reshape(ROWS, ROWS))
     values, vectors = values[::-1][:rank], vectors[:, ::-1][:, :rank]
     turn = vectors * np.where(values > max(values[0] * 1e-10, 1e-30), 1 / np.sqrt(np.maximum(values, 1e-30)), 0.0)
-    basis = np.empty((DIMS, rank), np.float32)
-    for a in columns:
-        basis[a : a + 1024] = sketched[:, a : a + 1024].T @ turn
-    return basis
+
+    def turned(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"block": [pdf["block"].iloc[0]], "data": [(slice_of(pdf).T @ turn).astype(np.float32).tobytes()]})
+
+    basis = sketches.groupBy("block").applyInPandas(turned, BLOCKS)
+    return _gathered(basis, (SLICES, DIMS * rank // SLICES), np.float32).reshape(DIMS, rank)
 
 
 class Item:
@@ -448,15 +487,11 @@ def fit_basis(docs: DataFrame, benchmark: DataFrame, rank: int = RANK) -> tuple[
     """(basis, inverse frequencies): both from every word of every document, the basis from all benchmark items besides."""
     idf = inverse_frequency(term_counts(docs))
     items = benchmark.select(F.col("item_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    total = _scaled(sketch(docs, idf, 2 * HALF))
-    total += _scaled(sketch(items, idf, HALF))
-    return randomised_svd(total, rank), idf
-
-
-def _scaled(x: np.ndarray) -> np.ndarray:
-    """x with a norm of one; in place."""
-    x /= np.linalg.norm(x) or 1.0
-    return x
+    scratch = Scratch(docs.sparkSession)
+    parts = [sketched(x, idf, width).select(F.lit(i).cast("long").alias("source"), "block", "data") for i, (x, width) in enumerate(((docs, 2 * HALF), (items, HALF)))]
+    basis = randomised_svd(scratch.cut(_summed_sketches(parts[0].union(parts[1])), "sketch"), rank)
+    scratch.drop("sketch")
+    return basis, idf
 
 
 def find_contamination(

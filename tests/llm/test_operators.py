@@ -488,3 +488,24 @@ def test_cotraining_fits_on_its_whole_samples(spark, monkeypatch):
     docs = spark.range(7500).select(F.col("id").alias("doc_id"), F.concat(F.lit("some words "), "id").alias("text"))
     cotraining.fit(docs, docs.where("doc_id < 4200").select("doc_id", (F.col("doc_id") % 2).alias("quality")))
     assert seen == [(4000, 3000)]
+
+
+def test_latent_sketch_stays_off_the_driver(spark, monkeypatch):
+    docs = spark.range(300).select(F.col("id").alias("doc_id"), F.concat_ws(" ", *[F.md5(F.concat("id", F.lit(f"-{j}"))) for j in range(60)]).alias("text"))
+    bench = spark.createDataFrame([(1, "one two three four five six")], "item_id long, text string")
+    got, collect = [], type(docs).collect
+
+    def watched(self):
+        rows = collect(self)
+        got.append(sum(len(x) for r in rows for x in r if isinstance(x, (bytes, bytearray))))
+        return rows
+
+    monkeypatch.setattr(type(docs), "collect", watched)
+    basis, idf = latent.fit_basis(docs, bench)
+    assert max(got) <= basis.nbytes < latent.ROWS * latent.DIMS * 4 / 2
+    # It is the basis of the sketches put together whole.
+    items = bench.withColumnRenamed("item_id", "doc_id")
+    total = sum(x / np.linalg.norm(x) for x in (latent.sketch(docs, idf, 48), latent.sketch(items, idf, 24)))
+    values, right = np.linalg.svd(total.astype(np.float64), full_matrices=False)[1:]
+    held = np.linalg.norm(right[:200] @ basis, axis=1)
+    assert values[latent.RANK - 1] > 0 and np.abs(held - 1).max() < 1e-3
