@@ -509,3 +509,19 @@ def test_latent_sketch_stays_off_the_driver(spark, monkeypatch):
     values, right = np.linalg.svd(total.astype(np.float64), full_matrices=False)[1:]
     held = np.linalg.norm(right[:200] @ basis, axis=1)
     assert values[latent.RANK - 1] > 0 and np.abs(held - 1).max() < 1e-3
+
+
+def test_lines_count_half_of_the_tokens_once(spark, monkeypatch):
+    rng, calls, by_rarity = random.Random(31), [], lines._by_rarity
+    monkeypatch.setattr(lines, "_by_rarity", lambda *a: calls.append(a) or by_rarity(*a))
+    # Sets of few tokens, of whose hashes none or all may be counted, near each other or just not; runs of them are in many.
+    pool, texts = [[f"p{i}{j}" for j in range(12)] for i in range(6)], []
+    for n in (*range(5, 30), 45):
+        for _ in range(6):
+            words = rng.choice(pool)[: n // 2] + [f"w{rng.randrange(10**6)}" for _ in range(n)]
+            at = rng.randrange(len(words))
+            texts += [" ".join(words), " ".join(words[1:]), " ".join(words[:-1]), " ".join(words[:at] + ["x"] + words[at:]), " ".join(words[: len(words) - len(words) // 9])]
+    rng.shuffle(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r["doc_id"], 0) for r in lines.line_report(df).collect() if r["n_removed"]}
+    assert got == brute_lines(texts) and len(got) > 200 and len(calls) == 1
