@@ -13,7 +13,7 @@ in one map without a shuffle.
 
 Fitting uses bounded samples: ``LABELLED`` labelled and ``POOL`` unlabelled documents with the
 least hashes of their ids, whatever the corpus; scoring covers all rows, whole texts. Rows are
-turned into views where they lie; only views, of bounded size, meet on the driver.
+turned into views where they lie; only views, of bounded size, meet on the driver, a part of their table at a time.
 
 Defined cases: null or empty texts have a zero text view and are scored like any other;
 null source, language or id are values of their own; labels that are null are left out,
@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, record_batch
+from .common import Scratch, arrow_schema, record_batch
 from .textkernel import text_groups, words_of
 
 GRAM_BITS, HASHED = 11, 32
@@ -236,12 +236,14 @@ def _featured(rows: DataFrame) -> DataFrame:
     return rows.select("text", "source", "lang", "doc_id", "label", "order_", "tie_").mapInArrow(feature, SAMPLE)
 
 
-def _unpacked(rows: list) -> tuple[np.ndarray, np.ndarray]:
-    text, meta = np.zeros((len(rows), TEXT_DIMS), np.float32), np.zeros((len(rows), META_DIMS), np.float32)
-    for i, r in enumerate(rows):
-        n = len(r["text_view"]) // 6
-        text[i, np.frombuffer(r["text_view"], np.int16, n)] = np.frombuffer(r["text_view"], np.float32, n, 2 * n) if n else 0
-        meta[i] = np.frombuffer(r["meta_view"], np.float32)
+def _unpacked(rows: DataFrame, place: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Both views of all rows, each at its id's place."""
+    text, meta = np.zeros((len(place), TEXT_DIMS), np.float32), np.zeros((len(place), META_DIMS), np.float32)
+    # A partition at a time, so that neither the JVM nor Python holds the packed rows of all.
+    for doc_id, packed, numbers in rows.select("doc_id", "text_view", "meta_view").toLocalIterator():
+        i, n = place[doc_id], len(packed) // 6
+        text[i, np.frombuffer(packed, np.int16, n)] = np.frombuffer(packed, np.float32, n, 2 * n) if n else 0
+        meta[i] = np.frombuffer(numbers, np.float32)
     return text, meta
 
 
@@ -265,17 +267,17 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
     met = docs.join(F.broadcast(wanted), "doc_id").withColumn("tie_", F.md5(F.coalesce("text", F.lit(""))))
     # One row an id, chosen per task before the shuffle: what comes to the driver has the samples' bound.
     one = _featured(met).groupBy("doc_id").agg(F.min(F.struct("tie_", "label", "order_", "text_view", "meta_view")).alias("row")).select("doc_id", "row.*")
-    rows = sorted(one.collect(), key=lambda r: (r["label"] is None, r["order_"], r["doc_id"]))
-    known, pool = [r for r in rows if r["label"] is not None], [r for r in rows if r["label"] is None]
-    del rows
-    if not known:
-        return None
-    good = np.array([r["label"] == 1 for r in known])
-    labelled = _unpacked(known)
-    del known  # packed rows go as soon as they are unpacked
-    unlabelled = _unpacked(pool)
-    del pool
-    return cotrain(*labelled, good, *unlabelled)
+    scratch = Scratch(df.sparkSession)
+    rows = scratch.cut(one, "sample")
+    keys = sorted(rows.select("doc_id", "label", "order_").collect(), key=lambda r: (r["label"] is None, r["order_"], r["doc_id"]))
+    known = sum(r["label"] is not None for r in keys)
+    model = None
+    if known:
+        text, meta = _unpacked(rows, {r["doc_id"]: i for i, r in enumerate(keys)})
+        good = np.array([r["label"] == 1 for r in keys[:known]])
+        model = cotrain(text[:known], meta[:known], good, text[known:], meta[known:])
+    scratch.drop("sample")
+    return model
 
 
 SCORES = "doc_id long, p_text double, p_meta double, p_quality double, keep boolean"

@@ -525,3 +525,28 @@ def test_lines_count_half_of_the_tokens_once(spark, monkeypatch):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {(r["doc_id"], 0) for r in lines.line_report(df).collect() if r["n_removed"]}
     assert got == brute_lines(texts) and len(got) > 200 and len(calls) == 1
+
+
+def test_cotraining_takes_views_by_parts(spark, monkeypatch):
+    docs = spark.range(600).select(F.col("id").alias("doc_id"), F.concat_ws(" ", *[F.md5(F.concat("id", F.lit(f"-{j}"))) for j in range(9)]).alias("text"))
+    labels = docs.where("doc_id < 200").select("doc_id", (F.col("doc_id") % 2).alias("quality"))
+    got, seen, collect = [], [], type(docs).collect
+
+    def watched(self):
+        rows = collect(self)
+        got.append(sum(len(x) for r in rows for x in r if isinstance(x, (bytes, bytearray))))
+        return rows
+
+    monkeypatch.setattr(type(docs), "collect", watched)
+    monkeypatch.setattr(cotraining, "cotrain", lambda *a: seen.append(a))
+    cotraining.fit(docs, labels)
+    assert got and max(got) == 0
+    # Each row's views stand at its own place.
+    text, meta, good, pool_text, pool_meta = seen[0]
+    rows = {r["doc_id"]: r["text"].encode() for r in collect(docs)}
+    order = [r["doc_id"] for r in collect(docs.orderBy(F.xxhash64("doc_id"), "doc_id"))]
+    order = [i for i in order if i < 200] + [i for i in order if i >= 200]
+    raw, ends = np.frombuffer(b"".join(rows[i] for i in order), np.uint8), np.cumsum([0, *(len(rows[i]) for i in order)])
+    plain = cotraining.views(raw, ends, [None] * 600, [None] * 600)
+    assert np.array_equal(np.concatenate([text, pool_text]), plain[0]) and np.array_equal(np.concatenate([meta, pool_meta]), plain[1])
+    assert list(good) == [i % 2 == 1 for i in order[:200]]
