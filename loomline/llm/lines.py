@@ -19,8 +19,9 @@ is itself removed. Lines of fewer than ``least_words`` words (1: none but blank
    two sets of their bucket, the first and the one whose shared tokens begin soonest: one pair
    each. What matches is removed, and needs no further comparison as the later of a pair. The
    rest meets the leaders among itself in a second round.
-6. *Join.* Sets meet on their leading tokens, under the length filter and the positional
-   filter. One side is always a set not removed yet, so that a hot group of near-equal
+6. *Join.* Sets meet on their leading tokens, under the length filter, the positional
+   filter and a bound by bits: each token sets one of ``64 * WORDS``, and a bit that the other
+   set lacks is a token that it lacks. One side is always a set not removed yet, so that a hot group of near-equal
    lines, which its leaders have removed, does not meet itself.
 7. *Verify.* A pair goes on if its common leading tokens and all that can follow them reach
    the threshold; then whole token sets are compared.
@@ -50,6 +51,9 @@ BELOW = -1
 ALIKE = 3
 #: Rounds of leaders before the join.
 ROUNDS = 2
+#: 64-bit words of a set's bits.
+WORDS = 4
+BITS = [f"bits{j}" for j in range(WORDS)]
 OTHER_SPACE = "\t\x0b\x0c\r"
 PLACE = ["doc_id", "line_no", "text_hash"]
 
@@ -102,6 +106,16 @@ def _probe(n: str, num: int, den: int) -> str:
     return f"({n} - (({num} * {n} + {den - 1}) div {den}) + 1)"
 
 
+def _fits_by_bits(a: str, b: str, num: int, den: int) -> str:
+    """Whether sets with sizes n{a}, n{b} and bits {a}0, {a}1, ... can overlap enough: a bit that one lacks is a token it lacks."""
+    least = lambda x, y: f"n{x} - ({' + '.join(f'bit_count({x}{j} & ~{y}{j})' for j in range(WORDS))})"
+    return f"least({least(a, b)}, {least(b, a)}) >= {_least_overlap(f'n{a}', f'n{b}', num, den)}"
+
+
+def _named(x: str) -> list[Column]:
+    return [F.col(c).alias(f"{x}{j}") for j, c in enumerate(BITS)]
+
+
 def _alike(n: str, num: int, den: int) -> str:
     """Tokens that a set has in common with any set that is near, among so many less one leading tokens more than _probe's."""
     return f"least({ALIKE}, ({num} * {n} + {den - 1}) div {den})"
@@ -145,7 +159,7 @@ def _shared(every: DataFrame, repeated: DataFrame) -> DataFrame:
 
 
 def _token_sets(sets: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """(sid, tokens) of every set, from the line where it stands."""
+    """(sid, tokens, bits) of every set, from the line where it stands."""
     wanted = sets.groupBy(F.col("doc_id").alias("w_id"), F.col("text_hash").alias("w_hash")).agg(F.collect_list(F.struct("line_no", "sid")).alias("at_"))
     spot = lambda i, h: F.pmod(F.xxhash64(i, h), F.lit(1 << BITMAP_BITS)).cast("int")
     spots = sets.select(spot(F.col("doc_id"), F.col("text_hash")).alias("s"))
@@ -155,11 +169,13 @@ def _token_sets(sets: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     split = met.withColumn("lines_", F.split("text", "\n")).select("lines_", F.explode("at_").alias("at_"))
     lines = split.select("at_.sid", F.element_at("lines_", F.col("at_.line_no") + 1).alias("line"))
     # Rows equal in id and text are one document.
-    return _with_tokens(_with_words(lines), k).select("sid", "tokens").dropDuplicates(["sid"])
+    found = _with_tokens(_with_words(lines), k).select("sid", "tokens").dropDuplicates(["sid"])
+    bit = "shiftleft(1L, cast(t & 63 as int))"
+    return found.withColumns({c: F.expr(f"aggregate(tokens, 0L, (b, t) -> if((shiftright(t, 6) & {WORDS - 1}) = {j}, b | {bit}, b))") for j, c in enumerate(BITS)})
 
 
 def _by_rarity(tokens: DataFrame, below: int, num: int, den: int) -> DataFrame:
-    """(sid, n, alone, leading): of each set's prefix the tokens that others have, in order, and how many stand before them.
+    """(sid, n, alone, leading, bits): of each set's prefix the tokens that others have, in order, and how many stand before them.
 
     The order: hashes under ``below``, by the number of sets that have them and then by hash,
     before all others by hash. So the frequencies of a share of the tokens suffice; a set with
@@ -179,7 +195,7 @@ def _by_rarity(tokens: DataFrame, below: int, num: int, den: int) -> DataFrame:
     # Others that no set shares would stand later than all these, so they are not counted.
     shared = shared.withColumn("alone", F.col("counted") - F.size(F.filter("shared", lambda s: s["token"] <= F.lit(below))))
     leading = F.expr("slice(shared, 1, cast(greatest(0, probe - alone) as int))")
-    return shared.select("sid", "n", "alone", leading.alias("leading")).where("size(leading) > 0")
+    return shared.select("sid", "n", "alone", leading.alias("leading")).where("size(leading) > 0").join(tokens.select("sid", *BITS), "sid")
 
 
 def _able(pairs: DataFrame, ranked: DataFrame, num: int, den: int) -> DataFrame:
@@ -190,8 +206,9 @@ def _able(pairs: DataFrame, ranked: DataFrame, num: int, den: int) -> DataFrame:
     leading ones are left. Its prefix may hold more: tokens that were not counted.
     """
     last = F.element_at("leading", -1)
-    of = lambda x: ranked.select(F.col("sid").alias(x), F.col("n").alias(f"n{x}"), last.alias(f"l{x}"), F.expr("n - alone - size(leading)").alias(f"r{x}"), F.col("leading.token").alias(f"t{x}"))
+    of = lambda x: ranked.select(F.col("sid").alias(x), F.col("n").alias(f"n{x}"), last.alias(f"l{x}"), F.expr("n - alone - size(leading)").alias(f"r{x}"), F.col("leading.token").alias(f"t{x}"), *_named(x))
     both = pairs.join(of("b"), "b").join(of("a"), "a").withColumn("c", F.size(F.array_intersect("ta", "tb")))
+    both = both.where(_fits_by_bits("a", "b", num, den))
     return both.where(F.expr(f"c + if(la <= lb, ra, rb) >= {_least_overlap('na', 'nb', num, den)}")).select("a", "b")
 
 
@@ -245,12 +262,12 @@ def removed_lines(
 
     # The join. The smaller set is found by its index prefix, the larger looks up its probe prefix.
     marked = ranked.join(gone.select(F.col("b").alias("sid"), F.lit(True).alias("gone")), "sid", "left")
-    marked = marked.select("sid", "n", "alone", F.coalesce("gone", F.lit(False)).alias("gone"), F.posexplode("leading").alias("at", "lead"))
-    marked = scratch.cut(marked.select("sid", "n", F.expr("alone + at").alias("pos"), "lead.token", "gone"), "postings")
+    marked = marked.select("sid", "n", "alone", F.coalesce("gone", F.lit(False)).alias("gone"), *BITS, F.posexplode("leading").alias("at", "lead"))
+    marked = scratch.cut(marked.select("sid", "n", F.expr("alone + at").alias("pos"), "lead.token", "gone", *BITS), "postings")
     index_length = F.expr(f"n - ((2 * {num} * n + {num + den - 1}) div {num + den}) + 1")
-    larger = lambda d: d.select(F.col("sid").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("px"), "token")
-    smaller = lambda d: d.where(F.col("pos") < index_length).select(F.col("sid").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("py"), "token")
-    fits = f"ny <= nx and {den} * ny >= {num} * nx and least(nx - px, ny - py) >= {_least_overlap('nx', 'ny', num, den)}"
+    larger = lambda d: d.select(F.col("sid").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("px"), "token", *_named("x"))
+    smaller = lambda d: d.where(F.col("pos") < index_length).select(F.col("sid").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("py"), "token", *_named("y"))
+    fits = f"ny <= nx and {den} * ny >= {num} * nx and least(nx - px, ny - py) >= {_least_overlap('nx', 'ny', num, den)} and {_fits_by_bits('x', 'y', num, den)}"
     kept = marked.where("not gone")
     later_larger = larger(kept).join(smaller(marked), "token").where(f"y < x and {fits}").selectExpr("y as a", "x as b")
     later_smaller = smaller(kept).join(larger(marked), "token").where(f"x < y and {fits}").selectExpr("x as a", "y as b")

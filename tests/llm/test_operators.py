@@ -550,3 +550,18 @@ def test_cotraining_takes_views_by_parts(spark, monkeypatch):
     plain = cotraining.views(raw, ends, [None] * 600, [None] * 600)
     assert np.array_equal(np.concatenate([text, pool_text]), plain[0]) and np.array_equal(np.concatenate([meta, pool_meta]), plain[1])
     assert list(good) == [i % 2 == 1 for i in order[:200]]
+
+
+def test_lines_alike_but_not_near_are_told_apart_by_bits(spark, monkeypatch):
+    rng, pairs, able = random.Random(47), [], lines._able
+    monkeypatch.setattr(lines, "_able", lambda p, *a: pairs.append(p.count()) or able(p, *a))
+    base, texts = [f"b{i}" for i in range(60)], []
+    for i in range(150):
+        words = list(base)
+        for at in rng.sample(range(5, 55), 2):
+            words[at] = f"x{i}.{at}"
+        texts += [" ".join(words)] + [" ".join(words[1:])] * (i % 10 == 0)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r["doc_id"], 0) for r in lines.line_report(df).collect() if r["n_removed"]}
+    # Thousands of pairs share a leading token; few can be near.
+    assert got == brute_lines(texts) and len(got) >= 15 and pairs[-1] < 1000
