@@ -55,6 +55,8 @@ ROUNDS = 2
 WORDS = 4
 BITS = [f"bits{j}" for j in range(WORDS)]
 OTHER_SPACE = "\t\x0b\x0c\r"
+#: Lower bits that hold a word's place in its line; no array is longer.
+PLACE_BITS = 31
 PLACE = ["doc_id", "line_no", "text_hash"]
 
 
@@ -63,37 +65,31 @@ def _documents(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_hash"))
 
 
-def _with_words(df: DataFrame) -> DataFrame:
-    """df with ``words`` of ``line``, in lower case; splitting at one character needs no regular expression."""
+def _plain(df: DataFrame, c: str) -> DataFrame:
+    """df with column c in lower case and one space for any run of white space but line breaks."""
     # Four searches of bytes cost a quarter of a regular expression's one.
     odd = F.lit(False)
-    for c in OTHER_SPACE:
-        odd = odd | F.col("line").contains(c)
-    plain = F.when(odd, F.translate("line", OTHER_SPACE, " " * len(OTHER_SPACE))).otherwise(F.col("line"))
-    return df.withColumn("words", F.array_remove(F.split(F.lower(plain), " "), "")).drop("line")
-
-
-def _of_words(line: Column, least: int) -> Column:
-    """Whether a line has at least so many words; cheap, and on the line itself, so that its words are made once."""
-    space = r" \t\x0B\f\r"
-    return line.rlike(rf"^[{space}]*+(?:[^{space}]++[{space}]++){{{least - 1}}}[^{space}]")
+    for space in OTHER_SPACE:
+        odd = odd | F.col(c).contains(space)
+    df = df.withColumn(c, F.when(odd, F.translate(F.lower(c), OTHER_SPACE, " " * len(OTHER_SPACE))).otherwise(F.lower(c)))
+    return df.withColumn(c, F.when(F.col(c).contains("  "), F.regexp_replace(c, " {2,}", " ")).otherwise(F.col(c)))
 
 
 def _lines(docs: DataFrame, least_words: int) -> DataFrame:
-    """doc_id, text_hash, line_no and words of every line of at least so many words."""
-    lines = docs.where("text is not null").select("doc_id", "text_hash", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return _with_words(lines.where(_of_words(F.col("line"), max(1, least_words))))
+    """doc_id, text_hash, line_no and the line, its words with one space between them, of every line of at least so many words."""
+    lines = _plain(docs.where("text is not null"), "text").select("doc_id", "text_hash", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    lines = lines.withColumn("line", F.trim("line")).where("line != ''")
+    return lines.where(F.col("line").rlike(f"^(?:[^ ]++ ){{{least_words - 1}}}")) if least_words > 1 else lines
 
 
 def _with_tokens(df: DataFrame, k: int) -> DataFrame:
-    """df with ``tokens``, the distinct hashes of the shingles of ``words``; fewer words are one."""
-    df = df.withColumn("hashes_", F.transform("words", lambda w: F.xxhash64(w)))
-    n = F.size("hashes_")
-    firsts = F.slice("hashes_", F.lit(1), F.greatest(n - F.lit(k - 1), F.lit(0)))
-    rolled = F.transform(firsts, lambda w, i: F.xxhash64(w, *[F.get("hashes_", i + F.lit(j)) for j in range(1, k)]))
-    # No branch's array may hold nulls by its type: such arrays are made distinct and sorted as plain numbers.
-    tokens = F.when(n >= k, F.array_distinct(rolled)).when(n > 0, F.array(F.xxhash64("hashes_"))).otherwise(F.slice("hashes_", F.lit(1), F.lit(0)))
-    return df.withColumn("tokens", tokens).drop("hashes_")
+    """df with ``tokens``, the distinct hashes of the shingles of ``line``, in place of it; fewer words are one."""
+    df = df.withColumn("hashes", F.transform(F.split("line", " "), lambda w: F.xxhash64(w))).drop("line")
+    n = F.size("hashes")
+    firsts = F.slice("hashes", F.lit(1), F.greatest(n - F.lit(k - 1), F.lit(0)))
+    rolled = F.transform(firsts, lambda w, i: F.xxhash64(w, *[F.get("hashes", i + F.lit(j)) for j in range(1, k)]))
+    # No branch's array may hold nulls by its type: such arrays are made distinct as plain numbers.
+    return df.withColumn("tokens", F.when(n >= k, F.array_distinct(rolled)).otherwise(F.array(F.xxhash64("hashes")))).drop("hashes")
 
 
 def _least_overlap(a: str, b: str, num: int, den: int) -> str:
@@ -122,18 +118,28 @@ def _alike(n: str, num: int, den: int) -> str:
 
 
 def _signed(lines: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Each line's place and key, its set's size and bucket keys, and its least token hashes."""
-    # Words go no further than their hashes: each step that carried them on would copy them.
-    keyed = lines.withColumns({"k1": F.xxhash64("words"), "k2": F.xxhash64(F.lit(0x5EED), "words"), "n_words": F.size("words")})
-    df = _with_tokens(keyed, k).withColumn("sorted_", F.sort_array("tokens")).withColumn("n", F.size("sorted_"))
+    """Each line's place and key, and leading tokens in an order that all lines share: by the hash of a token's first word.
+
+    So only the leading tokens are made. A place in the line stands in the lower bits of its word's hash, which sort as
+    plain numbers. Tokens that begin with the last word taken are all taken, as their order among themselves is open. A
+    token that comes again in its line counts once; where too few are left by that, all of the line's tokens lead.
+    """
+    low = (1 << PLACE_BITS) - 1
+    spot = lambda w, i: F.shiftleft(F.xxhash64(w), PLACE_BITS).bitwiseOR(i)
+    df = lines.select(*PLACE, F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(0x5EED), "line").alias("k2"), F.transform(F.split("line", " "), spot).alias("spots"))
     # One token is a whole short line: equal words have equal keys, so it need not be looked up.
-    probe = F.expr(f"if(n_words < {k}, 0, {_probe('n', num, den)} + {_alike('n', num, den)} - 1)").cast("int")
-    return df.select(
-        *PLACE, "k1", "k2", "n",
-        F.element_at("sorted_", 1).alias("low"),
-        F.element_at("sorted_", -1).alias("high"),
-        F.slice("sorted_", F.lit(1), probe).alias("prefix"),
-    )
+    df = df.withColumn("m", F.greatest(F.size("spots") - F.lit(k - 1), F.lit(0)))
+    df = df.withColumn("probe", F.expr(f"{_probe('m', num, den)} + {_alike('m', num, den)} - 1").cast("int"))
+    df = df.withColumn("sorted_", F.sort_array(F.slice("spots", F.lit(1), F.col("m"))))
+    # The end is sorted in, so that what stands before it is found without a lambda; it is never null, so that plain numbers are sorted.
+    df = df.withColumn("end", F.coalesce(F.get("sorted_", F.col("probe") - 1).bitwiseOR(low), F.lit((1 << 63) - 1)))
+    df = df.withColumn("taken", (F.array_position(F.sort_array(F.array_append("sorted_", F.col("end"))), F.col("end")) - 1).cast("int"))
+    token = lambda i: F.xxhash64(*[F.shiftright(F.get("spots", i + F.lit(j)), PLACE_BITS) for j in range(k)])
+    at = F.transform(F.slice("sorted_", F.lit(1), F.col("taken")), lambda s: s.bitwiseAND(low).cast("int"))
+    df = df.withColumn("some", F.array_distinct(F.transform(at, token)))
+    short = (F.col("taken") < F.col("m")) & (F.size("some") < F.col("probe"))
+    every = F.array_distinct(F.transform(F.sequence(F.lit(0), F.col("m") - 1), token))
+    return df.select(*PLACE, "k1", "k2", F.when(short, every).otherwise(F.col("some")).alias("prefix"))
 
 
 def _bitmap(spots: DataFrame) -> DataFrame:
@@ -159,7 +165,7 @@ def _shared(every: DataFrame, repeated: DataFrame) -> DataFrame:
 
 
 def _token_sets(sets: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """(sid, tokens, bits) of every set, from the line where it stands."""
+    """(sid, tokens) of every set, from the line where it stands."""
     wanted = sets.groupBy(F.col("doc_id").alias("w_id"), F.col("text_hash").alias("w_hash")).agg(F.collect_list(F.struct("line_no", "sid")).alias("at_"))
     spot = lambda i, h: F.pmod(F.xxhash64(i, h), F.lit(1 << BITMAP_BITS)).cast("int")
     spots = sets.select(spot(F.col("doc_id"), F.col("text_hash")).alias("s"))
@@ -167,15 +173,20 @@ def _token_sets(sets: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     met = met.join(wanted, [met["doc_id"].eqNullSafe(wanted["w_id"]), met["text_hash"] == wanted["w_hash"]])
     # Split below the explode, once for each text.
     split = met.withColumn("lines_", F.split("text", "\n")).select("lines_", F.explode("at_").alias("at_"))
-    lines = split.select("at_.sid", F.element_at("lines_", F.col("at_.line_no") + 1).alias("line"))
+    lines = _plain(split.select("at_.sid", F.element_at("lines_", F.col("at_.line_no") + 1).alias("line")), "line").withColumn("line", F.trim("line"))
     # Rows equal in id and text are one document.
-    found = _with_tokens(_with_words(lines), k).select("sid", "tokens").dropDuplicates(["sid"])
+    return _with_tokens(lines, k).select("sid", "tokens").dropDuplicates(["sid"])
+
+
+def _summed(tokens: DataFrame) -> DataFrame:
+    """(sid, low, high, bits) of every set: its least and greatest token, and a bit for each token."""
     bit = "shiftleft(1L, cast(t & 63 as int))"
-    return found.withColumns({c: F.expr(f"aggregate(tokens, 0L, (b, t) -> if((shiftright(t, 6) & {WORDS - 1}) = {j}, b | {bit}, b))") for j, c in enumerate(BITS)})
+    bits = [F.expr(f"bit_or(if((shiftright(t, 6) & {WORDS - 1}) = {j}, {bit}, 0L))").alias(c) for j, c in enumerate(BITS)]
+    return tokens.select("sid", F.explode("tokens").alias("t")).groupBy("sid").agg(F.min("t").alias("low"), F.max("t").alias("high"), *bits)
 
 
 def _by_rarity(tokens: DataFrame, below: int, num: int, den: int) -> DataFrame:
-    """(sid, n, alone, leading, bits): of each set's prefix the tokens that others have, in order, and how many stand before them.
+    """(sid, n, alone, leading, low, high, bits): of each set's prefix the tokens that others have, in order, and how many stand before them.
 
     The order: hashes under ``below``, by the number of sets that have them and then by hash,
     before all others by hash. So the frequencies of a share of the tokens suffice; a set with
@@ -185,7 +196,7 @@ def _by_rarity(tokens: DataFrame, below: int, num: int, den: int) -> DataFrame:
     sized = tokens.select("sid", F.size("tokens").alias("n"), F.sort_array("tokens").alias("sorted_"))
     sized = sized.withColumn("probe", F.expr(_probe("n", num, den)).cast("int"))
     # Sorted by hash, counted ones come first; others count only as far as the prefix can reach.
-    sized = sized.withColumn("counted", F.size(F.filter("sorted_", lambda t: t <= F.lit(below))))
+    sized = sized.withColumn("counted", (F.array_position(F.sort_array(F.array_append("sorted_", F.lit(below + 1))), F.lit(below + 1)) - 1).cast("int"))
     rows = sized.select("sid", "n", "probe", "counted", F.explode(F.expr("slice(sorted_, 1, greatest(probe, counted))")).alias("token"))
     counts = rows.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     # One row a token on the side that is hashed: no key of it is hot.
@@ -195,7 +206,7 @@ def _by_rarity(tokens: DataFrame, below: int, num: int, den: int) -> DataFrame:
     # Others that no set shares would stand later than all these, so they are not counted.
     shared = shared.withColumn("alone", F.col("counted") - F.size(F.filter("shared", lambda s: s["token"] <= F.lit(below))))
     leading = F.expr("slice(shared, 1, cast(greatest(0, probe - alone) as int))")
-    return shared.select("sid", "n", "alone", leading.alias("leading")).where("size(leading) > 0").join(tokens.select("sid", *BITS), "sid")
+    return shared.select("sid", "n", "alone", leading.alias("leading")).where("size(leading) > 0").join(_summed(tokens), "sid")
 
 
 def _able(pairs: DataFrame, ranked: DataFrame, num: int, den: int) -> DataFrame:
@@ -233,13 +244,13 @@ def removed_lines(
     prefixes = lines.select("k1", F.explode("prefix").alias("token")).groupBy("token").agg(F.min("k1").alias("one"), F.max("k1").alias("other"))
     repeated = scratch.cut(prefixes.where("one != other").select("token"), "repeated")
     # Copies of a line have the same tokens at the same positions, so shared ones are told apart by these; beyond 64 they are not counted.
-    every = lines.select("k1", "k2", *PLACE, "n", "low", "high", F.size("prefix").alias("size"), F.posexplode("prefix").alias("at", "token"))
-    least = [F.min(c).alias(c) for c in ("n", "size", "low", "high")]
-    suspects = _shared(every, repeated).groupBy("k1", "k2").agg(F.min(F.struct(*PLACE)).alias("p"), *least, F.bit_or(F.expr("shiftleft(1L, at % 64)")).alias("at"))
-    suspects = suspects.where(f"size > 64 or bit_count(at) >= {_alike('n', num, den)}").drop("n", "size", "at")
+    every = lines.select("k1", "k2", *PLACE, F.size("prefix").alias("size"), F.posexplode("prefix").alias("at", "token"))
+    suspects = _shared(every, repeated).groupBy("k1", "k2").agg(F.min(F.struct(*PLACE)).alias("p"), F.min("size").alias("size"), F.bit_or(F.expr("shiftleft(1L, at % 64)")).alias("at"))
+    # A prefix is no longer than its set, and asks for no more in common than the set does.
+    suspects = suspects.where(f"size > 64 or bit_count(at) >= {_alike('size', num, den)}")
 
     # Sets in the order of their places: a range shuffle, then numbers that rise with it.
-    sets = scratch.cut(suspects.select("k1", "k2", "p.*", "low", "high"), "unordered")
+    sets = scratch.cut(suspects.select("k1", "k2", "p.*"), "unordered")
     order = [F.col("doc_id").asc_nulls_first(), "line_no", "k1", "k2"]
     sets = sets.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("sid", F.monotonically_increasing_id())
     sets = scratch.cut(sets, "sets")
@@ -250,8 +261,7 @@ def removed_lines(
     ranked = scratch.cut(_by_rarity(tokens, BELOW, num, den), "ranked")
 
     # Leaders, in rounds: what is gone neither leads nor follows in the next.
-    keyed = sets.select("sid", "low", "high").join(ranked, "sid")
-    keyed = keyed.select("sid", "alone", F.explode(F.array_distinct(F.concat(F.array("low", "high"), "leading.token"))).alias("key"))
+    keyed = ranked.select("sid", "alone", F.explode(F.array_distinct(F.concat(F.array("low", "high"), "leading.token"))).alias("key"))
     keyed, gone = scratch.cut(keyed, "buckets"), df.sparkSession.createDataFrame([], "b long")
     for step in range(ROUNDS):
         left = keyed.join(gone, F.col("sid") == F.col("b"), "left_anti")

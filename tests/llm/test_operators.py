@@ -565,3 +565,33 @@ def test_lines_alike_but_not_near_are_told_apart_by_bits(spark, monkeypatch):
     got = {(r["doc_id"], 0) for r in lines.line_report(df).collect() if r["n_removed"]}
     # Thousands of pairs share a leading token; few can be near.
     assert got == brute_lines(texts) and len(got) >= 15 and pairs[-1] < 1000
+
+
+def test_lines_make_leading_tokens_alone(spark):
+    rng, words = random.Random(53), [f"w{i}" for i in range(40)]
+    # Words come again in their line, and in some lines whole runs of them; near lines among them.
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(1, 60))) for _ in range(40)]
+    texts += [" ".join([rng.choice(words) for _ in range(n)] * 4) for n in (1, 2, 3, 7, 9)]
+    for text in list(texts):
+        near = text.split()
+        near[rng.randrange(len(near))] = "x"
+        texts += ["  ".join(near), "\t" + text.upper() + " y"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r["doc_id"], 0) for r in lines.line_report(df).collect() if r["n_removed"]}
+    assert got == brute_lines(texts) and len(got) > 30
+    hashes = spark.createDataFrame([(w,) for w in [*words, "x", "y"]], "w string").select("w", F.shiftright(F.shiftleft(F.xxhash64("w"), lines.PLACE_BITS), lines.PLACE_BITS).alias("h"))
+    rank = {r["w"]: r["h"] for r in hashes.collect()}
+    signed = lines._signed(lines._lines(lines._documents(df, "doc_id", "text"), 1), 5, 8, 10)
+    fewer = 0
+    for r in signed.collect():
+        w = texts[r["doc_id"]].lower().split()
+        runs = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+        n = len(runs)
+        probe = n - -(-8 * n // 10) + min(3, -(-8 * n // 10))
+        # All that begin with the last word taken lead; where repeats leave too few, all do.
+        last = sorted(rank[g[0]] for g in runs)[probe - 1] if n > probe else 1 << 63
+        leading = {g for g in runs if rank[g[0]] <= last}
+        leading = set(runs) if len(leading) < probe else leading
+        assert len(r["prefix"]) == len(set(r["prefix"])) == len(leading)
+        fewer += len(leading) < len(set(runs))
+    assert fewer > 40
